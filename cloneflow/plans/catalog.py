@@ -98,8 +98,9 @@ def vector_store_read(spark: SparkSession, sf: str) -> DataFrame:
     )
     broken.write.text(f"{path}/run_id=broken")
     back = vectors.read_vectors(spark, path, as_json=True)
-    entries = F.posexplode_outer("embedding").alias("pos", "value")
-    return back.select("run_id", "key", F.col("embedding").isNotNull().alias("readable"), entries)
+    # An unreadable vector is one row at position -1.
+    entries = back.select("run_id", "key", F.col("embedding").isNotNull().alias("readable"), F.posexplode_outer("embedding").alias("pos", "value"))
+    return entries.withColumns({"pos": F.coalesce("pos", F.lit(-1)), "value": F.coalesce("value", F.lit(0.0))})
 
 
 @query

@@ -1 +1,384 @@
-ORACLE: dict[str, str] = {}
+"""The catalogue's queries as plain SQL, written from the definitions rather than from the Spark plans.
+
+Sets are compared by joining unnested rows, and longest blocks by joining single token positions, so that a
+mistake in a Spark shortcut cannot repeat itself here.
+"""
+
+from __future__ import annotations
+
+from cloneflow.functions.text import CALL_PATTERN, IDENTIFIER_PATTERN, KEYWORDS, MARKUP_COMMENT, MAX_TOKENS, TOKEN_PATTERN
+from cloneflow.operators import evaluate
+from cloneflow.operators.graph import DUMMY_LABEL, HEADER
+from cloneflow.operators.measures import (
+    MATCH_K,
+    MINHASH_BAND,
+    MINHASH_PRIME,
+    MINHASH_SEEDS,
+    NGRAM_N,
+    ROLLING_K,
+    WINNOW_K,
+    WINNOW_WINDOW,
+)
+from cloneflow.plans.catalog import BOARD, RUN_ID
+
+KEYWORD_LIST = ", ".join(f"'{k}'" for k in KEYWORDS)
+# The letters outside ASCII in the documents. Their place in the string is the control
+# character that stands for them, because the SQL engine's edit distance counts bytes.
+LETTERS = "óçäÄéÉÇßíÊÍêüÖÜñÑèÓÈö"
+CONTROLS = [n for n in range(1, 32) if n not in (9, 10, 11, 12, 13)][: len(LETTERS)]
+
+
+def _tokens(text: str) -> str:
+    return f"regexp_extract_all({text}, '{TOKEN_PATTERN}')"
+
+
+def _hash(text: str) -> str:
+    return f"CAST('0x' || substr(md5({text}), 1, 15) AS BIGINT)"
+
+
+def _grams(tokens: str, k: int) -> str:
+    return f"list_transform(range(1, len({tokens}) - {k} + 2), lambda i: array_to_string({tokens}[i:i + {k} - 1], ' '))"
+
+
+D = f"""d AS (
+  SELECT doc_id, source AS case_id, lang AS label, text, {_tokens('text')} AS tk FROM documents),
+first AS (SELECT case_id, min(doc_id) AS o_id FROM d GROUP BY case_id),
+p AS (
+  SELECT d.case_id, d.doc_id, f.o_id, d.label = o.label AS is_clone, o.tk AS a_tk, d.tk AS b_tk,
+         o.text AS a_text, d.text AS b_text, len(o.tk) AS a_n, len(d.tk) AS b_n
+  FROM d JOIN first f ON d.case_id = f.case_id JOIN d o ON o.doc_id = f.o_id WHERE d.doc_id <> f.o_id)"""
+
+PAGES = """d AS (
+  SELECT page_id AS doc_id, regexp_extract(url, '^https?://([^/]+)', 1) AS case_id, html AS text FROM pages),
+first AS (SELECT case_id, min(doc_id) AS o_id FROM d GROUP BY case_id),
+p AS (
+  SELECT d.case_id, d.doc_id, f.o_id FROM d JOIN first f ON d.case_id = f.case_id WHERE d.doc_id <> f.o_id)"""
+
+BAGS = "bags AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest(tk) AS w FROM d) GROUP BY doc_id, w)"
+SHARED = """shared AS (
+  SELECT p.doc_id, sum(a.c) AS ca, sum(least(a.c, b.c)) AS cmin, sum(a.c * b.c) AS dot
+  FROM p JOIN bags b ON b.doc_id = p.doc_id JOIN bags a ON a.doc_id = p.o_id AND a.w = b.w GROUP BY p.doc_id)"""
+
+
+def _sets(name: str, items: str) -> str:
+    """Distinct items per document with set sizes, and per pair the sizes and the intersection."""
+    return f"""{name} AS ({items}),
+{name}_n AS (SELECT doc_id, count(*) AS n FROM {name} GROUP BY doc_id),
+{name}_i AS (
+  SELECT p.doc_id, count(*) AS n FROM p JOIN {name} b ON b.doc_id = p.doc_id
+  JOIN {name} a ON a.doc_id = p.o_id AND a.x = b.x GROUP BY p.doc_id),
+{name}_p AS (
+  SELECT p.case_id, p.doc_id, p.o_id, coalesce(a.n, 0) AS na, coalesce(b.n, 0) AS nb, coalesce(i.n, 0) AS ni
+  FROM p LEFT JOIN {name}_n a ON a.doc_id = p.o_id LEFT JOIN {name}_n b ON b.doc_id = p.doc_id
+  LEFT JOIN {name}_i i ON i.doc_id = p.doc_id)"""
+
+
+NODES = _sets("nodes", "SELECT DISTINCT doc_id, unnest(tk) AS x FROM d")
+EDGES = _sets(
+    "edges",
+    "SELECT DISTINCT doc_id, x FROM (SELECT doc_id, unnest(list_transform(range(1, len(tk)), lambda i: {'s': tk[i], 't': tk[i + 1]})) AS x FROM d)",
+)
+
+
+def _gram_sets(name: str, k: int) -> str:
+    return _sets(name, f"SELECT DISTINCT doc_id, unnest({_grams('tk', k)}) AS x FROM d")
+
+
+def _div(part: str, whole: str, empty: float = 0.0) -> str:
+    return f"CASE WHEN {whole} > 0 THEN CAST({part} AS DOUBLE) / ({whole}) ELSE {empty}::DOUBLE END"
+
+
+PRINTS = _sets(
+    "prints",
+    f"""SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(h) - {WINNOW_WINDOW} + 1, 1) + 1),
+      lambda i: list_min(h[i:i + {WINNOW_WINDOW} - 1]))) AS x
+      FROM (SELECT doc_id, list_transform({_grams('tk', WINNOW_K)}, lambda g: {_hash('g')}) AS h FROM d) WHERE len(h) > 0""",
+)
+
+POSITIONS = """pos AS (
+  SELECT doc_id, w, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS pos
+  FROM (SELECT doc_id, w, min(i) AS i FROM (
+    SELECT doc_id, unnest(tk) AS w, unnest(range(len(tk))) AS i FROM d) GROUP BY doc_id, w)),
+same AS (
+  SELECT p.doc_id, count(*) AS m FROM p JOIN pos b ON b.doc_id = p.doc_id
+  JOIN pos a ON a.doc_id = p.o_id AND a.pos = b.pos AND a.w = b.w GROUP BY p.doc_id)"""
+
+_metrics = lambda t, k: (
+    f"[len({k})::DOUBLE, len(list_distinct({k}))::DOUBLE, len(string_split({t}, chr(10)))::DOUBLE, "
+    f"length({t})::DOUBLE / len(string_split({t}, chr(10))), length({t})::DOUBLE]"
+)
+PROFILE = f"""prof AS (
+  SELECT doc_id, list_sum(list_transform(list_zip(x, y), lambda z:
+    CASE WHEN greatest(z[1], z[2]) > 0 THEN least(z[1], z[2]) / greatest(z[1], z[2]) ELSE 1.0::DOUBLE END)) / 5 AS s
+  FROM (SELECT doc_id, {_metrics('a_text', 'a_tk')} AS x, {_metrics('b_text', 'b_tk')} AS y FROM p))"""
+
+NORMS = "norms AS (SELECT doc_id, sqrt(CAST(sum(c * c) AS DOUBLE)) AS n FROM bags GROUP BY doc_id)"
+
+# measure -> (common table expressions, rows `doc_id, s`)
+PARTS: dict[str, tuple[list[str], str]] = {
+    "graph_node_jaccard": (
+        [NODES, POSITIONS],
+        """SELECT s.doc_id, CASE WHEN greatest(a_n, b_n) > 0 THEN
+  CAST(coalesce(m, 0) + greatest(a_n, b_n) - greatest(na, nb) AS DOUBLE)
+  / (na + nb - ni + greatest(a_n, b_n) - least(na, nb)) END AS s
+  FROM nodes_p s JOIN p USING (doc_id) LEFT JOIN same ON same.doc_id = s.doc_id""",
+    ),
+    "token_overlap": (
+        [BAGS, SHARED],
+        f"SELECT p.doc_id, {_div('coalesce(ca, 0)', 'a_n + b_n - coalesce(ca, 0)')} AS s FROM p LEFT JOIN shared ON shared.doc_id = p.doc_id",
+    ),
+    "bag_quick_ratio": (
+        [BAGS, SHARED],
+        f"SELECT p.doc_id, {_div('2 * coalesce(cmin, 0)', 'a_n + b_n', 1.0)} AS s FROM p LEFT JOIN shared ON shared.doc_id = p.doc_id",
+    ),
+    "graph_edit_similarity": (
+        [NODES, EDGES],
+        """SELECT n.doc_id, CASE WHEN n.na + n.nb > 0 THEN
+  1 - CAST(n.na + n.nb - 2 * n.ni + e.na + e.nb - 2 * e.ni AS DOUBLE) / (n.na + n.nb) ELSE 0.0::DOUBLE END AS s
+  FROM nodes_p n JOIN edges_p e ON e.doc_id = n.doc_id""",
+    ),
+    "bow_cosine": (
+        [BAGS, SHARED, NORMS],
+        f"""SELECT p.doc_id, {_div('coalesce(dot, 0)', 'coalesce(a.n * b.n, 0)')} AS s FROM p
+  LEFT JOIN shared ON shared.doc_id = p.doc_id LEFT JOIN norms a ON a.doc_id = p.o_id LEFT JOIN norms b ON b.doc_id = p.doc_id""",
+    ),
+    "rolling_hash": ([_gram_sets("rolling", ROLLING_K)], f"SELECT doc_id, {_div('ni', 'na')} AS s FROM rolling_p"),
+    "jaccard": ([NODES], f"SELECT doc_id, {_div('ni', 'na + nb - ni')} AS s FROM nodes_p"),
+    "metric_profile": ([PROFILE], "SELECT doc_id, s FROM prof"),
+    "ngram_similarity": ([_gram_sets("ngrams", NGRAM_N)], f"SELECT doc_id, {_div('ni', 'na + nb - ni')} AS s FROM ngrams_p"),
+    "rk_match": ([_gram_sets("kgrams", MATCH_K)], f"SELECT doc_id, {_div('ni', 'least(na, nb)')} AS s FROM kgrams_p"),
+    "winnow": ([PRINTS], f"SELECT doc_id, {_div('ni', 'na + nb - ni')} AS s FROM prints_p"),
+}
+
+
+def _edit(a: str, b: str) -> str:
+    plain = lambda t: f"translate({t}, '{LETTERS}', {' || '.join(f'chr({n})' for n in CONTROLS)})"
+    longer = f"greatest(length({a}), length({b}))"
+    return f"CASE WHEN {longer} > 0 THEN 1 - CAST(levenshtein({plain(a)}, {plain(b)}) AS DOUBLE) / {longer} ELSE 1.0::DOUBLE END"
+
+
+PARTS["levenshtein"] = ([], f"SELECT doc_id, {_edit('a_text', 'b_text')} AS s FROM p")
+PARTS["fuzzy_token_sort"] = (
+    ["sorted AS (SELECT doc_id, array_to_string(list_sort(a_tk), ' ') AS a, array_to_string(list_sort(b_tk), ' ') AS b FROM p)"],
+    f"SELECT doc_id, {_edit('a', 'b')} AS s FROM sorted",
+)
+
+
+def _with(*parts: str) -> str:
+    return "WITH " + ",\n".join(dict.fromkeys(parts)) + "\n"
+
+
+def _measure(name: str) -> str:
+    ctes, rows = PARTS[name]
+    return _with(D, *ctes) + f"SELECT p.case_id, p.doc_id, round(r.s, 6) AS similarity FROM p JOIN ({rows}) r ON r.doc_id = p.doc_id"
+
+
+def _page_sets(items: str, empty: float) -> str:
+    return _with(PAGES, _sets("items", items)) + (
+        f"SELECT case_id, doc_id, round({_div('ni', 'na + nb - ni', empty)}, 6) AS similarity FROM items_p"
+    )
+
+
+def _docs(body: str) -> str:
+    return _with(D) + body
+
+
+# Confusion counts
+
+SCORES = _with(D, *PARTS["bow_cosine"][0], f"""scores AS (
+  SELECT 'bow_cosine' AS measure, p.is_clone, coalesce(round(r.s, 6), 0) AS s
+  FROM p JOIN ({PARTS['bow_cosine'][1]}) r ON r.doc_id = p.doc_id)""")
+
+
+def _counts(thresholds: tuple[float, ...], low: str) -> str:
+    rows = ", ".join(f"({i}::BIGINT, {t}::DOUBLE)" for i, t in enumerate(thresholds))
+    return f""", counts AS (
+  SELECT measure, ord, threshold,
+    CAST(count(*) FILTER (is_clone AND s >= threshold) AS BIGINT) AS tp,
+    CAST(count(*) FILTER (NOT is_clone AND NOT s {low} threshold) AS BIGINT) AS fp,
+    CAST(count(*) FILTER (is_clone AND s < threshold) AS BIGINT) AS fn,
+    CAST(count(*) FILTER (NOT is_clone AND s {low} threshold) AS BIGINT) AS tn
+  FROM scores, (VALUES {rows}) t(ord, threshold) GROUP BY measure, ord, threshold)"""
+
+
+def _rates(source: str) -> str:
+    """`rates`: precision, recall and F of the counts in `source`."""
+    return f""", pr AS (SELECT *, {_div('tp', 'tp + fp')} AS precision, {_div('tp', 'tp + fn')} AS recall FROM {source}),
+rates AS (SELECT *, {_div('2 * precision * recall', 'precision + recall')} AS f_measure FROM pr)"""
+
+
+ACCURACY = f", acc AS (SELECT *, {_div('tp + tn', 'tp + fp + fn + tn')} AS accuracy FROM counts)"
+FIXED = _counts(evaluate.TREE_THRESHOLDS, "<")
+METRIC_COLUMNS = "round(accuracy, 6) AS accuracy, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f_measure, 6) AS f_measure"
+BEST = """, ranked AS (SELECT *, row_number() OVER (PARTITION BY measure ORDER BY accuracy DESC, ord) AS rn FROM rates),
+best AS (
+  SELECT measure, CASE WHEN accuracy > 0 THEN threshold ELSE 0 END AS threshold, accuracy,
+    CASE WHEN accuracy > 0 THEN precision ELSE 0 END AS precision,
+    CASE WHEN accuracy > 0 THEN recall ELSE 0 END AS recall,
+    CASE WHEN accuracy > 0 THEN f_measure ELSE 0 END AS f_measure FROM ranked WHERE rn = 1)"""
+
+
+def _running(weight: int) -> str:
+    upto = "OVER (PARTITION BY measure ORDER BY ord)"
+    return f""", acc AS (
+  SELECT measure, ord, threshold, {_div(f'tp + {weight} * tn', 'tp + fp + fn + tn')} AS accuracy,
+    CAST(sum(tp) {upto} AS BIGINT) AS tp, CAST(sum(fp) {upto} AS BIGINT) AS fp, CAST(sum(fn) {upto} AS BIGINT) AS fn FROM counts)"""
+
+
+def _inclusive(reset: bool) -> str:
+    counts = _counts(evaluate.DEPENDENCE_THRESHOLDS, "<=")
+    body = ACCURACY if reset else _running(1)
+    return (
+        SCORES + counts + body + _rates("acc")
+        + f" SELECT measure, ord, threshold, tp, fp, fn, {METRIC_COLUMNS}, {str(reset).lower()} AS reset FROM rates"
+    )
+
+
+def _board() -> str:
+    ctes = [c for n in BOARD for c in PARTS[n][0]]
+    rows = " UNION ALL ".join(
+        f"SELECT '{n}' AS measure, p.is_clone, coalesce(round(r.s, 6), 0) AS s FROM p JOIN ({PARTS[n][1]}) r ON r.doc_id = p.doc_id" for n in BOARD
+    )
+    head = _with(D, *ctes, f"scores AS ({rows})")
+    body = _counts(evaluate.GRAPH_THRESHOLDS, "<") + ACCURACY + _rates("acc") + BEST
+    return head + body + (
+        f", final AS (SELECT measure, threshold, {METRIC_COLUMNS} FROM best) "
+        "SELECT *, row_number() OVER (ORDER BY accuracy DESC, f_measure DESC, measure) AS place FROM final"
+    )
+
+
+# Vectors
+
+VALUES = "unnest({v})::DOUBLE AS value, CAST(unnest(range(len({v}))) AS INTEGER) AS pos"
+_values = lambda v: VALUES.format(v=v)
+E = "e AS (SELECT vec_id AS doc_id, label, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"
+POOLED = """pooled AS (
+  SELECT label, pos, avg(value) AS value FROM (
+    SELECT label, unnest(vec) AS value, unnest(range(len(vec))) AS pos FROM e) GROUP BY label, pos)"""
+STAR_VECTORS = _with(E, """first AS (SELECT source AS case_id, min(doc_id) AS o_id FROM documents GROUP BY source)""", """scored AS (
+  SELECT d.source AS case_id, d.doc_id, d.lang = o.lang AS is_clone,
+    CASE WHEN a.vec IS NULL OR b.vec IS NULL THEN NULL
+      WHEN list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec) > 0
+      THEN list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec))
+      ELSE 0 END AS s
+  FROM documents d JOIN first f ON d.source = f.case_id JOIN documents o ON o.doc_id = f.o_id
+  LEFT JOIN e a ON a.doc_id = f.o_id LEFT JOIN e b ON b.doc_id = d.doc_id WHERE d.doc_id <> f.o_id)""")
+LOOKUP = f"""bags AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest({_tokens('text')}) AS w FROM documents) GROUP BY doc_id, w),
+lookup AS (
+  SELECT w, e.vec FROM (SELECT DISTINCT w FROM bags) JOIN e ON e.doc_id = {_hash('w')} % (SELECT 2 * count(*) FROM e)),
+means AS (
+  SELECT doc_id, pos, sum(c * value) / sum(c) AS value FROM (
+    SELECT b.doc_id, b.c, unnest(l.vec) AS value, unnest(range(len(l.vec))) AS pos FROM bags b JOIN lookup l ON l.w = b.w)
+  GROUP BY doc_id, pos),
+looked AS (
+  SELECT d.doc_id, CAST(r.pos AS INTEGER) AS pos, coalesce(m.value, 0) AS value
+  FROM documents d CROSS JOIN (SELECT unnest(range(64)) AS pos) r LEFT JOIN means m ON m.doc_id = d.doc_id AND m.pos = r.pos)"""
+
+CORPUS = _docs("""SELECT d.case_id,
+  CASE WHEN d.doc_id = f.o_id THEN 'original' WHEN d.label = o.label THEN 'plagiarized' ELSE 'non-plagiarized' END AS role,
+  d.label AS level, CAST(NULL AS VARCHAR) AS author, CAST(d.doc_id AS VARCHAR) AS stem, d.text
+  FROM d JOIN first f ON d.case_id = f.case_id JOIN d o ON o.doc_id = f.o_id""")
+
+UNIT_BANDS = " OR ".join(
+    f"(x[{i + 1}] = y[{i + 1}] AND x[{i + 2}] = y[{i + 2}])" for i in range(0, len(MINHASH_SEEDS), MINHASH_BAND)
+)
+SEED_LIST = ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in MINHASH_SEEDS)
+
+BLOCKS = """places AS (SELECT doc_id, unnest(tk) AS w, unnest(range(len(tk))) AS i FROM d),
+hits AS (
+  SELECT p.doc_id, a.i, a.i - b.i AS diagonal FROM p JOIN places b ON b.doc_id = p.doc_id JOIN places a ON a.doc_id = p.o_id AND a.w = b.w),
+runs AS (
+  SELECT doc_id, count(*) AS run FROM (
+    SELECT doc_id, diagonal, i - row_number() OVER (PARTITION BY doc_id, diagonal ORDER BY i) AS island FROM hits)
+  GROUP BY doc_id, diagonal, island),
+longest AS (SELECT doc_id, max(run) AS block FROM runs GROUP BY doc_id)"""
+
+TFIDF = """n AS (SELECT count(*) AS n FROM d),
+idf AS (SELECT w, ln((n + 1.0::DOUBLE) / (count(*) + 1)) AS idf FROM bags, n GROUP BY w, n),
+wt AS (SELECT doc_id, w, c * idf AS x FROM bags JOIN idf USING (w)),
+wn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM wt GROUP BY doc_id),
+dots AS (
+  SELECT p.doc_id, sum(a.x * b.x) AS dot FROM p JOIN wt b ON b.doc_id = p.doc_id JOIN wt a ON a.doc_id = p.o_id AND a.w = b.w
+  GROUP BY p.doc_id)"""
+
+ORACLE: dict[str, str] = {
+    "corpus_scan": f"""SELECT case_id, role, level, author, stem, case_id || '/' || role || '/' || stem AS path, md5(text) AS code_md5 FROM ({CORPUS})""",
+    "original_select": f"SELECT case_id, stem, CAST(1 AS BIGINT) AS originals FROM ({CORPUS}) WHERE role = 'original'",
+    "pair_generate": f"""WITH c AS ({CORPUS})
+SELECT s.case_id, s.case_id || '/' || s.role || '/' || s.stem AS path, s.role = 'plagiarized' AS is_clone,
+  CAST(length(o.text) AS BIGINT) AS a_chars, CAST(length(s.text) AS BIGINT) AS b_chars
+FROM c s JOIN c o ON s.case_id = o.case_id AND o.role = 'original' WHERE s.role <> 'original'""",
+    "vector_store_write": _with(E) + f"SELECT '{RUN_ID}' AS run_id, doc_id AS key, {_values('vec')} FROM e",
+    "vector_store_read": _with(E) + f"""SELECT '{RUN_ID}' AS run_id, CAST(doc_id AS VARCHAR) AS key, true AS readable, {_values('vec')} FROM e
+UNION ALL SELECT 'broken', 'broken' || doc_id, false, 0, -1 FROM e WHERE label = 0""",
+    "embedding_backfill": _with(E, LOOKUP) + f"""SELECT doc_id, origin, pos, round(value, 6) AS value FROM (
+  SELECT doc_id, 'stored' AS origin, {_values('vec')} FROM e WHERE doc_id IN (SELECT doc_id FROM documents))
+UNION ALL SELECT doc_id, 'computed', pos, round(value, 6) FROM looked WHERE doc_id NOT IN (SELECT doc_id FROM e)""",
+    "pretrained_vectors_load": _with(E) + f"SELECT 'w' || doc_id AS word, {_values('vec')} FROM e",
+    "tokenize_ws": _docs("SELECT doc_id, unnest(tk) AS token, CAST(unnest(range(len(tk))) AS INTEGER) AS pos FROM d"),
+    "vocab_count": _docs("SELECT token, count(*) AS n FROM (SELECT unnest(tk) AS token FROM d) GROUP BY token"),
+    "token_nodes": _with(D, POSITIONS) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, w AS token FROM pos",
+    "token_edges": _with(D, EDGES) + "SELECT doc_id, x.s AS src, x.t AS dst FROM edges",
+    "graph_stats": _with(D, NODES, EDGES) + """SELECT d.doc_id, coalesce(n.n, 0) AS nodes, coalesce(e.n, 0) AS edges
+FROM d LEFT JOIN nodes_n n ON n.doc_id = d.doc_id LEFT JOIN edges_n e ON e.doc_id = d.doc_id""",
+    "dummy_pad_nodes": _with(D, POSITIONS) + f"""SELECT g.case_id, g.doc_id, CAST(g.pos AS INTEGER) AS pos,
+  coalesce(a.w, '{DUMMY_LABEL}' || g.pos) AS a_node, coalesce(b.w, '{DUMMY_LABEL}' || g.pos) AS b_node
+FROM (SELECT case_id, doc_id, o_id, unnest(range(greatest(a_n, b_n))) AS pos FROM p) g
+LEFT JOIN pos a ON a.doc_id = g.o_id AND a.pos = g.pos LEFT JOIN pos b ON b.doc_id = g.doc_id AND b.pos = g.pos""",
+    "edge_tokens": _with(D, EDGES) + """SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS edge_text
+FROM (SELECT doc_id, x.s || '->' || x.t AS t FROM edges) GROUP BY doc_id""",
+    "method_param_edges": f"""SELECT DISTINCT doc_id, src, dst, 'param' AS kind FROM (
+  SELECT doc_id, dst, regexp_extract(param, '(\\w+)(?:\\s*\\[\\s*\\])*\\s*$', 1) AS src FROM (
+    SELECT doc_id, dst, unnest(string_split(params, ',')) AS param FROM (
+      SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{HEADER}', 1)) AS dst,
+        unnest(regexp_extract_all(html, '{HEADER}', 2)) AS params FROM pages)))
+WHERE src <> '' AND dst NOT IN ({KEYWORD_LIST})""",
+    "identifier_set": f"""SELECT doc_id, identifier, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY identifier) - 1 AS INTEGER) AS pos
+FROM (SELECT DISTINCT page_id AS doc_id, unnest(regexp_extract_all(html, '{IDENTIFIER_PATTERN}')) AS identifier FROM pages)
+WHERE identifier NOT IN ({KEYWORD_LIST})""",
+    "flatten_lines": "SELECT doc_id, replace(text, chr(10), '') AS dropped, trim(replace(text, chr(10), ' ')) AS blanked FROM documents",
+    "truncate_tokens": _docs(f"SELECT doc_id, CAST(len(tk) AS BIGINT) AS n_tokens, array_to_string(tk[1:{MAX_TOKENS}], ' ') AS kept FROM d"),
+    **{name: _measure(name) for name in PARTS},
+    "comment_similarity": _page_sets(
+        f"""SELECT DISTINCT doc_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(text, '{MARKUP_COMMENT}'), ' '), '\\w+')) AS x FROM d""",
+        1.0,
+    ),
+    "call_similarity": _page_sets(
+        f"SELECT * FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CALL_PATTERN}', 1)) AS x FROM d) WHERE x NOT IN ({KEYWORD_LIST})",
+        0.0,
+    ),
+    "longest_block": _with(D, BLOCKS) + f"""SELECT p.case_id, p.doc_id, coalesce(l.block, 0) AS block,
+  round({_div('2 * coalesce(l.block, 0)', 'a_n + b_n', 1.0)}, 6) AS similarity
+FROM p LEFT JOIN longest l ON l.doc_id = p.doc_id""",
+    "tfidf_cosine": _with(D, BAGS, TFIDF) + f"""SELECT p.case_id, p.doc_id, round({_div('coalesce(dot, 0)', 'coalesce(a.n * b.n, 0)')}, 6) AS similarity
+FROM p LEFT JOIN dots ON dots.doc_id = p.doc_id LEFT JOIN wn a ON a.doc_id = p.o_id LEFT JOIN wn b ON b.doc_id = p.doc_id""",
+    "minhash_candidates": _with(D, NODES, f"""sig AS (
+  SELECT doc_id, list_transform([{SEED_LIST}], lambda s: list_min(list_transform(h, lambda v: (s.a * v + s.b) % {MINHASH_PRIME}))) AS x
+  FROM (SELECT doc_id, list({_hash('x')} % {MINHASH_PRIME}) AS h FROM nodes GROUP BY doc_id))""",
+        f"""joined AS (
+  SELECT n.case_id, n.doc_id, {_div('ni', 'na + nb - ni')} AS s, a.x AS x, b.x AS y
+  FROM nodes_p n LEFT JOIN sig a ON a.doc_id = n.o_id LEFT JOIN sig b ON b.doc_id = n.doc_id)""") + f"""SELECT case_id, doc_id, round(s, 6) AS similarity,
+  round(coalesce(list_sum(list_transform(list_zip(x, y), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))::DOUBLE / {len(MINHASH_SEEDS)}, 0), 6) AS estimate,
+  coalesce({UNIT_BANDS}, false) AS candidate FROM joined""",
+    "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored WHERE s IS NOT NULL",
+    "failed_pair_zero": STAR_VECTORS + """SELECT case_id, doc_id, is_clone, round(coalesce(s, 0), 6) AS similarity, 'zero' AS policy FROM scored
+UNION ALL SELECT case_id, doc_id, is_clone, round(s, 6), 'drop' FROM scored WHERE s IS NOT NULL""",
+    "mean_pool": _with(E, POOLED) + "SELECT label, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM pooled",
+    "first_pool": _with(E) + f"SELECT label, {_values('vec')} FROM e WHERE doc_id IN (SELECT min(doc_id) FROM e GROUP BY label)",
+    "l2_normalize": _with(E, POOLED) + """SELECT label, CAST(pos AS INTEGER) AS pos,
+  round(CASE WHEN n > 0 THEN value / n ELSE value END, 6) AS value
+FROM pooled JOIN (SELECT label, sqrt(sum(value * value)) AS n FROM pooled GROUP BY label) USING (label)""",
+    "pad_truncate_vec": _with(E) + f"""SELECT doc_id, CAST(dim AS INTEGER) AS dim, {_values('v')} FROM (
+  SELECT doc_id, dim, list_transform(range(1, dim + 1), lambda i: coalesce(vec[i], 0)) AS v FROM e, (VALUES (16), (100)) t(dim))""",
+    "lookup_doc_vectors": _with(E, LOOKUP) + "SELECT doc_id, pos, round(value, 6) AS value FROM looked",
+    "threshold_sweep": SCORES + FIXED + " SELECT * FROM counts",
+    "eval_metrics": SCORES + FIXED + ACCURACY + _rates("acc") + f" SELECT measure, ord, threshold, tp, fp, fn, tn, {METRIC_COLUMNS} FROM rates",
+    "best_threshold": SCORES + FIXED + ACCURACY + _rates("acc") + BEST + f" SELECT measure, threshold, {METRIC_COLUMNS} FROM best",
+    "legacy_sweep": SCORES + _counts(evaluate.TREE_THRESHOLDS, "<=") + _running(2) + _rates("acc")
+    + f" SELECT measure, ord, threshold, tp, fp, fn, {METRIC_COLUMNS} FROM rates",
+    "inclusive_sweep": f"SELECT * FROM ({_inclusive(False)}) UNION ALL SELECT * FROM ({_inclusive(True)})",
+    "confusion_matrix": SCORES + FIXED + """ SELECT measure, threshold, 0::BIGINT AS row, 0::BIGINT AS col, tp AS n FROM counts
+UNION ALL SELECT measure, threshold, 0, 1, fp FROM counts UNION ALL SELECT measure, threshold, 1, 0, fn FROM counts
+UNION ALL SELECT measure, threshold, 1, 1, tn FROM counts""",
+    "approach_leaderboard": _board(),
+}
