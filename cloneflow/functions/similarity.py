@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloneflow.functions.text import let, shared_counts
+from cloneflow.functions.edit import edit_distance
+from cloneflow.functions.text import let
 
 
 def ratio(part: Column, whole: Column, empty: float = 0.0) -> Column:
@@ -49,37 +52,33 @@ def positional_jaccard(nodes_a: Column, nodes_b: Column, n: Column) -> Column:
     return F.when(n > 0, (same + n - longer).cast("double") / (union + n - shorter).cast("double"))
 
 
-def token_overlap(bag_a: Column, bag_b: Column, size_a: Column, size_b: Column) -> Column:
+def _total(entries: Column, term: Callable[[Column], Column]) -> Column:
+    return F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, e: acc + term(e))
+
+
+def token_overlap(shared: Column, size_a: Column, size_b: Column) -> Column:
     """Tokens of a (with repeats) that b has, over all tokens minus those. Not symmetric."""
-    return let(
-        F.aggregate(shared_counts(bag_a, bag_b), F.lit(0).cast("bigint"), lambda acc, s: acc + s["ca"]),
-        lambda c: ratio(c, size_a + size_b - c),
-    )
+    return let(_total(shared, lambda s: s["ca"]), lambda c: ratio(c, size_a + size_b - c))
 
 
-def bag_ratio(bag_a: Column, bag_b: Column, size_a: Column, size_b: Column) -> Column:
+def bag_ratio(shared: Column, size_a: Column, size_b: Column) -> Column:
     """Twice the shared token count over all tokens: the upper bound of the block-matching ratio."""
-    shared = F.aggregate(
-        shared_counts(bag_a, bag_b), F.lit(0).cast("bigint"), lambda acc, s: acc + F.least(s["ca"], s["cb"])
-    )
-    return ratio(2 * shared, size_a + size_b, 1.0)
+    return ratio(2 * _total(shared, lambda s: F.least(s["ca"], s["cb"])), size_a + size_b, 1.0)
 
 
-def bag_cosine(bag_a: Column, bag_b: Column) -> Column:
+def bag_cosine(shared: Column, bag_a: Column, bag_b: Column) -> Column:
     """Cosine of two term-count vectors."""
-
-    def squares(entries: Column) -> Column:
-        return F.aggregate(entries, F.lit(0).cast("bigint"), lambda acc, e: acc + e["cnt"] * e["cnt"])
-
-    shared = F.aggregate(shared_counts(bag_a, bag_b), F.lit(0).cast("bigint"), lambda acc, s: acc + s["ca"] * s["cb"])
-    return ratio(shared, F.sqrt(squares(bag_a).cast("double")) * F.sqrt(squares(bag_b).cast("double")))
+    length = lambda bag: F.sqrt(_total(bag, lambda e: e["cnt"] * e["cnt"]).cast("double"))
+    return let(
+        length(bag_a) * length(bag_b),
+        lambda lengths: ratio(_total(shared, lambda s: s["ca"] * s["cb"]), lengths),
+    )
 
 
 def edit_similarity(a: Column, b: Column) -> Column:
     """1 − Levenshtein distance over the longer length, on whole strings."""
     longer = F.greatest(F.char_length(a), F.char_length(b))
-    distance = F.when(a == b, 0).otherwise(F.levenshtein(a, b))
-    return F.when(longer > 0, 1 - distance.cast("double") / longer).otherwise(1.0)
+    return F.when(longer > 0, 1 - edit_distance(a, b).cast("double") / longer).otherwise(1.0)
 
 
 def profile_similarity(a: Column, b: Column) -> Column:

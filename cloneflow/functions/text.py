@@ -7,9 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters that separate tokens (every Unicode white-space character and the
-# four ASCII separators), and the words that look like a call but are not one.
-TOKEN_PATTERN = r"[^\s\x0B\x1C-\x1F\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+# The white-space characters that `\\s` does not know (ASCII separators, next line, and the
+# Unicode spaces), and the words that look like a call but are not one.
+MORE_SPACES = (
+    "\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000"
+)
 IDENTIFIER_PATTERN = r"[A-Za-z_$][A-Za-z0-9_$]*"
 CALL_PATTERN = r"([A-Za-z_$][A-Za-z0-9_$]*)\s*\("
 KEYWORDS = (
@@ -33,8 +36,8 @@ def empty_strings() -> Column:
 
 
 def tokens(text: Column) -> Column:
-    """White-space tokens in order."""
-    return F.regexp_extract_all(text, F.lit(TOKEN_PATTERN), F.lit(0))
+    """White-space tokens in order. Rare spaces become blanks first, which keeps the pattern a fast one."""
+    return F.regexp_extract_all(F.translate(text, MORE_SPACES, " " * len(MORE_SPACES)), F.lit(r"\S+"), F.lit(0))
 
 
 def truncate(toks: Column, limit: int = MAX_TOKENS) -> Column:
@@ -49,17 +52,22 @@ def flatten_lines(text: Column, with_blank: bool = False) -> Column:
     return F.regexp_replace(text, r"\n", "")
 
 
-def gram_hashes(toks: Column, k: int) -> Column:
-    """One 64-bit hash per window of k consecutive tokens."""
+def _windows(toks: Column, k: int, make: Callable[..., Column], kind: str) -> Column:
+    """`make` over the k tokens of every window. Tokens are fetched by index: `slice` would copy the array."""
     return let(
         toks,
         lambda t: F.when(
             F.size(t) >= k,
-            F.transform(F.sequence(F.lit(1), F.size(t) - (k - 1)), lambda i: F.xxhash64(F.slice(t, i, k))),
-        ).otherwise(F.array().cast("array<bigint>")),
+            F.transform(F.sequence(F.lit(0), F.size(t) - k), lambda i: make(*[F.get(t, i + o) for o in range(k)])),
+        ).otherwise(F.array().cast(f"array<{kind}>")),
     )
 
 
+def gram_hashes(toks: Column, k: int) -> Column:
+    """One 64-bit hash per window of k consecutive tokens."""
+    return _windows(toks, k, F.xxhash64, "bigint")
+
+
 def portable_hash(text: Column) -> Column:
     """A 60-bit hash whose *order* other engines can reproduce: the leading hex digits of md5."""
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 15), 16, 10).cast("bigint")
@@ -67,16 +75,7 @@ def portable_hash(text: Column) -> Column:
 
 def ordered_gram_hashes(toks: Column, k: int) -> Column:
     """Like `gram_hashes`, for measures in which the smallest hash wins."""
-    return let(
-        toks,
-        lambda t: F.when(
-            F.size(t) >= k,
-            F.transform(
-                F.sequence(F.lit(1), F.size(t) - (k - 1)),
-                lambda i: portable_hash(F.array_join(F.slice(t, i, k), " ")),
-            ),
-        ).otherwise(F.array().cast("array<bigint>")),
-    )
+    return _windows(toks, k, lambda *words: portable_hash(F.concat_ws(" ", *words)), "bigint")
 
 
 def winnow(hashes: Column, window: int) -> Column:
@@ -87,8 +86,8 @@ def winnow(hashes: Column, window: int) -> Column:
             F.size(h) > 0,
             F.array_distinct(
                 F.transform(
-                    F.sequence(F.lit(1), F.greatest(F.size(h) - (window - 1), F.lit(1))),
-                    lambda i: F.array_min(F.slice(h, i, window)),
+                    F.sequence(F.lit(0), F.greatest(F.size(h) - window, F.lit(0))),
+                    lambda i: F.least(*[F.get(h, i + o) for o in range(window)]),
                 )
             ),
         ).otherwise(F.array().cast("array<bigint>")),
@@ -158,17 +157,14 @@ def comment_words(text: Column, markup: bool = False) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.array_join(parts, " "), F.lit(r"\w+"), F.lit(0)))
 
 
-def metric_profile(text: Column) -> Column:
+def metric_profile(text: Column, toks: Column) -> Column:
     """Tokens, distinct tokens, lines, characters per line, characters."""
     lines = F.size(F.split(text, "\n"))
     chars = F.char_length(text)
-    return let(
-        tokens(text),
-        lambda t: F.array(
-            F.size(t).cast("double"),
-            F.size(F.array_distinct(t)).cast("double"),
-            lines.cast("double"),
-            chars.cast("double") / lines,
-            chars.cast("double"),
-        ),
+    return F.array(
+        F.size(toks).cast("double"),
+        F.size(F.array_distinct(toks)).cast("double"),
+        lines.cast("double"),
+        chars.cast("double") / lines,
+        chars.cast("double"),
     )

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 import numpy as np
 
 from cloneflow.functions.vector import cosine, l2_normalize
-from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, join_unique, number_rows
+from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, fits, join_unique, number_rows
 from cloneflow.session import materialize
 
 # Word vectors pay for a larger broadcast: otherwise a vector travels with every token of the corpus.
@@ -133,34 +133,34 @@ def glove_factorize(edges: DataFrame, dim: int = 16, seed: int = 42, iterations:
 
 
 def spectral_embed(edges: DataFrame, dim: int = 16, rounds: int = 4, seed: int = 42) -> DataFrame:
-    """`tok, vec`: leading eigenvectors of the normalised token graph D^-1/2 (A + Aᵀ) D^-1/2.
+    """`tok, vec`: leading eigenspace of the normalised token graph D^-1/2 (A + Aᵀ) D^-1/2.
 
-    Subspace iteration: a round is one join of the edges with the node vectors and one aggregation, and
-    only the dim × dim Gram matrix of the vectors reaches the driver. Rounds are written tables.
+    Randomised subspace iteration: each round is one join of the edges with the node vectors and one
+    aggregation, written as a table. Only the dim × dim Gram matrix of the last vectors reaches the driver.
     """
     both = edges.select("src", "dst", "n").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     sym = materialize(both.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("w")), "adjacency")
-    nodes = materialize(sym.groupBy("src").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n")), "degrees")
-    scale = nodes.select(F.col("src").alias("dst"), F.col("d").alias("dd"))
+    nodes = materialize(sym.groupBy("src").agg(F.sum("w").alias("d"), (F.count(F.lit(1)) + 1).alias("n")), "degrees")
     per_dst = nodes.select(F.col("src").alias("dst"), "n")
-    edges = join_unique(sym, scale, ["dst"], ["src"], counts=per_dst)
-    edges = join_unique(edges, nodes.select("src", "d"), ["src"], ["dst"], counts=nodes.select("src", "n"))
-    edges = materialize(edges.select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("dd"))).alias("w")), "normalised")
+    scaled = join_unique(sym, nodes.select(F.col("src").alias("dst"), F.col("d").alias("dd")), ["dst"], ["src"], counts=per_dst)
+    scaled = join_unique(scaled, nodes.select("src", "d"), ["src"], ["dst"], counts=nodes.select("src", "n"))
+    # An own edge of weight 1 per node shifts the spectrum to be positive, so the largest eigenvalues win.
+    own = nodes.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
+    normalised = scaled.select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("dd"))).alias("w")).unionByName(own)
+    normalised = materialize(normalised, "normalised")
 
     unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "src"), F.lit(2_000_001)) / F.lit(1_000_000.0)) - 1
-    x = nodes.select(F.col("src").alias("dst"), F.array(*[unit(i) for i in range(dim)]).alias("vec"))
+    x = materialize(nodes.select(F.col("src").alias("dst"), F.array(*[unit(i) for i in range(dim)]).alias("vec")), "start")
+    small = fits(x)
     for _ in range(rounds):
-        x = materialize(_orthonormal(x, dim), "basis")
-        hop = join_unique(edges, x, ["dst"], ["src"], counts=per_dst)
+        hop = join_unique(normalised, x, ["dst"], ["src"], counts=per_dst, small=small)
         sums = [F.sum(F.col("w") * F.get("vec", F.lit(i))) for i in range(dim)]
-        # Adding the vector itself shifts the spectrum to be positive, so the largest eigenvalues win.
-        near = hop.groupBy("src").agg(F.array(*sums).alias("near")).withColumnRenamed("src", "dst")
-        x = materialize(x.join(near, "dst").select("dst", F.zip_with("vec", "near", lambda a, b: a + b).alias("vec")), "round")
+        x = materialize(hop.groupBy("src").agg(F.array(*sums).alias("vec")).withColumnRenamed("src", "dst"), "round")
     return _orthonormal(x, dim).select(F.col("dst").alias("tok"), "vec")
 
 
 def _orthonormal(x: DataFrame, dim: int) -> DataFrame:
-    """The columns of x made orthonormal through the Cholesky factor of their dim × dim Gram matrix."""
+    """The columns of x made orthonormal through the eigenvectors of their dim × dim Gram matrix."""
     upper = [(i, j) for i in range(dim) for j in range(i, dim)]
     row = x.agg(*[F.sum(F.get("vec", F.lit(i)) * F.get("vec", F.lit(j))) for i, j in upper]).first()
     gram = np.zeros((dim, dim))

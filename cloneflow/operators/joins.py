@@ -45,15 +45,17 @@ def join_unique(
     counts: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
     min_hot_rows: int = MIN_HOT_ROWS,
+    small: bool | None = None,
 ) -> DataFrame:
     """Join `big` with a side that has one row per key ("inner" or "left").
 
     A side whose measured size allows it is broadcast, so `big` is not shuffled at all. Otherwise both are
     shuffled, and every hot key of `big` is split over several salts with its one partner row repeated
     per salt. The salt is a hash of `salt_by`, so a recomputed task puts each row where it was before.
-    `counts` (key columns and `n`, the rows of `big` per key) saves counting when it is known.
+    `counts` (key columns and `n`, the rows of `big` per key) saves counting when it is known, and `small`
+    saves measuring a side that was measured before.
     """
-    if fits(unique, broadcast_bytes):
+    if small if small is not None else fits(unique, broadcast_bytes):
         return big.join(F.broadcast(unique), on, how)
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))

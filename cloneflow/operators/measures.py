@@ -8,7 +8,7 @@ corpus, or positions, are DataFrame functions below.
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -35,44 +35,43 @@ MINHASH_BAND = 2
 
 @dataclass(frozen=True)
 class Measure:
+    """Per-document features, columns of the pair made from them (shared by name), and the score."""
+
     features: Features
     score: Callable[[], Column]
+    prepare: dict[str, Callable[[], Column]] = field(default_factory=dict)
 
 
-def _tok(text: Column) -> Column:
-    return tx.tokens(text)
-
+def _text(text: Column, toks: Column) -> Column:
+    return text
 
-def _distinct(text: Column) -> Column:
-    return F.array_distinct(tx.tokens(text))
 
+def _distinct(text: Column, toks: Column) -> Column:
+    return F.array_distinct(toks)
 
-def _size(text: Column) -> Column:
-    return F.size(tx.tokens(text))
 
+def _size(text: Column, toks: Column) -> Column:
+    return F.size(toks)
 
-def _bag(text: Column) -> Column:
-    return tx.bag(tx.tokens(text))
 
+def _bag(text: Column, toks: Column) -> Column:
+    return tx.bag(toks)
 
-def _edges(text: Column) -> Column:
-    return F.array_distinct(tx.gram_hashes(tx.tokens(text), 2))
 
+def _grams(k: int) -> Callable[[Column, Column], Column]:
+    return lambda text, toks: F.array_distinct(tx.gram_hashes(toks, k))
 
-def _grams(k: int) -> Callable[[Column], Column]:
-    return lambda text: F.array_distinct(tx.gram_hashes(tx.tokens(text), k))
 
+def _sorted_tokens(text: Column, toks: Column) -> Column:
+    return F.array_join(F.sort_array(toks), " ")
 
-def _sorted_tokens(text: Column) -> Column:
-    return F.array_join(F.sort_array(tx.tokens(text)), " ")
 
+def _fingerprints(text: Column, toks: Column) -> Column:
+    return tx.winnow(tx.ordered_gram_hashes(toks, WINNOW_K), WINNOW_WINDOW)
 
-def _fingerprints(text: Column) -> Column:
-    return tx.winnow(tx.ordered_gram_hashes(tx.tokens(text), WINNOW_K), WINNOW_WINDOW)
 
-
-def _signature(text: Column) -> Column:
-    hashes = F.transform(F.array_distinct(tx.tokens(text)), tx.portable_hash)
+def _signature(text: Column, toks: Column) -> Column:
+    hashes = F.transform(F.array_distinct(toks), tx.portable_hash)
     return sim.minhash(hashes, MINHASH_SEEDS, MINHASH_PRIME)
 
 
@@ -80,32 +79,34 @@ def _on(function: Callable[..., Column], *names: str) -> Callable[[], Column]:
     return lambda: function(*[F.col(n) for n in names])
 
 
+SHARED = {"a_shared": _on(tx.shared_counts, "a_bag", "b_bag")}
+
 MEASURES: dict[str, Measure] = {
     "graph_node_jaccard": Measure(
         {"nodes": _distinct, "size": _size},
         lambda: sim.positional_jaccard(F.col("a_nodes"), F.col("b_nodes"), F.greatest("a_size", "b_size")),
     ),
     "token_overlap": Measure(
-        {"bag": _bag, "size": _size}, _on(sim.token_overlap, "a_bag", "b_bag", "a_size", "b_size")
+        {"bag": _bag, "size": _size}, _on(sim.token_overlap, "a_shared", "a_size", "b_size"), SHARED
     ),
-    "bag_quick_ratio": Measure({"bag": _bag, "size": _size}, _on(sim.bag_ratio, "a_bag", "b_bag", "a_size", "b_size")),
+    "bag_quick_ratio": Measure({"bag": _bag, "size": _size}, _on(sim.bag_ratio, "a_shared", "a_size", "b_size"), SHARED),
     "graph_edit_similarity": Measure(
-        {"nodes": _distinct, "edges": _edges},
+        {"nodes": _distinct, "edges": _grams(2)},
         _on(sim.graph_edit_similarity, "a_nodes", "a_edges", "b_nodes", "b_edges"),
     ),
-    "bow_cosine": Measure({"bag": _bag}, _on(sim.bag_cosine, "a_bag", "b_bag")),
+    "bow_cosine": Measure({"bag": _bag}, _on(sim.bag_cosine, "a_shared", "a_bag", "b_bag"), SHARED),
     "comment_similarity": Measure(
-        {"comments": tx.comment_words}, lambda: sim.jaccard(F.col("a_comments"), F.col("b_comments"), empty=1.0)
+        {"comments": lambda text, toks: tx.comment_words(text)}, lambda: sim.jaccard(F.col("a_comments"), F.col("b_comments"), empty=1.0)
     ),
     "markup_comment_similarity": Measure(
-        {"markup": lambda t: tx.comment_words(t, markup=True)},
+        {"markup": lambda text, toks: tx.comment_words(text, markup=True)},
         lambda: sim.jaccard(F.col("a_markup"), F.col("b_markup"), empty=1.0),
     ),
-    "call_similarity": Measure({"calls": tx.called_names}, _on(sim.jaccard, "a_calls", "b_calls")),
+    "call_similarity": Measure({"calls": lambda text, toks: tx.called_names(text)}, _on(sim.jaccard, "a_calls", "b_calls")),
     "fuzzy_token_sort": Measure({"sorted": _sorted_tokens}, _on(sim.edit_similarity, "a_sorted", "b_sorted")),
     "rolling_hash": Measure({"windows": _grams(ROLLING_K)}, _on(sim.share_of, "a_windows", "b_windows")),
     "jaccard": Measure({"nodes": _distinct}, _on(sim.jaccard, "a_nodes", "b_nodes")),
-    "levenshtein": Measure({"text": lambda t: t}, _on(sim.edit_similarity, "a_text", "b_text")),
+    "levenshtein": Measure({"text": _text}, _on(sim.edit_similarity, "a_text", "b_text")),
     "metric_profile": Measure({"profile": tx.metric_profile}, _on(sim.profile_similarity, "a_profile", "b_profile")),
     "ngram_similarity": Measure({"ngrams": _grams(NGRAM_N)}, _on(sim.jaccard, "a_ngrams", "b_ngrams")),
     "rk_match": Measure({"kgrams": _grams(MATCH_K)}, _on(sim.containment, "a_kgrams", "b_kgrams")),
@@ -120,6 +121,7 @@ def features_of(names: list[str]) -> Features:
 def similarity_columns(pairs: DataFrame, names: list[str]) -> DataFrame:
     """One column per measure; everything else of the pair except its features stays."""
     keep = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
+    pairs = pairs.withColumns({k: make() for n in names for k, make in MEASURES[n].prepare.items()})
     return pairs.select(*keep, *[MEASURES[n].score().alias(n) for n in names])
 
 
@@ -143,14 +145,14 @@ def longest_block(table: DataFrame) -> DataFrame:
     by set tests on the pair, and an exact copy needs neither.
     """
     shorter = {f"g{k}": _grams(k) for k in range(2, BLOCK_K)}
-    pairs = star_pairs(table, {"text": lambda t: t, "nodes": _distinct, "size": _size, **shorter}, label=None)
+    pairs = star_pairs(table, {"text": _text, "nodes": _distinct, "size": _size, **shorter}, label=None)
     short = F.when(F.col("a_text") == F.col("b_text"), F.col("a_size"))
     for k in range(BLOCK_K - 1, 1, -1):
         short = short.when(F.arrays_overlap(f"a_g{k}", f"b_g{k}"), k)
     short = short.when(F.arrays_overlap("a_nodes", "b_nodes"), 1).otherwise(0)
     base = pairs.select("case_id", "doc_id", "a_size", "b_size", short.alias("short"))
 
-    grams = {"grams": lambda t: tx.gram_hashes(tx.tokens(t), BLOCK_K), "text": lambda t: t}
+    grams = {"grams": lambda text, toks: tx.gram_hashes(toks, BLOCK_K), "text": _text}
     both = star_pairs(table, grams, label=None).where(
         (F.col("a_text") != F.col("b_text")) & F.arrays_overlap("a_grams", "b_grams")
     )
@@ -188,7 +190,7 @@ def longest_block(table: DataFrame) -> DataFrame:
 
 def term_counts(table: DataFrame, text: str = "text") -> DataFrame:
     """`case_id, doc_id, tok, cnt`, counted inside the row: no shuffle."""
-    return table.select("case_id", "doc_id", F.inline(_bag(F.col(text))))
+    return table.select("case_id", "doc_id", F.inline(tx.bag(tx.tokens(F.col(text)))))
 
 
 def vocabulary(table: DataFrame, text: str = "text", min_count: int = 1) -> DataFrame:
@@ -200,29 +202,26 @@ def vocabulary(table: DataFrame, text: str = "text", min_count: int = 1) -> Data
 def tfidf_cosine(table: DataFrame) -> DataFrame:
     """`case_id, doc_id, similarity`: cosine of tf · ln((N+1)/(df+1)) for each star pair."""
     n = table.count()
-    terms = term_counts(table)
     df = materialize(vocabulary(table).select("tok", F.col("docs").alias("n")), "document_frequency")
     idf = df.select("tok", F.log(F.lit(n + 1.0) / (F.col("n") + 1)).alias("idf"))
-    weight = (F.col("cnt") * F.col("idf")).alias("w")
 
     def weighted(rows: DataFrame, counts: DataFrame | None) -> DataFrame:
-        joined = join_unique(rows, idf, ["tok"], ["doc_id"], counts=counts)
-        return joined.select("case_id", "doc_id", "tok", weight)
+        joined = join_unique(term_counts(rows), idf, ["tok"], ["doc_id"], counts=counts)
+        return joined.select("case_id", "doc_id", "tok", (F.col("cnt") * F.col("idf")).alias("w"))
 
     first = first_rows(table, "case_id", "doc_id")
-    a = weighted(term_counts(first), None).select("case_id", "tok", F.col("w").alias("wa"))
+    a = materialize(weighted(first, None).select("case_id", "tok", F.col("w").alias("wa")), "original_weights")
     norms = a.groupBy("case_id").agg(F.sqrt(F.sum(F.col("wa") * F.col("wa"))).alias("norm_a"))
-    b = weighted(terms, df)
     dots = (
-        join_unique(b, a, ["case_id", "tok"], ["doc_id"], how="left")
+        join_unique(weighted(table, df), a, ["case_id", "tok"], ["doc_id"], how="left")
         .groupBy("case_id", "doc_id")
         .agg(F.sum(F.col("w") * F.col("wa")).alias("dot"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm_b"))
     )
     pairs = star_pairs(table.select("case_id", "doc_id"), {}, label=None, text="case_id")
     scored = pairs.join(dots, ["case_id", "doc_id"], "left")
     scored = join_unique(scored, norms, ["case_id"], ["doc_id"], how="left")
-    dot = F.coalesce("dot", F.lit(0.0))
-    return scored.select("case_id", "doc_id", sim.ratio(dot, F.coalesce(F.col("norm_a") * F.col("norm_b"), F.lit(0.0))).alias("similarity"))
+    dot, lengths = F.coalesce("dot", F.lit(0.0)), F.coalesce(F.col("norm_a") * F.col("norm_b"), F.lit(0.0))
+    return scored.select("case_id", "doc_id", sim.ratio(dot, lengths).alias("similarity"))
 
 
 def minhash_candidates(table: DataFrame) -> DataFrame:

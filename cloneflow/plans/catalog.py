@@ -74,7 +74,7 @@ def original_select(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pair_generate(spark: SparkSession, sf: str) -> DataFrame:
     files = corpus.label_table(tables.documents(spark, sf))
-    pairs = corpus.make_pairs(files, {"chars": F.char_length})
+    pairs = corpus.make_pairs(files, {"chars": lambda text, toks: F.char_length(text)})
     return pairs.select("case_id", "path", "is_clone", F.col("a_chars").cast("bigint"), F.col("b_chars").cast("bigint"))
 
 
@@ -312,7 +312,8 @@ def pdg_w2v_similarity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def random_walk_graph(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.corpus_edges(tables.documents(spark, sf))
-    return graph.random_walks(edges, WALK_LENGTH, WALKS)
+    walks = graph.random_walks(edges, WALK_LENGTH, WALKS)
+    return walks.select("walk_id", F.posexplode("tokens").alias("step", "node"))
 
 
 def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -324,8 +325,8 @@ def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
 @query
 def node2vec_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    walks = graph.walk_sentences(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS))
-    _, trained = embed.w2v_train(materialize(walks, "walks"), LEARNED_DIM, window=10)
+    walks = materialize(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS), "walks")
+    _, trained = embed.w2v_train(walks, LEARNED_DIM, window=10)
     return _graph_query(docs, trained)
 
 

@@ -6,7 +6,7 @@ mistake in a Spark shortcut cannot repeat itself here.
 
 from __future__ import annotations
 
-from cloneflow.functions.text import CALL_PATTERN, IDENTIFIER_PATTERN, KEYWORDS, MARKUP_COMMENT, MAX_TOKENS, TOKEN_PATTERN
+from cloneflow.functions.text import CALL_PATTERN, IDENTIFIER_PATTERN, KEYWORDS, MARKUP_COMMENT, MAX_TOKENS, MORE_SPACES
 from cloneflow.operators import evaluate
 from cloneflow.operators.graph import DUMMY_LABEL, HEADER
 from cloneflow.operators.measures import (
@@ -28,8 +28,12 @@ LETTERS = "óçäÄéÉÇßíÊÍêüÖÜñÑèÓÈö"
 CONTROLS = [n for n in range(1, 32) if n not in (9, 10, 11, 12, 13)][: len(LETTERS)]
 
 
+# The same white space as one character class.
+TOKEN_CLASS = r"[^\s\x0B" + "".join(f"\\x{{{ord(c):X}}}" for c in MORE_SPACES) + "]+"
+
+
 def _tokens(text: str) -> str:
-    return f"regexp_extract_all({text}, '{TOKEN_PATTERN}')"
+    return f"regexp_extract_all({text}, '{TOKEN_CLASS}')"
 
 
 def _hash(text: str) -> str:

@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cloneflow.functions.text import tokens
 from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, join_unique
 
-Features = dict[str, Callable[[Column], Column]]
+# A feature is made from a document's text and its tokens, which are split once for all features.
+Features = dict[str, Callable[[Column, Column], Column]]
 
 # The three folder names that carry the label.
 ORIGINAL, CLONE, NON_CLONE = "original", "plagiarized", "non-plagiarized"
@@ -55,10 +57,11 @@ def pick_originals(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def _with_features(df: DataFrame, keep: list[str], text: str, features: Features, prefix: str) -> DataFrame:
-    return df.select(
+    split = df.select("case_id", *keep, F.col(text).alias("_text"), tokens(F.col(text)).alias("_toks"))
+    return split.select(
         "case_id",
         *[F.col(c).alias(prefix + c) for c in keep],
-        *[make(F.col(text)).alias(prefix + name) for name, make in features.items()],
+        *[make(F.col("_text"), F.col("_toks")).alias(prefix + name) for name, make in features.items()],
     )
 
 
