@@ -15,7 +15,8 @@ from cloneflow.session import materialize
 
 # Word vectors pay for a larger broadcast: otherwise a vector travels with every token of the corpus.
 LOOKUP_BYTES = 256 * 1024 * 1024
-MAX_VOCABULARY = 2_000_000
+# The trainer keeps vocabulary × dimension floats on the driver and in every task.
+MAX_MODEL_FLOATS = 64_000_000
 
 
 def mean_pool(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec", weight: str | None = None) -> DataFrame:
@@ -72,13 +73,15 @@ def w2v_train(
     min_count: int = 1,
     seed: int = 42,
     tokens: str = "tokens",
-    max_vocabulary: int = MAX_VOCABULARY,
+    max_vocabulary: int | None = None,
 ) -> tuple[Word2VecModel, DataFrame]:
     """(model, `tok, vec` for every word of the corpus).
 
-    Spark's trainer keeps the vocabulary on the driver, so it is measured first. A vocabulary beyond
-    `max_vocabulary` is trained on that many hash buckets, and every word gets its bucket's vector.
+    Spark's trainer keeps the vocabulary on the driver, so it is measured first. One beyond `max_vocabulary`
+    (by default what MAX_MODEL_FLOATS allows) is trained on that many hash buckets, and every word gets its
+    bucket's vector.
     """
+    max_vocabulary = max_vocabulary or MAX_MODEL_FLOATS // dim
     words = sentences.select(F.explode(tokens).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
     words = materialize(words.where(F.col("n") >= min_count).select("tok"), "vocabulary")
     hashed = words.count() > max_vocabulary
@@ -135,8 +138,8 @@ def glove_factorize(edges: DataFrame, dim: int = 16, seed: int = 42, iterations:
 def spectral_embed(edges: DataFrame, dim: int = 16, rounds: int = 4, seed: int = 42) -> DataFrame:
     """`tok, vec`: leading eigenspace of the normalised token graph D^-1/2 (A + Aᵀ) D^-1/2.
 
-    Randomised subspace iteration: each round is one join of the edges with the node vectors and one
-    aggregation, written as a table. Only the dim × dim Gram matrix of the last vectors reaches the driver.
+    Randomised subspace iteration: each round is one join of the edges with the orthonormal node vectors and
+    one aggregation, written as a table. Only the dim × dim Gram matrix of the vectors reaches the driver.
     """
     both = edges.select("src", "dst", "n").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     sym = materialize(both.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("w")), "adjacency")
@@ -153,7 +156,7 @@ def spectral_embed(edges: DataFrame, dim: int = 16, rounds: int = 4, seed: int =
     x = materialize(nodes.select(F.col("src").alias("dst"), F.array(*[unit(i) for i in range(dim)]).alias("vec")), "start")
     small = fits(x)
     for _ in range(rounds):
-        hop = join_unique(normalised, x, ["dst"], ["src"], counts=per_dst, small=small)
+        hop = join_unique(normalised, _orthonormal(x, dim), ["dst"], ["src"], counts=per_dst, small=small)
         sums = [F.sum(F.col("w") * F.get("vec", F.lit(i))) for i in range(dim)]
         x = materialize(hop.groupBy("src").agg(F.array(*sums).alias("vec")).withColumnRenamed("src", "dst"), "round")
     return _orthonormal(x, dim).select(F.col("dst").alias("tok"), "vec")
@@ -186,4 +189,4 @@ def pca_projection(vectors: DataFrame, k: int = 2) -> DataFrame:
 def graph_similarity(table: DataFrame, lookup: DataFrame, nodes: DataFrame, dim: int) -> DataFrame:
     """Star cosine of the mean node vector of each document's graph (`nodes` is `doc_id, tok`, distinct)."""
     pooled = lookup_doc_vectors(nodes.withColumn("cnt", F.lit(1)), lookup, table, dim)
-    return star_cosine(table, pooled)
+    return star_cosine(table, materialize(pooled, "graph_vectors"))

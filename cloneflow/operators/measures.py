@@ -145,17 +145,14 @@ def longest_block(table: DataFrame) -> DataFrame:
     by set tests on the pair, and an exact copy needs neither.
     """
     shorter = {f"g{k}": _grams(k) for k in range(2, BLOCK_K)}
-    pairs = star_pairs(table, {"text": _text, "nodes": _distinct, "size": _size, **shorter}, label=None)
+    windows = {"grams": lambda text, toks: tx.gram_hashes(toks, BLOCK_K)}
+    pairs = star_pairs(table, {"text": _text, "nodes": _distinct, "size": _size, **shorter, **windows}, label=None)
     short = F.when(F.col("a_text") == F.col("b_text"), F.col("a_size"))
     for k in range(BLOCK_K - 1, 1, -1):
         short = short.when(F.arrays_overlap(f"a_g{k}", f"b_g{k}"), k)
     short = short.when(F.arrays_overlap("a_nodes", "b_nodes"), 1).otherwise(0)
     base = pairs.select("case_id", "doc_id", "a_size", "b_size", short.alias("short"))
-
-    grams = {"grams": lambda text, toks: tx.gram_hashes(toks, BLOCK_K), "text": _text}
-    both = star_pairs(table, grams, label=None).where(
-        (F.col("a_text") != F.col("b_text")) & F.arrays_overlap("a_grams", "b_grams")
-    )
+    both = pairs.where((F.col("a_text") != F.col("b_text")) & F.arrays_overlap("a_grams", "b_grams"))
 
     def positions(side: str) -> Column:
         return F.transform(f"{side}_grams", lambda g, i: F.struct(g.alias("gram"), F.lit(side).alias("side"), i.alias("pos")))

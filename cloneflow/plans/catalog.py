@@ -306,7 +306,7 @@ def pdg_w2v_similarity(spark: SparkSession, sf: str) -> DataFrame:
     _, trained = embed.w2v_train(sentences.select("tokens"), LEARNED_DIM)
     terms = sentences.select("doc_id", F.inline(tx.bag(F.col("tokens"))))
     made = embed.w2v_doc_vectors(terms, materialize(trained, "w2v"), table, LEARNED_DIM, unit=False)
-    return embed.star_cosine(table, made).select("case_id", "doc_id", "similarity")
+    return embed.star_cosine(table, materialize(made, "page_vectors")).select("case_id", "doc_id", "similarity")
 
 
 @query

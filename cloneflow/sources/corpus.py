@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from cloneflow.functions.text import tokens
 from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, join_unique
+from cloneflow.session import materialize
 
 # A feature is made from a document's text and its tokens, which are split once for all features.
 Features = dict[str, Callable[[Column, Column], Column]]
@@ -18,18 +19,20 @@ ORIGINAL, CLONE, NON_CLONE = "original", "plagiarized", "non-plagiarized"
 
 
 def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFrame:
-    """One row per file below `case/{original,plagiarized,non-plagiarized}/…`, path parts as columns.
+    r"""One row per file below `case/{original,plagiarized,non-plagiarized}/…`, path parts as columns.
 
-    The disguise level `L1`…`L6` and the author folder are null where the path has none. Unreadable
-    files are skipped.
+    The disguise level `L1`…`L6` and the author folder are null where the path has none. Line ends become
+    `\n`, and a file that is not UTF-8 has a null `code`. Jobs that use the path only do not open the files.
+    Spark's file listing leaves out files of zero bytes.
     """
+    text = F.try_validate_utf8(F.col("content").cast("string"))
     files = (
-        spark.read.option("wholetext", True)
+        spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{suffix}")
         .option("ignoreCorruptFiles", True)
-        .text(root)
-        .select(F.url_decode("_metadata.file_path").alias("path"), F.col("value").alias("code"))
+        .load(root)
+        .select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("code"))
     )
     roles = "|".join((ORIGINAL, NON_CLONE, CLONE))
     inside = F.regexp_extract("path", rf"/(?:{roles})/(.*)$", 1)
@@ -46,12 +49,17 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
     ).where(F.col("role") != "")
 
 
+def store_corpus(corpus: DataFrame, path: str) -> DataFrame:
+    """Keep a corpus as Parquet: small files are opened once, and later jobs read only the columns they use."""
+    corpus.write.partitionBy("role").parquet(path)
+    return corpus.sparkSession.read.schema(corpus.schema).parquet(path)
+
+
 def pick_originals(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(originals of the cases that have exactly one, `case_id, originals` of all other cases)."""
     is_original = (F.col("role") == ORIGINAL).cast("int")
     counts = corpus.groupBy("case_id").agg(F.sum(is_original).cast("bigint").alias("originals"))
     originals = corpus.where(F.col("role") == ORIGINAL)
-    # A case of a thousand originals would be a faulty folder, so only good cases reach the join as rows.
     good = counts.where(F.col("originals") == 1).select("case_id")
     return originals.join(good, "case_id", "left_semi"), counts.where(F.col("originals") != 1)
 
@@ -68,10 +76,11 @@ def _with_features(df: DataFrame, keep: list[str], text: str, features: Features
 def make_pairs(corpus: DataFrame, features: Features, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each case's original against each of its suspects: `case_id, path, is_clone, a_*, b_*`.
 
-    Features are computed once per file, before the join; a case without non-clones simply has fewer rows.
+    Features are computed once per file, before the join, and those of the originals are written once, so that
+    measuring and joining them costs no further read of the corpus. A case without non-clones has fewer rows.
     """
     originals, _ = pick_originals(corpus)
-    a = _with_features(originals, [], "code", features, "a_")
+    a = materialize(_with_features(originals, [], "code", features, "a_"), "originals")
     b = _with_features(corpus.where(F.col("role") != ORIGINAL), ["path", "role"], "code", features, "b_")
     return (
         join_unique(b, a, ["case_id"], ["b_path"], broadcast_bytes=broadcast_bytes)
@@ -86,7 +95,6 @@ def star_pairs(
     features: Features,
     text: str = "text",
     label: str | None = "label",
-    how: str = "inner",
     broadcast_bytes: int = BROADCAST_BYTES,
 ) -> DataFrame:
     """Pairs of an unlabelled table `case_id, doc_id, <label>, <text>`: per case the lowest id against the rest.
@@ -95,10 +103,10 @@ def star_pairs(
     """
     labels = [label] if label else []
     originals = first_rows(table, "case_id", "doc_id")
-    a = _with_features(originals, ["doc_id", *labels], text, features, "a_")
+    a = materialize(_with_features(originals, ["doc_id", *labels], text, features, "a_"), "originals")
     b = _with_features(table, ["doc_id", *labels], text, features, "b_")
     pairs = (
-        join_unique(b, a, ["case_id"], ["b_doc_id"], how, broadcast_bytes=broadcast_bytes)
+        join_unique(b, a, ["case_id"], ["b_doc_id"], broadcast_bytes=broadcast_bytes)
         .where(F.col("a_doc_id") != F.col("b_doc_id"))
         .withColumnRenamed("b_doc_id", "doc_id")
         .drop("a_doc_id")
