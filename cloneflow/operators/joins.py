@@ -7,6 +7,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from cloneflow.functions.text import portable_hash
+
 # A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are at most HOT_PARTS hot keys.
 HOT_PARTS = 10_000
 MIN_HOT_ROWS = 100_000
@@ -50,8 +52,8 @@ def join_unique(
     """Join `big` with a side that has one row per key ("inner" or "left").
 
     A side whose measured size allows it is broadcast, so `big` is not shuffled at all. Otherwise both are
-    shuffled, and every hot key of `big` is split over several salts with its one partner row repeated
-    per salt. The salt is a hash of `salt_by`, so a recomputed task puts each row where it was before.
+    shuffled, and every hot key of `big`, if there is any, is split over several salts with its one partner
+    row repeated per salt. The salt is a hash of `salt_by`, so a recomputed task puts each row where it was before.
     `counts` (key columns and `n`, the rows of `big` per key) saves counting when it is known, and `small`
     saves measuring a side that was measured before.
     """
@@ -59,8 +61,10 @@ def join_unique(
         return big.join(F.broadcast(unique), on, how)
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    part = max(min_hot_rows, -(-total // HOT_PARTS))
+    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
+    part = max(min_hot_rows, -(-(total or 0) // HOT_PARTS))
+    if (largest or 0) <= part:
+        return big.join(unique, on, how)
     hot = counts.where(F.col("n") > part).select(*on, F.ceil(F.col("n") / F.lit(part)).cast("int").alias("_salts"))
     # At most HOT_PARTS rows: each stands for more than total / HOT_PARTS rows of `big`.
     hot = F.broadcast(hot)
@@ -82,11 +86,11 @@ def first_rows(df: DataFrame, by: str, order: str) -> DataFrame:
 def number_rows(df: DataFrame, order: str, by: list[str] | None = None, name: str = "idx") -> DataFrame:
     """Dense numbers from 0, over the table or within the `by` groups, without one task per group.
 
-    Rows are ranked inside hash shards of the (unique) `order` column, and each shard is shifted by the rows
-    before it. The offsets have at most SHARDS rows per group.
+    Rows are ranked inside hash shards of the (unique, string) `order` column, and each shard is shifted by the
+    rows before it: the order is that of (shard, `order`). The offsets have at most SHARDS rows per group.
     """
     by = by or []
-    sharded = df.withColumn("_shard", F.pmod(F.xxhash64(order), F.lit(SHARDS)).cast("int"))
+    sharded = df.withColumn("_shard", F.pmod(portable_hash(F.col(order)), F.lit(SHARDS)).cast("int"))
     sizes = sharded.groupBy(*by, "_shard").agg(F.count(F.lit(1)).alias("_n"))
     if by:
         before = W.partitionBy(*by).orderBy("_shard").rowsBetween(W.unboundedPreceding, -1)

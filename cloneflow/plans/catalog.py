@@ -23,6 +23,7 @@ RUN_ID = "20240101_000000"
 DIGITS = 6
 WALK_LENGTH = 8
 WALKS = 2
+WALK_SEED = 42
 
 BOARD = [
     "graph_node_jaccard",
@@ -288,7 +289,8 @@ def lookup_doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
 def w2v_train(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
     _, trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), LEARNED_DIM)
-    return trained.select(F.col("tok").alias("token"), F.size("vec").alias("dim"), norm(F.col("vec")).alias("length"))
+    finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e30))
+    return trained.select(F.col("tok").alias("token"), F.size("vec").alias("dim"), finite.alias("finite"))
 
 
 @query
@@ -296,7 +298,7 @@ def w2v_doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
     _, trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), LEARNED_DIM)
     made = embed.w2v_doc_vectors(measures.term_counts(docs), materialize(trained, "w2v"), docs, LEARNED_DIM)
-    return made.select("doc_id", F.size("vec").alias("dim"), norm(F.col("vec")).alias("length"))
+    return made.select("doc_id", F.size("vec").alias("dim"), F.round(norm(F.col("vec")), DIGITS).alias("length"))
 
 
 @query
@@ -312,7 +314,7 @@ def pdg_w2v_similarity(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def random_walk_graph(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.corpus_edges(tables.documents(spark, sf))
-    walks = graph.random_walks(edges, WALK_LENGTH, WALKS)
+    walks = graph.random_walks(edges, WALK_LENGTH, WALKS, WALK_SEED)
     return walks.select("walk_id", F.posexplode("tokens").alias("step", "node"))
 
 
@@ -325,7 +327,7 @@ def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
 @query
 def node2vec_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    walks = materialize(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS), "walks")
+    walks = materialize(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS, WALK_SEED), "walks")
     _, trained = embed.w2v_train(walks, LEARNED_DIM, window=10)
     return _graph_query(docs, trained)
 

@@ -19,7 +19,8 @@ from cloneflow.operators.measures import (
     WINNOW_K,
     WINNOW_WINDOW,
 )
-from cloneflow.plans.catalog import BOARD, RUN_ID
+from cloneflow.operators.joins import SHARDS
+from cloneflow.plans.catalog import BOARD, LEARNED_DIM, RUN_ID, WALK_LENGTH, WALK_SEED, WALKS
 
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in KEYWORDS)
 # The letters outside ASCII in the documents. Their place in the string is the control
@@ -268,8 +269,8 @@ STAR_VECTORS = _with(E, """first AS (SELECT source AS case_id, min(doc_id) AS o_
   FROM documents d JOIN first f ON d.source = f.case_id JOIN documents o ON o.doc_id = f.o_id
   LEFT JOIN e a ON a.doc_id = f.o_id LEFT JOIN e b ON b.doc_id = d.doc_id WHERE d.doc_id <> f.o_id)""")
 LOOKUP = f"""bags AS (SELECT doc_id, w, count(*) AS c FROM (SELECT doc_id, unnest({_tokens('text')}) AS w FROM documents) GROUP BY doc_id, w),
-lookup AS (
-  SELECT w, e.vec FROM (SELECT DISTINCT w FROM bags) JOIN e ON e.doc_id = {_hash('w')} % (SELECT 2 * count(*) FROM e)),
+slots AS (SELECT w, {_hash('w')} % (SELECT 2 * count(*) FROM e) AS slot FROM (SELECT DISTINCT w FROM bags)),
+lookup AS (SELECT w, e.vec FROM slots JOIN e ON e.doc_id = slot),
 means AS (
   SELECT doc_id, pos, sum(c * value) / sum(c) AS value FROM (
     SELECT b.doc_id, b.c, unnest(l.vec) AS value, unnest(range(len(l.vec))) AS pos FROM bags b JOIN lookup l ON l.w = b.w)
@@ -305,6 +306,21 @@ dots AS (
   SELECT p.doc_id, sum(a.x * b.x) AS dot FROM p JOIN wt b ON b.doc_id = p.doc_id JOIN wt a ON a.doc_id = p.o_id AND a.w = b.w
   GROUP BY p.doc_id)"""
 
+NUMBERED = f"""edge AS (SELECT DISTINCT x.s AS src, x.t AS dst FROM edges),
+deg AS (SELECT src, count(*) AS degree FROM edge GROUP BY src),
+num AS (SELECT src, dst, row_number() OVER (PARTITION BY src ORDER BY {_hash('dst')} % {SHARDS}, dst) - 1 AS number FROM edge),
+s0 AS (
+  SELECT node || '#' || walk AS walk_id, node
+  FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge), range({WALKS}) t(walk))"""
+
+
+def _step(i: int) -> str:
+    pick = _hash(f"'{WALK_SEED}#' || s.walk_id || '#{i}'")
+    return f"""s{i} AS (
+  SELECT s.walk_id, n.dst AS node FROM s{i - 1} s JOIN deg ON deg.src = s.node
+  JOIN num n ON n.src = s.node AND n.number = {pick} % deg.degree)"""
+
+
 ORACLE: dict[str, str] = {
     "corpus_scan": f"""SELECT case_id, role, level, author, stem, case_id || '/' || role || '/' || stem AS path, md5(text) AS code_md5 FROM ({CORPUS})""",
     "original_select": f"SELECT case_id, stem, CAST(1 AS BIGINT) AS originals FROM ({CORPUS}) WHERE role = 'original'",
@@ -319,6 +335,11 @@ UNION ALL SELECT 'broken', 'broken' || doc_id, false, 0, -1 FROM e WHERE label =
   SELECT doc_id, 'stored' AS origin, {_values('vec')} FROM e WHERE doc_id IN (SELECT doc_id FROM documents))
 UNION ALL SELECT doc_id, 'computed', pos, round(value, 6) FROM looked WHERE doc_id NOT IN (SELECT doc_id FROM e)""",
     "pretrained_vectors_load": _with(E) + f"SELECT 'w' || doc_id AS word, {_values('vec')} FROM e",
+    "w2v_model_store": _docs("SELECT DISTINCT unnest(tk) AS tok, true AS same FROM d"),
+    "w2v_train": _docs(f"SELECT DISTINCT unnest(tk) AS token, {LEARNED_DIM} AS dim, true AS finite FROM d"),
+    "w2v_doc_vectors": _docs(f"SELECT doc_id, {LEARNED_DIM} AS dim, CASE WHEN len(tk) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM d"),
+    "random_walk_graph": _with(D, EDGES, NUMBERED, *[_step(i) for i in range(1, WALK_LENGTH)])
+    + " UNION ALL ".join(f"SELECT walk_id, {i} AS step, node FROM s{i}" for i in range(WALK_LENGTH)),
     "tokenize_ws": _docs("SELECT doc_id, unnest(tk) AS token, CAST(unnest(range(len(tk))) AS INTEGER) AS pos FROM d"),
     "vocab_count": _docs("SELECT token, count(*) AS n FROM (SELECT unnest(tk) AS token FROM d) GROUP BY token"),
     "token_nodes": _with(D, POSITIONS) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, w AS token FROM pos",

@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+TASKS_PER_CORE = 3
 
 
 def build_session(app: str = "cloneflow", master: str | None = None, **conf: str) -> SparkSession:
@@ -39,7 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/cloneflow/{uuid.uuid4().hex}/{name}"
+    """A new path below one folder per application, which can be removed when the application has ended."""
+    return f"{shared_dir(spark)}/cloneflow/{spark.sparkContext.applicationId}/{name}-{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -52,9 +54,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a plain scan that yields fewer tasks than the cluster has cores.
 
-    Large inputs already have more splits than cores and pass through without a shuffle.
+    Large inputs already have more splits than cores and pass through without a shuffle. Several tasks per
+    core even out documents of very different length.
     """
     cores = scan.sparkSession.sparkContext.defaultParallelism
     if scan.rdd.getNumPartitions() >= cores:
         return scan
-    return scan.repartition(cores, *keys)
+    return scan.repartition(TASKS_PER_CORE * cores, *keys)
