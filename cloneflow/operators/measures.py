@@ -46,6 +46,10 @@ def _text(text: Column, toks: Column) -> Column:
     return text
 
 
+def _tokens(text: Column, toks: Column) -> Column:
+    return toks
+
+
 def _distinct(text: Column, toks: Column) -> Column:
     return F.array_distinct(toks)
 
@@ -106,6 +110,7 @@ MEASURES: dict[str, Measure] = {
     "fuzzy_token_sort": Measure({"sorted": _sorted_tokens}, _on(sim.edit_similarity, "a_sorted", "b_sorted")),
     "rolling_hash": Measure({"windows": _grams(ROLLING_K)}, _on(sim.share_of, "a_windows", "b_windows")),
     "jaccard": Measure({"nodes": _distinct}, _on(sim.jaccard, "a_nodes", "b_nodes")),
+    "common_subsequence": Measure({"tokens": _tokens}, _on(sim.subsequence_similarity, "a_tokens", "b_tokens")),
     "levenshtein": Measure({"text": _text}, _on(sim.edit_similarity, "a_text", "b_text")),
     "metric_profile": Measure({"profile": tx.metric_profile}, _on(sim.profile_similarity, "a_profile", "b_profile")),
     "ngram_similarity": Measure({"ngrams": _grams(NGRAM_N)}, _on(sim.jaccard, "a_ngrams", "b_ngrams")),
