@@ -1,4 +1,4 @@
-"""Edit distance of whole strings, and the common subsequence of whole token lists.
+"""Edit distance of whole strings; common subsequence and longest common block of whole token lists.
 
 Spark's built-in `levenshtein` fills the full table cell by cell; on texts of many thousand characters that is
 the whole cost of a job. The bit-parallel form (Myers 1999, in the variant of Hyyrö 2003 for two whole strings)
@@ -8,8 +8,10 @@ handles a full column of the table in a few integer operations and gives the sam
 from __future__ import annotations
 
 import sys
+from collections.abc import Callable
 from os.path import commonprefix
 
+import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
@@ -53,14 +55,9 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-@F.pandas_udf(T.IntegerType())
-def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([distance(x, y) for x, y in zip(a, b)], dtype="int32")
-
-
-def common_subsequence(a: list[str], b: list[str]) -> int:
+def common_subsequence(a: list[int], b: list[int]) -> int:
     """Length of the longest common subsequence, one column of the table per step (Hyyrö 2004)."""
-    positions: dict[str, int] = {}
+    positions: dict[int, int] = {}
     for i, tok in enumerate(a):
         positions[tok] = positions.get(tok, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -71,6 +68,51 @@ def common_subsequence(a: list[str], b: list[str]) -> int:
     return len(a) - open_rows.bit_count()
 
 
+def longest_block(a: np.ndarray, b: np.ndarray) -> int:
+    """Length of the longest run of tokens in both, by naming all windows of doubling length (Karp, Miller and
+    Rosenberg 1972). The cost does not depend on how often a token repeats."""
+
+    def name(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        names = np.unique(np.concatenate((x, y)), return_inverse=True)[1]
+        return names[: len(x)], names[len(x) :]
+
+    def extend(long: tuple, length: int, short: tuple) -> tuple | None:
+        """Names of the windows made of a long window and the short one behind it; None if none is shared."""
+        base = len(a) + len(b)
+        joined = [
+            x[: max(len(y) - length, 0)] * base + y[length:] if len(y) > length else y[:0] for x, y in zip(long, short)
+        ]
+        pair = name(*joined)
+        return pair if np.isin(*pair).any() else None
+
+    levels = [name(a, b)]
+    if not np.isin(*levels[0]).any():
+        return 0
+    while (doubled := extend(levels[-1], 1 << len(levels) - 1, levels[-1])) is not None:
+        levels.append(doubled)
+    best, length = levels[-1], 1 << len(levels) - 1
+    for power in range(len(levels) - 2, -1, -1):
+        longer = extend(best, length, levels[power])
+        if longer is not None:
+            best, length = longer, length + (1 << power)
+    return length
+
+
+def _each(measure: Callable, a: pd.Series, b: pd.Series) -> pd.Series:
+    """The measure per row; null where a side is missing."""
+    return pd.Series([None if x is None or y is None else measure(x, y) for x, y in zip(a, b)], dtype="Int32")
+
+
+@F.pandas_udf(T.IntegerType())
+def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(distance, a, b)
+
+
 @F.pandas_udf(T.IntegerType())
 def subsequence_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([common_subsequence(list(x), list(y)) for x, y in zip(a, b)], dtype="int32")
+    return _each(lambda x, y: common_subsequence(x.tolist(), y.tolist()), a, b)
+
+
+@F.pandas_udf(T.IntegerType())
+def block_length(a: pd.Series, b: pd.Series) -> pd.Series:
+    return _each(longest_block, a, b)

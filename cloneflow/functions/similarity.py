@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloneflow.functions.edit import edit_distance, subsequence_length
+from cloneflow.functions.edit import block_length, edit_distance, subsequence_length
 from cloneflow.functions.text import let
 
 
@@ -82,10 +82,15 @@ def edit_similarity(a: Column, b: Column) -> Column:
 
 
 def subsequence_similarity(a: Column, b: Column) -> Column:
-    """Longest common token subsequence over the longer token list; two empty lists score 1."""
+    """Longest common token subsequence over the longer list; two empty lists score 1."""
     return ratio(subsequence_length(a, b), F.greatest(F.size(a), F.size(b)), 1.0)
 
 
+def block_ratio(a: Column, b: Column) -> Column:
+    """Twice the longest common block over all tokens; two empty lists score 1."""
+    return ratio(2 * block_length(a, b), F.size(a) + F.size(b), 1.0)
+
+
 def profile_similarity(a: Column, b: Column) -> Column:
     """Mean over the metrics of smaller / larger; two zeros count as equal."""
     parts = F.zip_with(a, b, lambda x, y: F.when(F.greatest(x, y) > 0, F.least(x, y) / F.greatest(x, y)).otherwise(1.0))

@@ -2,16 +2,16 @@
 
 A row-local measure is a set of per-document features and one expression over the `a_` and `b_` columns of a
 pair, so any number of measures is scored in one pass over one join. Measures that need counts over the whole
-corpus, or positions, are DataFrame functions below.
+corpus are DataFrame functions below.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloneflow.functions import similarity as sim
@@ -25,7 +25,6 @@ MATCH_K = 5
 NGRAM_N = 3
 WINNOW_K = 5
 WINNOW_WINDOW = 4
-BLOCK_K = 4
 
 # Multiplier and offset of each MinHash permutation, by rule.
 MINHASH_PRIME = 2_147_483_647
@@ -46,8 +45,8 @@ def _text(text: Column, toks: Column) -> Column:
     return text
 
 
-def _tokens(text: Column, toks: Column) -> Column:
-    return toks
+def _token_hashes(text: Column, toks: Column) -> Column:
+    return F.transform(toks, lambda t: F.xxhash64(t))
 
 
 def _distinct(text: Column, toks: Column) -> Column:
@@ -110,7 +109,8 @@ MEASURES: dict[str, Measure] = {
     "fuzzy_token_sort": Measure({"sorted": _sorted_tokens}, _on(sim.edit_similarity, "a_sorted", "b_sorted")),
     "rolling_hash": Measure({"windows": _grams(ROLLING_K)}, _on(sim.share_of, "a_windows", "b_windows")),
     "jaccard": Measure({"nodes": _distinct}, _on(sim.jaccard, "a_nodes", "b_nodes")),
-    "common_subsequence": Measure({"tokens": _tokens}, _on(sim.subsequence_similarity, "a_tokens", "b_tokens")),
+    "longest_block": Measure({"hashes": _token_hashes}, _on(sim.block_ratio, "a_hashes", "b_hashes")),
+    "common_subsequence": Measure({"hashes": _token_hashes}, _on(sim.subsequence_similarity, "a_hashes", "b_hashes")),
     "levenshtein": Measure({"text": _text}, _on(sim.edit_similarity, "a_text", "b_text")),
     "metric_profile": Measure({"profile": tx.metric_profile}, _on(sim.profile_similarity, "a_profile", "b_profile")),
     "ngram_similarity": Measure({"ngrams": _grams(NGRAM_N)}, _on(sim.jaccard, "a_ngrams", "b_ngrams")),
@@ -124,10 +124,15 @@ def features_of(names: list[str]) -> Features:
 
 
 def similarity_columns(pairs: DataFrame, names: list[str]) -> DataFrame:
-    """One column per measure; everything else of the pair except its features stays."""
+    """One column per measure, null where a side has no features; the rest of the pair except its features stays."""
     keep = [c for c in pairs.columns if not c.startswith(("a_", "b_"))]
     pairs = pairs.withColumns({k: make() for n in names for k, make in MEASURES[n].prepare.items()})
-    return pairs.select(*keep, *[MEASURES[n].score().alias(n) for n in names])
+
+    def score(name: str) -> Column:
+        present = [F.col(side + f).isNotNull() for f in MEASURES[name].features for side in ("a_", "b_")]
+        return F.when(reduce(Column.__and__, present), MEASURES[name].score()).alias(name)
+
+    return pairs.select(*keep, *[score(n) for n in names])
 
 
 def long_scores(wide: DataFrame, names: list[str], digits: int | None = None) -> DataFrame:
@@ -142,54 +147,6 @@ def score_table(table: DataFrame, names: list[str], text: str = "text", label: s
     return similarity_columns(star_pairs(table, features_of(names), text, label), names)
 
 
-def longest_block(table: DataFrame) -> DataFrame:
-    """`case_id, doc_id, block, similarity`: longest run of tokens that both sides share, and 2·block/(|a|+|b|).
-
-    Runs of BLOCK_K tokens or more are runs of equal BLOCK_K-grams along one diagonal of positions. Matching
-    on the gram instead of the token leaves out the flood of single-token matches; shorter runs are decided
-    by set tests on the pair, and an exact copy needs neither.
-    """
-    shorter = {f"g{k}": _grams(k) for k in range(2, BLOCK_K)}
-    windows = {"grams": lambda text, toks: tx.gram_hashes(toks, BLOCK_K)}
-    pairs = star_pairs(table, {"text": _text, "nodes": _distinct, "size": _size, **shorter, **windows}, label=None)
-    short = F.when(F.col("a_text") == F.col("b_text"), F.col("a_size"))
-    for k in range(BLOCK_K - 1, 1, -1):
-        short = short.when(F.arrays_overlap(f"a_g{k}", f"b_g{k}"), k)
-    short = short.when(F.arrays_overlap("a_nodes", "b_nodes"), 1).otherwise(0)
-    base = pairs.select("case_id", "doc_id", "a_size", "b_size", short.alias("short"))
-    both = pairs.where((F.col("a_text") != F.col("b_text")) & F.arrays_overlap("a_grams", "b_grams"))
-
-    def positions(side: str) -> Column:
-        return F.transform(f"{side}_grams", lambda g, i: F.struct(g.alias("gram"), F.lit(side).alias("side"), i.alias("pos")))
-
-    # One pair is one document long, so grouping by (pair, gram) cannot run hot.
-    at = lambda side: F.collect_list(F.when(F.col("side") == side, F.col("pos")))
-    matches = (
-        both.select("doc_id", F.inline(F.concat(positions("a"), positions("b"))))
-        .groupBy("doc_id", "gram")
-        .agg(at("a").alias("is"), at("b").alias("js"))
-        .where((F.size("is") > 0) & (F.size("js") > 0))
-        .select("doc_id", F.explode("is").alias("i"), "js")
-        .select("doc_id", "i", F.explode("js").alias("j"))
-    )
-    along = W.partitionBy("doc_id", "diagonal").orderBy("i")
-    runs = (
-        matches.select("doc_id", "i", (F.col("i") - F.col("j")).alias("diagonal"))
-        .withColumn("island", F.col("i") - F.row_number().over(along))
-        .groupBy("doc_id", "diagonal", "island")
-        .agg(F.count(F.lit(1)).alias("run"))
-        .groupBy("doc_id")
-        .agg((F.max("run") + (BLOCK_K - 1)).alias("long"))
-    )
-    block = F.greatest(F.coalesce("long", F.lit(0)), F.col("short")).cast("bigint")
-    return base.join(runs, "doc_id", "left").select(
-        "case_id",
-        "doc_id",
-        block.alias("block"),
-        sim.ratio(2 * block, F.col("a_size") + F.col("b_size"), 1.0).alias("similarity"),
-    )
-
-
 def term_counts(table: DataFrame, text: str = "text") -> DataFrame:
     """`case_id, doc_id, tok, cnt`, counted inside the row: no shuffle."""
     return table.select("case_id", "doc_id", F.inline(tx.bag(tx.tokens(F.col(text)))))
@@ -236,13 +193,10 @@ def minhash_candidates(table: DataFrame) -> DataFrame:
     bands = range(0, len(MINHASH_SEEDS), MINHASH_BAND)
     same = [F.slice("a_sig", i + 1, MINHASH_BAND) == F.slice("b_sig", i + 1, MINHASH_BAND) for i in bands]
     usable = (F.size("a_sig") > 0) & (F.size("b_sig") > 0)
-    hit = same[0]
-    for test in same[1:]:
-        hit = hit | test
     return pairs.select(
         "case_id",
         "doc_id",
         sim.jaccard(F.col("a_nodes"), F.col("b_nodes")).alias("similarity"),
         F.when(usable, equal / F.lit(float(len(MINHASH_SEEDS)))).otherwise(0.0).alias("estimate"),
-        (usable & hit).alias("candidate"),
+        (usable & reduce(Column.__or__, same)).alias("candidate"),
     )

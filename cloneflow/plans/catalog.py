@@ -221,11 +221,6 @@ _measure_query("markup_comment_similarity", "comment_similarity", tables.pages)
 _measure_query("call_similarity", "call_similarity", tables.pages)
 
 
-@query
-def longest_block(spark: SparkSession, sf: str) -> DataFrame:
-    return rounded(measures.longest_block(tables.documents(spark, sf)), "similarity")
-
-
 @query
 def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(measures.tfidf_cosine(tables.documents(spark, sf)), "similarity")

@@ -372,8 +372,7 @@ WHERE identifier NOT IN ({KEYWORD_LIST})""",
         f"SELECT * FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CALL_PATTERN}', 1)) AS x FROM d) WHERE x NOT IN ({KEYWORD_LIST})",
         0.0,
     ),
-    "longest_block": _with(D, BLOCKS) + f"""SELECT p.case_id, p.doc_id, coalesce(l.block, 0) AS block,
-  round({_div('2 * coalesce(l.block, 0)', 'a_n + b_n', 1.0)}, 6) AS similarity
+    "longest_block": _with(D, BLOCKS) + f"""SELECT p.case_id, p.doc_id, round({_div('2 * coalesce(l.block, 0)', 'a_n + b_n', 1.0)}, 6) AS similarity
 FROM p LEFT JOIN longest l ON l.doc_id = p.doc_id""",
     "tfidf_cosine": _with(D, BAGS, TFIDF) + f"""SELECT p.case_id, p.doc_id, round({_div('coalesce(dot, 0)', 'coalesce(a.n * b.n, 0)')}, 6) AS similarity
 FROM p LEFT JOIN dots ON dots.doc_id = p.doc_id LEFT JOIN wn a ON a.doc_id = p.o_id LEFT JOIN wn b ON b.doc_id = p.doc_id""",

@@ -64,30 +64,28 @@ def pick_originals(corpus: DataFrame) -> tuple[DataFrame, DataFrame]:
     return originals.join(good, "case_id", "left_semi"), counts.where(F.col("originals") != 1)
 
 
-def _with_features(df: DataFrame, keep: list[str], text: str, features: Features, prefix: str) -> DataFrame:
-    split = df.select("case_id", *keep, F.col(text).alias("_text"), tokens(F.col(text)).alias("_toks"))
-    return split.select(
-        "case_id",
-        *[F.col(c).alias(prefix + c) for c in keep],
-        *[make(F.col("_text"), F.col("_toks")).alias(prefix + name) for name, make in features.items()],
-    )
+def _with_features(df: DataFrame, text: str, features: Features, prefix: str) -> DataFrame:
+    """`df` with its text replaced by the features, which are null where the text is."""
+    keep = [c for c in df.columns if c != text]
+    split = df.select(*keep, F.col(text).alias("_text"), tokens(F.col(text)).alias("_toks"))
+    readable = F.col("_text").isNotNull()
+    made = {name: make(F.col("_text"), F.col("_toks")) for name, make in features.items()}
+    return split.select(*keep, *[F.when(readable, col).alias(prefix + name) for name, col in made.items()])
 
 
 def make_pairs(corpus: DataFrame, features: Features, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each case's original against each of its suspects: `case_id, path, is_clone, a_*, b_*`.
 
-    Features are computed once per file, before the join, and those of the originals are written once, so that
-    measuring and joining them costs no further read of the corpus. A case without non-clones has fewer rows.
+    The features of the originals are made and written once, so that measuring and joining them costs no further
+    read of the corpus. Those of the suspects are made behind the join: if it shuffles, it moves plain text.
+    A case without non-clones has fewer rows.
     """
     originals, _ = pick_originals(corpus)
-    a = materialize(_with_features(originals, [], "code", features, "a_"), "originals")
-    b = _with_features(corpus.where(F.col("role") != ORIGINAL), ["path", "role"], "code", features, "b_")
-    return (
-        join_unique(b, a, ["case_id"], ["b_path"], broadcast_bytes=broadcast_bytes)
-        .withColumn("is_clone", F.col("b_role") == CLONE)
-        .withColumnRenamed("b_path", "path")
-        .drop("b_role")
-    )
+    a = materialize(_with_features(originals.select("case_id", "code"), "code", features, "a_"), "originals")
+    suspects = corpus.where(F.col("role") != ORIGINAL).select("case_id", "path", "role", "code")
+    pairs = join_unique(suspects, a, ["case_id"], ["path"], broadcast_bytes=broadcast_bytes)
+    pairs = pairs.withColumn("is_clone", F.col("role") == CLONE).drop("role")
+    return _with_features(pairs, "code", features, "b_")
 
 
 def star_pairs(
@@ -101,19 +99,16 @@ def star_pairs(
 
     A pair counts as a clone when both sides have the same label. The work is linear in the table.
     """
-    labels = [label] if label else []
-    originals = first_rows(table, "case_id", "doc_id")
-    a = materialize(_with_features(originals, ["doc_id", *labels], text, features, "a_"), "originals")
-    b = _with_features(table, ["doc_id", *labels], text, features, "b_")
-    pairs = (
-        join_unique(b, a, ["case_id"], ["b_doc_id"], broadcast_bytes=broadcast_bytes)
-        .where(F.col("a_doc_id") != F.col("b_doc_id"))
-        .withColumnRenamed("b_doc_id", "doc_id")
-        .drop("a_doc_id")
-    )
+    labels = [F.col(label).alias("_label")] if label else []
+    columns = ["case_id", "doc_id", *labels, F.col(text).alias("_body")]
+    originals = first_rows(table, "case_id", "doc_id").select(*columns)
+    a = _with_features(originals.withColumnsRenamed({"doc_id": "_first", "_label": "_first_label"}), "_body", features, "a_")
+    a = materialize(a, "originals")
+    pairs = join_unique(table.select(*columns), a, ["case_id"], ["doc_id"], broadcast_bytes=broadcast_bytes)
+    pairs = pairs.where(F.col("doc_id") != F.col("_first")).drop("_first")
     if label:
-        pairs = pairs.withColumn("is_clone", F.col(f"a_{label}") == F.col(f"b_{label}")).drop(f"a_{label}", f"b_{label}")
-    return pairs
+        pairs = pairs.withColumn("is_clone", F.col("_label") == F.col("_first_label")).drop("_label", "_first_label")
+    return _with_features(pairs, "_body", features, "b_")
 
 
 def label_table(table: DataFrame) -> DataFrame:

@@ -1,6 +1,7 @@
 import pytest
 
-from cloneflow.operators.measures import features_of, similarity_columns
+from cloneflow.operators.evaluate import score_failed
+from cloneflow.operators.measures import MEASURES, features_of, long_scores, similarity_columns
 from cloneflow.sources import corpus as cp
 
 JAVA = """import java.util.List;
@@ -49,7 +50,17 @@ def test_unreadable_file_has_no_code(spark, tmp_path):
     folder = tmp_path / "case-09" / "original"
     folder.mkdir(parents=True)
     (folder / "X.java").write_bytes(b"\xff\xfe\xfa class")
-    assert [(r.case_id, r.code) for r in cp.read_corpus(spark, str(tmp_path)).collect()] == [("case-09", None)]
+    files = cp.read_corpus(spark, str(tmp_path))
+    assert [(r.case_id, r.code) for r in files.collect()] == [("case-09", None)]
+    suspect = tmp_path / "case-09" / "plagiarized" / "L1" / "01"
+    suspect.mkdir(parents=True)
+    (suspect / "Y.java").write_text("class Y { }")
+    names = list(MEASURES)
+    scored = similarity_columns(cp.make_pairs(cp.read_corpus(spark, str(tmp_path)), features_of(names)), names)
+    assert [[r[n] for n in names] for r in scored.collect()] == [[None] * len(names)]
+    scores = long_scores(scored, names)
+    assert score_failed(scores, "drop").count() == 0
+    assert {r.similarity for r in score_failed(scores, "zero").collect()} == {0.0}
 
 
 def test_originals(spark, root):

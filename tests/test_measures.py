@@ -123,6 +123,9 @@ def brute(name, a, b):
         return edit(" ".join(sorted(x)), " ".join(sorted(y)))
     if name == "rolling_hash":
         return len(grams(x, 5) & grams(y, 5)) / len(grams(x, 5)) if grams(x, 5) else 0.0
+    if name == "longest_block":
+        block = SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size
+        return 2 * block / (len(x) + len(y)) if x or y else 1.0
     if name == "common_subsequence":
         return subsequence(x, y)
     if name == "jaccard":
@@ -184,18 +187,6 @@ def test_fixture_rows(spark):
         assert scored[i].token_overlap == pytest.approx(overlap)
 
 
-def test_longest_block(corpus):
-    table, rows = corpus
-    pairs = pairs_of(rows)
-    got = {r.doc_id: r for r in ms.longest_block(table).collect()}
-    assert set(got) == set(pairs)
-    for doc, (a, b) in pairs.items():
-        x, y = a.split(), b.split()
-        want = SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size
-        assert got[doc].block == want
-        assert got[doc].similarity == pytest.approx(2 * want / (len(x) + len(y)) if x or y else 1.0)
-
-
 def test_tfidf_cosine(corpus):
     table, rows = corpus
     df = Counter(t for _, _, _, text in rows for t in set(text.split()))

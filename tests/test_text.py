@@ -1,11 +1,13 @@
 import random
 from collections import Counter
+from difflib import SequenceMatcher
 from hashlib import md5
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from cloneflow.functions import text as tx
-from cloneflow.functions.edit import distance
+from cloneflow.functions.edit import distance, longest_block
 
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　"
 
@@ -88,3 +90,14 @@ def test_edit_distance_against_the_full_table():
         a, b = word(), word()
         assert distance(a, b) == distance(b, a) == plain_distance(a, b)
         assert distance(a, a + b) == len(b) and distance(a, a) == 0
+
+
+def test_longest_block_against_difflib():
+    rng = random.Random(4)
+    for n in range(300):
+        kinds = 1 + n % 4
+        a, b = ([rng.randrange(kinds) - (1 << 62) for _ in range(rng.randint(0, 40))] for _ in range(2))
+        want = SequenceMatcher(None, a, b, autojunk=False).find_longest_match().size
+        assert longest_block(np.array(a, dtype="int64"), np.array(b, dtype="int64")) == want
+    same = np.zeros(20_000, dtype="int64")
+    assert longest_block(same, same[:12_345]) == 12_345
