@@ -46,7 +46,7 @@ def join_unique(
     how: str = "inner",
     counts: DataFrame | None = None,
     broadcast_bytes: int = BROADCAST_BYTES,
-    min_hot_rows: int = MIN_HOT_ROWS,
+    min_hot_rows: int | None = None,
     small: bool | None = None,
 ) -> DataFrame:
     """Join `big` with a side that has one row per key ("inner" or "left").
@@ -62,7 +62,7 @@ def join_unique(
     if counts is None:
         counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    part = max(min_hot_rows, -(-(total or 0) // HOT_PARTS))
+    part = max(min_hot_rows or MIN_HOT_ROWS, -(-(total or 0) // HOT_PARTS))
     if (largest or 0) <= part:
         return big.join(unique, on, how)
     hot = counts.where(F.col("n") > part).select(*on, F.ceil(F.col("n") / F.lit(part)).cast("int").alias("_salts"))

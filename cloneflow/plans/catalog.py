@@ -37,6 +37,7 @@ BOARD = [
     "ngram_similarity",
     "rk_match",
     "winnow",
+    "longest_block",
 ]
 
 CATALOG: dict[str, Query] = {}

@@ -119,6 +119,15 @@ PROFILE = f"""prof AS (
 
 NORMS = "norms AS (SELECT doc_id, sqrt(CAST(sum(c * c) AS DOUBLE)) AS n FROM bags GROUP BY doc_id)"
 
+BLOCKS = """places AS (SELECT doc_id, unnest(tk) AS w, unnest(range(len(tk))) AS i FROM d),
+hits AS (
+  SELECT p.doc_id, a.i, a.i - b.i AS diagonal FROM p JOIN places b ON b.doc_id = p.doc_id JOIN places a ON a.doc_id = p.o_id AND a.w = b.w),
+runs AS (
+  SELECT doc_id, count(*) AS run FROM (
+    SELECT doc_id, diagonal, i - row_number() OVER (PARTITION BY doc_id, diagonal ORDER BY i) AS island FROM hits)
+  GROUP BY doc_id, diagonal, island),
+longest AS (SELECT doc_id, max(run) AS block FROM runs GROUP BY doc_id)"""
+
 # measure -> (common table expressions, rows `doc_id, s`)
 PARTS: dict[str, tuple[list[str], str]] = {
     "graph_node_jaccard": (
@@ -152,6 +161,10 @@ PARTS: dict[str, tuple[list[str], str]] = {
     "metric_profile": ([PROFILE], "SELECT doc_id, s FROM prof"),
     "ngram_similarity": ([_gram_sets("ngrams", NGRAM_N)], f"SELECT doc_id, {_div('ni', 'na + nb - ni')} AS s FROM ngrams_p"),
     "rk_match": ([_gram_sets("kgrams", MATCH_K)], f"SELECT doc_id, {_div('ni', 'least(na, nb)')} AS s FROM kgrams_p"),
+    "longest_block": (
+        [BLOCKS],
+        f"SELECT p.doc_id, {_div('2 * coalesce(l.block, 0)', 'a_n + b_n', 1.0)} AS s FROM p LEFT JOIN longest l ON l.doc_id = p.doc_id",
+    ),
     "winnow": ([PRINTS], f"SELECT doc_id, {_div('ni', 'na + nb - ni')} AS s FROM prints_p"),
 }
 
@@ -289,15 +302,6 @@ UNIT_BANDS = " OR ".join(
 )
 SEED_LIST = ", ".join(f"{{'a': {a}::BIGINT, 'b': {b}::BIGINT}}" for a, b in MINHASH_SEEDS)
 
-BLOCKS = """places AS (SELECT doc_id, unnest(tk) AS w, unnest(range(len(tk))) AS i FROM d),
-hits AS (
-  SELECT p.doc_id, a.i, a.i - b.i AS diagonal FROM p JOIN places b ON b.doc_id = p.doc_id JOIN places a ON a.doc_id = p.o_id AND a.w = b.w),
-runs AS (
-  SELECT doc_id, count(*) AS run FROM (
-    SELECT doc_id, diagonal, i - row_number() OVER (PARTITION BY doc_id, diagonal ORDER BY i) AS island FROM hits)
-  GROUP BY doc_id, diagonal, island),
-longest AS (SELECT doc_id, max(run) AS block FROM runs GROUP BY doc_id)"""
-
 TFIDF = """n AS (SELECT count(*) AS n FROM d),
 idf AS (SELECT w, ln((n + 1.0::DOUBLE) / (count(*) + 1)) AS idf FROM bags, n GROUP BY w, n),
 wt AS (SELECT doc_id, w, c * idf AS x FROM bags JOIN idf USING (w)),
@@ -372,8 +376,6 @@ WHERE identifier NOT IN ({KEYWORD_LIST})""",
         f"SELECT * FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CALL_PATTERN}', 1)) AS x FROM d) WHERE x NOT IN ({KEYWORD_LIST})",
         0.0,
     ),
-    "longest_block": _with(D, BLOCKS) + f"""SELECT p.case_id, p.doc_id, round({_div('2 * coalesce(l.block, 0)', 'a_n + b_n', 1.0)}, 6) AS similarity
-FROM p LEFT JOIN longest l ON l.doc_id = p.doc_id""",
     "tfidf_cosine": _with(D, BAGS, TFIDF) + f"""SELECT p.case_id, p.doc_id, round({_div('coalesce(dot, 0)', 'coalesce(a.n * b.n, 0)')}, 6) AS similarity
 FROM p LEFT JOIN dots ON dots.doc_id = p.doc_id LEFT JOIN wn a ON a.doc_id = p.o_id LEFT JOIN wn b ON b.doc_id = p.doc_id""",
     "minhash_candidates": _with(D, NODES, f"""sig AS (

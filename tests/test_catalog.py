@@ -51,4 +51,4 @@ def test_learned_query_runs(spark, name):
 
 
 def test_entry(spark):
-    assert spark_entry.entry(spark).count() == 11
+    assert spark_entry.entry(spark).count() == 12

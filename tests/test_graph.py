@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from cloneflow.functions import text as tx
-from cloneflow.operators import embed, graph
+from cloneflow.operators import embed, graph, joins
 from cloneflow.operators.measures import term_counts
 from pyspark.sql import functions as F
 
@@ -83,6 +83,15 @@ def test_walks_follow_edges_in_both_join_strategies(docs):
     assert runs[0] == runs[1]
 
 
+def test_walks_are_the_same_when_every_key_is_hot(docs, monkeypatch):
+    table, _ = docs
+    edges = graph.corpus_edges(table)
+    walk = lambda size: sorted(map(str, graph.random_walks(edges, 4, 2, broadcast_bytes=size).collect()))
+    plain = walk(1 << 30)
+    monkeypatch.setattr(joins, "MIN_HOT_ROWS", 1)
+    assert walk(0) == plain
+
+
 def test_spectral_space_matches_dense_iteration(docs):
     table, rows = docs
     edges = graph.corpus_edges(table)

@@ -6,6 +6,7 @@ from hashlib import md5
 
 import pytest
 
+from cloneflow.operators import joins
 from cloneflow.operators import measures as ms
 from cloneflow.sources.corpus import star_pairs
 
@@ -177,6 +178,23 @@ def test_pairs_do_not_depend_on_the_join_strategy(corpus):
     assert [r.asDict() for r in both[0]] == [r.asDict() for r in both[1]]
 
 
+def test_results_hold_when_nothing_fits_and_every_key_is_hot(corpus, monkeypatch):
+    table, _ = corpus
+    jobs = [
+        lambda: ms.score_table(table, ["jaccard", "bow_cosine", "longest_block"]),
+        lambda: ms.tfidf_cosine(table),
+        lambda: ms.minhash_candidates(table),
+    ]
+    plain = [sorted(map(rounded, job().collect())) for job in jobs]
+    monkeypatch.setattr(joins, "fits", lambda *_: False)
+    monkeypatch.setattr(joins, "MIN_HOT_ROWS", 2)
+    assert [sorted(map(rounded, job().collect())) for job in jobs] == plain
+
+
+def rounded(row):
+    return tuple(round(v, 9) if isinstance(v, float) else v for v in row)
+
+
 def test_fixture_rows(spark):
     rows = [(str(i), 2 * i + side, "l", text[side]) for i, text in enumerate(FIXTURES) for side in (0, 1)]
     table = spark.createDataFrame(rows, "case_id string, doc_id long, label string, text string")
