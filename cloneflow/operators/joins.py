@@ -9,33 +9,42 @@ from pyspark.sql import types as T
 
 from cloneflow.functions.text import portable_hash
 
-# A key is hot when it holds more than 1/HOT_PARTS of the rows, so there are at most HOT_PARTS hot keys.
+# A key is hot when it holds more than 1/HOT_PARTS of the rows or of the bytes.
 HOT_PARTS = 10_000
 MIN_HOT_ROWS = 100_000
+MIN_HOT_BYTES = 256 * 1024 * 1024
 BROADCAST_BYTES = 64 * 1024 * 1024
 SHARDS = 1024
 
 
-def _width(field: T.StructField) -> Column:
-    """Approximate bytes of one value."""
-    col, kind = F.col(f"`{field.name}`"), field.dataType
-    if isinstance(kind, T.StringType):
+def _bytes(col: Column, kind: T.DataType) -> Column:
+    """Approximate bytes of one value, down to the strings inside arrays, structs and maps."""
+    if isinstance(kind, (T.StringType, T.BinaryType)):
         size = F.octet_length(col)
     elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StringType):
         size = F.octet_length(F.array_join(col, "")) + 16 * F.size(col)
-    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.StructType):
-        size = 64 * F.size(col)
-    elif isinstance(kind, T.ArrayType):
+    elif isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.NumericType, T.BooleanType, T.DatetimeType)):
         size = 8 * F.size(col)
+    elif isinstance(kind, T.ArrayType):
+        inner = F.transform(col, lambda x: _bytes(x, kind.elementType))
+        size = F.aggregate(inner, F.lit(0).cast("bigint"), lambda total, x: total + x + 8)
+    elif isinstance(kind, T.StructType):
+        size = sum((_bytes(col[f.name], f.dataType) for f in kind.fields), F.lit(8).cast("bigint"))
+    elif isinstance(kind, T.MapType):
+        size = _bytes(F.map_keys(col), T.ArrayType(kind.keyType)) + _bytes(F.map_values(col), T.ArrayType(kind.valueType))
     else:
         size = F.lit(8)
-    return F.coalesce(size, F.lit(0)).cast("bigint") + 8
+    return F.greatest(F.coalesce(size, F.lit(0)), F.lit(0)).cast("bigint") + 8
+
+
+def row_bytes(schema: T.StructType) -> Column:
+    """Approximate bytes of a row."""
+    return sum((_bytes(F.col(f"`{f.name}`"), f.dataType) for f in schema.fields), F.lit(16).cast("bigint"))
 
 
 def fits(df: DataFrame, limit: int = BROADCAST_BYTES) -> bool:
     """Whether `df` is small enough to broadcast: one aggregation, one number back."""
-    row = sum((_width(f) for f in df.schema.fields), F.lit(16).cast("bigint"))
-    return (df.agg(F.sum(row)).first()[0] or 0) <= limit
+    return (df.agg(F.sum(row_bytes(df.schema))).first()[0] or 0) <= limit
 
 
 def join_unique(
@@ -48,25 +57,30 @@ def join_unique(
     broadcast_bytes: int = BROADCAST_BYTES,
     min_hot_rows: int | None = None,
     small: bool | None = None,
+    min_hot_bytes: int | None = None,
 ) -> DataFrame:
     """Join `big` with a side that has one row per key ("inner" or "left").
 
     A side whose measured size allows it is broadcast, so `big` is not shuffled at all. Otherwise both are
     shuffled, and every hot key of `big`, if there is any, is split over several salts with its one partner
-    row repeated per salt. The salt is a hash of `salt_by`, so a recomputed task puts each row where it was before.
-    `counts` (key columns and `n`, the rows of `big` per key) saves counting when it is known, and `small`
-    saves measuring a side that was measured before.
+    row repeated per salt. A key is hot by its rows or by their bytes. The salt is a hash of `salt_by`, so a
+    recomputed task puts each row where it was before. `counts` (key columns and `n`, the rows of `big` per key)
+    saves counting when it is known, and `small` saves measuring a side that was measured before.
     """
     if small if small is not None else fits(unique, broadcast_bytes):
         return big.join(F.broadcast(unique), on, how)
     if counts is None:
-        counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
-    total, largest = counts.agg(F.sum("n"), F.max("n")).first()
-    part = max(min_hot_rows or MIN_HOT_ROWS, -(-(total or 0) // HOT_PARTS))
-    if (largest or 0) <= part:
+        counts = big.groupBy(*on).agg(F.count(F.lit(1)).alias("n"), F.sum(row_bytes(big.schema)).alias("b"))
+    elif "b" not in counts.columns:
+        counts = counts.withColumn("b", F.lit(0).cast("bigint"))
+    rows, most, size, heaviest = counts.agg(F.sum("n"), F.max("n"), F.sum("b"), F.max("b")).first()
+    part = max(min_hot_rows or MIN_HOT_ROWS, -(-(rows or 0) // HOT_PARTS))
+    part_bytes = max(min_hot_bytes or MIN_HOT_BYTES, -(-(size or 0) // HOT_PARTS))
+    if (most or 0) <= part and (heaviest or 0) <= part_bytes:
         return big.join(unique, on, how)
-    hot = counts.where(F.col("n") > part).select(*on, F.ceil(F.col("n") / F.lit(part)).cast("int").alias("_salts"))
-    # At most HOT_PARTS rows: each stands for more than total / HOT_PARTS rows of `big`.
+    salts = F.greatest(F.ceil(F.col("n") / F.lit(part)), F.ceil(F.col("b") / F.lit(part_bytes))).cast("int")
+    hot = counts.where((F.col("n") > part) | (F.col("b") > part_bytes)).select(*on, salts.alias("_salts"))
+    # At most 2 x HOT_PARTS rows: each stands for more than 1 / HOT_PARTS of the rows or bytes of `big`.
     hot = F.broadcast(hot)
     salts = F.coalesce("_salts", F.lit(1))
     salted = big.join(hot, on, "left").withColumn("_salt", F.pmod(F.xxhash64(*salt_by), salts).cast("int")).drop("_salts")

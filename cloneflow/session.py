@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,13 +27,8 @@ def build_session(app: str = "cloneflow", master: str | None = None, **conf: str
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder. Only a local session may fall back to a folder of its own."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None)
-    if not folder:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError(f"set {CHECKPOINT_DIR} to a folder that every executor can reach")
-        folder = tempfile.mkdtemp(prefix="cloneflow-")
-        spark.conf.set(CHECKPOINT_DIR, folder)
+    """The cluster's shared folder; where the session names none, a folder below the warehouse, which is shared as well."""
+    folder = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
     return folder.rstrip("/")
 
 

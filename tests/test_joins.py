@@ -44,3 +44,20 @@ def test_first_rows_and_numbers(spark):
     for r in number_rows(df, "x", by=["g"], name="n").collect():
         per_group.setdefault(r.g, []).append(r.n)
     assert {g: sorted(v) for g, v in per_group.items()} == {f"g{i}": list(range(80)) for i in range(5)}
+
+
+def test_guard_sees_the_bytes_inside_nested_values(spark):
+    token = "x" * 1_000_000
+    bag = spark.createDataFrame([(1, [(token, 2)])], "id long, bag array<struct<tok:string,n:int>>")
+    assert not fits(bag, 1_000) and not fits(bag, 900_000) and fits(bag, 1_100_000)
+    nested = spark.createDataFrame([({"k": [token]}, (bytearray(10), None))], "m map<string,array<string>>, s struct<b:binary,t:string>")
+    assert not fits(nested, 900_000) and fits(nested, 1_100_000)
+    assert fits(spark.createDataFrame([(None, None)], "a array<struct<t:string>>, m map<string,string>"), 200)
+
+
+def test_few_but_large_rows_are_split(spark):
+    big = spark.createDataFrame([(i, "hot", "x" * 10_000) for i in range(40)] + [(99, "cold", "y")], "id long, k string, t string")
+    unique = spark.createDataFrame([("hot", 1), ("cold", 2)], "k string, v int")
+    joined = join_unique(big, unique, ["k"], ["id"], broadcast_bytes=0, min_hot_bytes=50_000)
+    assert "_salt" in joined._jdf.queryExecution().toString()
+    assert sorted((r.id, r.v) for r in joined.collect()) == [(i, 1) for i in range(40)] + [(99, 2)]
