@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPACES = " \t\n\x0b\x0c\r"
+PIECE_BYTES = 1 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,3 +37,21 @@ def with_result(df: DataFrame, udf: Callable[[Column], Column], text: str = "tex
     """`df` with the struct that `udf` makes of each whole text, under a name that clashes with no column."""
     name = free_name(df, "_result")
     return df.withColumn(name, udf(whole_text(text))), name
+
+
+def word_lists(text: str | None, separators: bytes) -> Iterator[list[bytes]]:
+    """The words of a text, some at a time, so that a very long text is never a list of all its words.
+
+    `separators` maps each byte to what a word has in its place, or to a blank.
+    """
+    data = (text or "").encode("utf-8", "replace").translate(separators)
+    start = 0
+    while start < len(data):
+        stop = start + PIECE_BYTES
+        if stop < len(data):
+            cut = data.rfind(b" ", start, stop)
+            cut = cut if cut >= 0 else data.find(b" ", stop)
+            stop = cut if cut >= 0 else len(data)
+        if words := data[start:stop].split():
+            yield words
+        start = stop + 1

@@ -19,6 +19,28 @@ ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DES
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+_WORDS = f"regexp_extract_all(translate(text, '{UPPER}', '{LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+ORACLE["op3_decontaminate"] = f"""
+WITH items AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL),
+windows AS (
+  SELECT DISTINCT item_id, least(len(w), 10) AS size, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS words
+  FROM items, unnest(generate_series(1, greatest(len(w) - 9, least(len(w), 1)))) AS t(i)),
+docs AS (SELECT doc_id, coalesce({_WORDS}, []) AS w FROM documents),
+places AS (
+  SELECT doc_id, i, size, array_to_string(w[i : i + size - 1], ' ') AS words
+  FROM (SELECT DISTINCT size FROM windows), docs, unnest(generate_series(1, len(w) - size + 1)) AS t(i)),
+found AS (SELECT doc_id, i, p.size, item_id FROM places p JOIN windows USING (words)),
+hit AS (
+  SELECT doc_id, count(DISTINCT j) AS n_hit FROM (SELECT DISTINCT doc_id, i, size FROM found), unnest(generate_series(i, i + size - 1)) AS t(j)
+  GROUP BY doc_id),
+shared AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids
+  FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item_id FROM found) GROUP BY doc_id)
+SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hit USING (doc_id) LEFT JOIN shared USING (doc_id)
+"""
+
 _STRIPPED = "regexp_replace(line, '^[\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+$', '', 'g')"
 ORACLE["op4_line_dedup"] = f"""
 WITH lines AS (

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneflow.llm import linededup, topk, urlfilter, warc
+from cloneflow.llm import decontaminate, linededup, simhash, topk, urlfilter, warc
 from cloneflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +24,11 @@ def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query
+def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
+    return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+
+
 @query
 def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     made, result = linededup.dedup_lines(table(spark, sf, "documents").select("doc_id", "text"))
@@ -31,6 +36,12 @@ def op4_line_dedup(spark: SparkSession, sf: str) -> DataFrame:
     return made.select("doc_id", found["n_lines"].alias("n_lines"), found["n_dropped"].alias("n_dropped"), F.sha2(found["kept"], 256).alias("kept_sha256"))
 
 
+@query
+def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
+    classes = simhash.near_classes(table(spark, sf, "documents"))
+    return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 @query
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
