@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneflow.llm import decontaminate, linededup, simhash, topk, urlfilter, warc
+from cloneflow.llm import decontaminate, linededup, pieces, quality, simhash, tokencount, topk, urlfilter, warc
 from cloneflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +25,14 @@ def op1_topk(spark: SparkSession, sf: str) -> DataFrame:
     return topk.top_k(vectors, F.col("vec_id") % 20 == 0, k=20)
 
 
+@query
+def op2_quality(spark: SparkSession, sf: str) -> DataFrame:
+    docs, labels = table(spark, sf, "documents").select("doc_id", "text"), table(spark, sf, "labels").select("doc_id", "quality")
+    made, score = quality.score_quality(docs, labels)
+    predicted = (F.col(score) >= quality.THRESHOLD).cast("int")
+    return made.select("doc_id", quality.held_out().alias("held_out"), F.col(score).alias("score"), predicted.alias("predicted"))
+
+
 @query
 def op3_decontaminate(spark: SparkSession, sf: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
@@ -49,6 +58,16 @@ def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+@query
+def op8_sentencepiece(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.round_trip(table(spark, sf, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return tokencount.token_report(table(spark, sf, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 @query
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf, "pages"))
