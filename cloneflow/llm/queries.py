@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import corpus_pipeline
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneflow.llm import decontaminate, linededup, pieces, quality, simhash, tokencount, topk, urlfilter, warc
+from cloneflow.llm import decontaminate, linededup, pieces, pii, quality, simhash, tokencount, topk, urlfilter, warc
 from cloneflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -51,6 +52,11 @@ def op5_simhash(spark: SparkSession, sf: str) -> DataFrame:
     return classes.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@query
+def op6_pii(spark: SparkSession, sf: str) -> DataFrame:
+    return pii.report(table(spark, sf, "documents"))
+
+
 @query
 def op7_url_filter(spark: SparkSession, sf: str) -> DataFrame:
     labels = table(spark, sf, "labels").select(F.col("doc_id").alias("page_id"), (1 - F.col("quality")).alias("bad"))
@@ -71,3 +77,8 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf, "pages"))
+
+
+@query
+def pipeline(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus_pipeline.run(spark, sf)
