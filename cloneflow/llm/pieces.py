@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from cloneflow.llm.common import whole_text, with_result
 
 BLANK = "▁"
-MAX_CACHED, MAX_WORD, MAX_PAIRS = 150_000, 48, 1_000_000
+MAX_CACHED, MAX_WORD, MAX_PAIRS = 100_000, 48, 300_000
 RESULT = "n_tokens long, ids binary, decoded string"
 ARROW = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 

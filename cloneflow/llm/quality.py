@@ -153,8 +153,8 @@ def dual_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray,
     Each step solves the dual problem exactly for one row's multiplier and keeps w = sum of alpha * y * x.
     """
     sign = np.where(labels > 0, 1.0, -1.0)
-    values = [scaled(r, ratios) for r in rows]
-    square = np.array([v @ v for v in values]) + 1.0
+    values = [scaled(r, ratios).astype(np.float32) for r in rows]
+    square = np.array([float(v @ v) for v in values]) + 1.0
     w, alpha, rng = np.zeros(len(ratios) + 1), np.zeros(len(rows)), np.random.default_rng(seed)
     for _ in range(epochs):
         for i in rng.permutation(len(rows)):
@@ -180,7 +180,7 @@ def _fit_shard(ratios, share: float):
         labels = rows.label.to_numpy()
         w = np.zeros((1 << BITS) + 1)
         if 0 < labels.sum() < len(labels):
-            w = dual_descent([np.asarray(g, np.int64) for g in rows.grams], labels, ratios.value)
+            w = dual_descent([np.asarray(g, np.int32) for g in rows.grams], labels, ratios.value)
             # Between the model's weights and plain Naive Bayes, whose weights are all alike.
             w[:-1] = share * w[:-1] + (1 - share) * np.abs(w[:-1]).mean()
         return pd.DataFrame({"shard": [key[0]], "w": [w.astype(np.float32).tobytes()], "rows": [len(rows)], "fitted": [bool(w.any())]})
