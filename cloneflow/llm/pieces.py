@@ -67,6 +67,7 @@ class Pieces:
         self.byte = {int(names[i][3:5], 16): i for i in range(size) if model.is_byte(i)}
         self.raw = {i: bytes([b]) for b, i in self.byte.items()}
         self.begin, self.end = model.bos_id(), model.eos_id()
+        self.packed = [i.to_bytes(4, "little") for i in range(size)]
         token = {t: i for i, t in self.text.items()}
         score = {t: model.get_score(i) for t, i in token.items() if len(t) > 1}
         mixed = [t for t in token if " " in t.lstrip(" ") or (t.startswith("  ") and t.strip(" ")) or "\n" in t]
@@ -162,16 +163,17 @@ class Pieces:
         return self.encode_blanks(blanks - 1 + alone) + ids[alone:]
 
     def decode_part(self, ids: list[int]) -> str:
-        if any(i in self.raw for i in ids):
-            return b"".join(self.raw.get(i) or self.text[i].encode() for i in ids).decode("utf-8", "replace")
-        return "".join(self.text[i] for i in ids)
+        try:
+            return "".join([self.text[i] for i in ids])
+        except KeyError:
+            return b"".join([self.raw.get(i) or self.text[i].encode() for i in ids]).decode("utf-8", "replace")
 
     def part(self, part: str) -> tuple[bytes, str]:
         """Packed ids and decoded text of one part, remembered if it is short: frequent parts outlive a full cache."""
         made = self.older.get(part)
         if made is None:
             ids = self.encode_part(part)
-            made = b"".join([i.to_bytes(4, "little") for i in ids]), self.decode_part(ids)
+            made = b"".join([self.packed[i] for i in ids]), self.decode_part(ids)
         if len(part) <= MAX_WORD:
             if len(self.words) >= MAX_CACHED:
                 self.older, self.words = self.words, {}
@@ -180,7 +182,7 @@ class Pieces:
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids, as little-endian unsigned 32-bit numbers, begin and end included, and the text that decoding them gives."""
-        edge = self.begin.to_bytes(4, "little"), self.end.to_bytes(4, "little")
+        edge = self.packed[self.begin], self.packed[self.end]
         if not text:
             return b"".join(edge), ""
         known, part = self.words.get, self.part
