@@ -92,10 +92,10 @@ def _search(k: int):
     def run(key: tuple, queries: pd.DataFrame, vectors: pd.DataFrame) -> pd.DataFrame:
         if not len(queries) or not len(vectors):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}, dtype="int64")
-        q, x = _tables(queries.vec, vectors.vec)
+        q, x = _tables(queries["query"], vectors.vec)
         ids, order = vectors.vec_id.to_numpy(np.int64), np.argsort(x, axis=0, kind="stable")
         found = []
-        for own, vec, floor in zip(queries.vec_id, q, queries.floor, strict=True):
+        for own, vec, floor in zip(queries.query_id, q, queries.floor, strict=True):
             rows, scores = threshold_top(vec, own, x, ids, order, k, None if pd.isna(floor) else int(floor))
             capped = [max(-LARGEST - 1, min(LARGEST, int(s))) for s in scores]
             found.append(pd.DataFrame({"query_id": np.full(len(rows), own, np.int64), "vec_id": ids[rows], "score": np.array(capped, np.int64)}))
@@ -124,13 +124,14 @@ def top_k(
     shard = F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")
     block = F.pmod(F.xxhash64(F.lit("block"), "vec_id"), F.lit(blocks)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    queries = stored.where(is_query).select("vec_id", "vec", block.alias("block"))
+    # Names of their own: both sides come from the same table.
+    queries = stored.where(is_query).select(F.col("vec_id").alias("query_id"), F.col("vec").alias("query"), block.alias("block"))
     dealt = stored.select("vec_id", "vec", shard.alias("shard")).withColumn("block", every(blocks))
     no_floor = queries.withColumns({"floor": F.lit(None).cast("bigint"), "shard": F.lit(0)})
     first = materialize(_meet(no_floor, dealt.where(F.col("shard") == 0), k), "first_shard")
     if shards > 1:
-        floors = first.groupBy(F.col("query_id").alias("vec_id")).agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
-        rest = queries.join(floors, "vec_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
+        floors = first.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("floor"))
+        rest = queries.join(floors, "query_id", "left").withColumn("shard", F.explode(F.sequence(F.lit(1), F.lit(shards - 1))))
         first = first.unionByName(_meet(rest, dealt.where(F.col("shard") > 0), k))
     # At most k rows per query and shard, and from the second shard on only those that reach the floor.
     best = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
