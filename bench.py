@@ -37,7 +37,6 @@ HEADLINES = [
     "comment_similarity",
     "call_similarity",
     "longest_block",
-    "common_subsequence",
     "tfidf_cosine",
     "minhash_candidates",
     "cosine_similarity",

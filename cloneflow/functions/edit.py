@@ -1,4 +1,4 @@
-"""Edit distance of whole strings; common subsequence and longest common block of whole token lists.
+"""Edit distance of whole strings; longest common block of whole token lists.
 
 Spark's built-in `levenshtein` fills the full table cell by cell; on texts of many thousand characters that is
 the whole cost of a job. The bit-parallel form (Myers 1999, in the variant of Hyyrö 2003 for two whole strings)
@@ -55,19 +55,6 @@ def distance(a: str, b: str) -> int:
     return score
 
 
-def common_subsequence(a: list[int], b: list[int]) -> int:
-    """Length of the longest common subsequence, one column of the table per step (Hyyrö 2004)."""
-    positions: dict[int, int] = {}
-    for i, tok in enumerate(a):
-        positions[tok] = positions.get(tok, 0) | 1 << i
-    full = (1 << len(a)) - 1
-    open_rows = full
-    for tok in b:
-        hits = open_rows & positions.get(tok, 0)
-        open_rows = ((open_rows + hits) | (open_rows - hits)) & full
-    return len(a) - open_rows.bit_count()
-
-
 def longest_block(a: np.ndarray, b: np.ndarray) -> int:
     """Length of the longest run of tokens in both, by naming all windows of doubling length (Karp, Miller and
     Rosenberg 1972). The cost does not depend on how often a token repeats."""
@@ -108,11 +95,6 @@ def edit_distance(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(distance, a, b)
 
 
-@F.pandas_udf(T.IntegerType())
-def subsequence_length(a: pd.Series, b: pd.Series) -> pd.Series:
-    return _each(lambda x, y: common_subsequence(x.tolist(), y.tolist()), a, b)
-
-
 @F.pandas_udf(T.IntegerType())
 def block_length(a: pd.Series, b: pd.Series) -> pd.Series:
     return _each(longest_block, a, b)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cloneflow.functions.edit import block_length, edit_distance, subsequence_length
+from cloneflow.functions.edit import block_length, edit_distance
 from cloneflow.functions.text import let
 
 
@@ -81,11 +81,6 @@ def edit_similarity(a: Column, b: Column) -> Column:
     return F.when(longer > 0, 1 - edit_distance(a, b).cast("double") / longer).otherwise(1.0)
 
 
-def subsequence_similarity(a: Column, b: Column) -> Column:
-    """Longest common token subsequence over the longer list; two empty lists score 1."""
-    return ratio(subsequence_length(a, b), F.greatest(F.size(a), F.size(b)), 1.0)
-
-
 def block_ratio(a: Column, b: Column) -> Column:
     """Twice the longest common block over all tokens; two empty lists score 1."""
     return ratio(2 * block_length(a, b), F.size(a) + F.size(b), 1.0)

@@ -2,21 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.ml.feature import PCA, Word2Vec, Word2VecModel
+from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.recommendation import ALS
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 import numpy as np
 
+from cloneflow.functions.text import portable_hash
 from cloneflow.functions.vector import cosine, l2_normalize
 from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, fits, join_unique, number_rows
 from cloneflow.session import materialize
 
 # Word vectors pay for a larger broadcast: otherwise a vector travels with every token of the corpus.
 LOOKUP_BYTES = 256 * 1024 * 1024
-# The trainer keeps vocabulary × dimension floats on the driver and in every task.
-MAX_MODEL_FLOATS = 64_000_000
+# Signs that one portable hash gives.
+SIGN_BITS = 60
+# Fixed, so that factors do not depend on the number of cores.
+ALS_BLOCKS = 64
 
 
 def mean_pool(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec", weight: str | None = None) -> DataFrame:
@@ -66,44 +69,51 @@ def star_cosine(table: DataFrame, vectors: DataFrame, broadcast_bytes: int = BRO
     )
 
 
-def w2v_train(
-    sentences: DataFrame,
-    dim: int = 100,
-    window: int = 5,
-    min_count: int = 1,
-    seed: int = 42,
-    tokens: str = "tokens",
-    max_vocabulary: int | None = None,
-) -> tuple[Word2VecModel, DataFrame]:
-    """(model, `tok, vec` for every word of the corpus).
-
-    Spark's trainer keeps the vocabulary on the driver, so it is measured first. One beyond `max_vocabulary`
-    (by default what MAX_MODEL_FLOATS allows) is trained on that many hash buckets, and every word gets its
-    bucket's vector.
-    """
-    max_vocabulary = max_vocabulary or MAX_MODEL_FLOATS // dim
-    words = sentences.select(F.explode(tokens).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
-    words = materialize(words.where(F.col("n") >= min_count).select("tok"), "vocabulary")
-    hashed = words.count() > max_vocabulary
-    bucket = lambda t: F.pmod(F.xxhash64(t), F.lit(max_vocabulary)).cast("string")
-    if hashed:
-        sentences = sentences.select(F.transform(tokens, bucket).alias(tokens))
-    trainer = Word2Vec(
-        vectorSize=dim,
-        windowSize=window,
-        minCount=1 if hashed else min_count,
-        seed=seed,
-        maxIter=1,
-        numPartitions=sentences.sparkSession.sparkContext.defaultParallelism,
-        inputCol=tokens,
-        outputCol="_pooled",
+def cooccurrences(sentences: DataFrame, window: int = 5, tokens: str = "tokens") -> DataFrame:
+    """`tok, other, n`: how often two words stand at most `window` places apart, in both directions, combined before the shuffle."""
+    t = F.col(tokens)
+    apart = lambda k: F.transform(
+        F.arrays_zip(F.slice(t, 1, F.greatest(F.size(t) - k, F.lit(0))).alias("tok"), F.slice(t, k + 1, F.greatest(F.size(t) - k, F.lit(0))).alias("other")),
+        lambda p: p,
     )
-    model = trainer.fit(sentences.select(tokens))
-    vectors = model.getVectors().select(F.col("word").alias("_word"), vector_to_array("vector").alias("vec"))
-    if not hashed:
-        return model, vectors.withColumnRenamed("_word", "tok")
-    keyed = words.withColumn("_word", bucket(F.col("tok")))
-    return model, join_unique(keyed, vectors, ["_word"], ["tok"]).select("tok", "vec")
+    pairs = sentences.select(F.explode(F.concat(*[apart(k) for k in range(1, window + 1)])).alias("p")).select("p.tok", "p.other")
+    one_way = pairs.groupBy("tok", "other").agg(F.count(F.lit(1)).alias("n"))
+    both = one_way.unionByName(one_way.select(F.col("other").alias("tok"), F.col("tok").alias("other"), "n"))
+    return both.groupBy("tok", "other").agg(F.sum("n").alias("n"))
+
+
+def positive_pmi(counts: DataFrame) -> DataFrame:
+    """`tok, other, w`: positive pointwise mutual information of `tok, other, n`, whose two sides are alike."""
+    counts = materialize(counts, "cooccurrences")
+    sums = materialize(counts.groupBy("tok").agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("n")), "word_totals")
+    everything = sums.agg(F.sum("total").cast("double")).first()[0] or 0.0
+    per_word = sums.select("tok", "n")
+    near = join_unique(counts, sums.select("tok", F.col("total").alias("of_tok")), ["tok"], ["other"], counts=per_word)
+    far = sums.select(F.col("tok").alias("other"), F.col("total").alias("of_other"))
+    near = join_unique(near, far, ["other"], ["tok"], counts=per_word.withColumnRenamed("tok", "other"))
+    pmi = F.log(F.col("n") * F.lit(everything) / F.col("of_tok") / F.col("of_other"))
+    return near.select("tok", "other", F.greatest(pmi, F.lit(0.0)).alias("w"))
+
+
+def random_signs(word: Column, dim: int, seed: int) -> list[Column]:
+    """`dim` numbers, 1 or -1, that depend on the word and the seed only."""
+    drawn = [portable_hash(F.concat_ws("#", F.lit(str(seed)), F.lit(str(i)), word)) for i in range(-(-dim // SIGN_BITS))]
+    return [2 * F.shiftright(drawn[i // SIGN_BITS], i % SIGN_BITS).bitwiseAND(F.lit(1)) - 1 for i in range(dim)]
+
+
+def w2v_train(sentences: DataFrame, dim: int = 100, window: int = 5, min_count: int = 1, seed: int = 42, tokens: str = "tokens") -> DataFrame:
+    """`tok, vec` for every word that occurs `min_count` times: its row of the positive PMI matrix of window co-occurrences, projected to
+    `dim` numbers by random signs of the context words, which keeps inner products.
+
+    A word without any neighbour has a zero vector. One aggregation counts the pairs, one sums the projections; the model is a table, no
+    part of it passes through the driver, and its numbers do not depend on partitions or cores. There is no limit on the vocabulary.
+    """
+    words = sentences.select(F.explode(tokens).alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_count).select("tok")
+    weights = positive_pmi(cooccurrences(sentences, window, tokens)).where(F.col("w") > 0)
+    signs = weights.select("tok", "w", *[s.alias(f"_b{i}") for i, s in enumerate(random_signs(F.col("other"), dim, seed))])
+    sums = [F.sum(F.col("w") * F.col(f"_b{i}")) for i in range(dim)]
+    vectors = signs.groupBy("tok").agg(F.array(*sums).alias("vec"))
+    return words.join(vectors, "tok", "left").select("tok", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
 def w2v_doc_vectors(terms: DataFrame, lookup: DataFrame, docs: DataFrame, dim: int, unit: bool = True) -> DataFrame:
@@ -125,10 +135,9 @@ def glove_factorize(edges: DataFrame, dim: int = 16, seed: int = 42, iterations:
     rated = edges.withColumn("rating", F.log1p(F.col("n")).cast("float")).drop("n")
     rated = join_unique(rated, as_id("src"), ["src"], ["dst"], counts=degrees("src"))
     rated = join_unique(rated, as_id("dst"), ["dst"], ["src"], counts=degrees("dst"))
-    blocks = max(10, edges.sparkSession.sparkContext.defaultParallelism)
     model = ALS(
         rank=dim, maxIter=iterations, regParam=0.05, seed=seed, userCol="src_id", itemCol="dst_id", ratingCol="rating",
-        numUserBlocks=blocks, numItemBlocks=blocks,
+        numUserBlocks=ALS_BLOCKS, numItemBlocks=ALS_BLOCKS,
     ).fit(rated.select("src_id", "dst_id", "rating"))
     both = model.userFactors.unionByName(model.itemFactors).select(F.col("id").alias("idx"), F.col("features").alias("vec"))
     sums = [F.sum(F.get("vec", F.lit(i)).cast("double")) for i in range(dim)]

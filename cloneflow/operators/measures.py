@@ -110,7 +110,6 @@ MEASURES: dict[str, Measure] = {
     "rolling_hash": Measure({"windows": _grams(ROLLING_K)}, _on(sim.share_of, "a_windows", "b_windows")),
     "jaccard": Measure({"nodes": _distinct}, _on(sim.jaccard, "a_nodes", "b_nodes")),
     "longest_block": Measure({"hashes": _token_hashes}, _on(sim.block_ratio, "a_hashes", "b_hashes")),
-    "common_subsequence": Measure({"hashes": _token_hashes}, _on(sim.subsequence_similarity, "a_hashes", "b_hashes")),
     "levenshtein": Measure({"text": _text}, _on(sim.edit_similarity, "a_text", "b_text")),
     "metric_profile": Measure({"profile": tx.metric_profile}, _on(sim.profile_similarity, "a_profile", "b_profile")),
     "ngram_similarity": Measure({"ngrams": _grams(NGRAM_N)}, _on(sim.jaccard, "a_ngrams", "b_ngrams")),

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.ml.feature import Word2VecModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +17,7 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 DIM = 64
 LEARNED_DIM = 16
+WORD_DIM = 100
 RUN_ID = "20240101_000000"
 DIGITS = 6
 WALK_LENGTH = 8
@@ -38,6 +37,8 @@ BOARD = [
     "rk_match",
     "winnow",
     "longest_block",
+    "levenshtein",
+    "fuzzy_token_sort",
 ]
 
 CATALOG: dict[str, Query] = {}
@@ -131,10 +132,10 @@ def pretrained_vectors_load(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def w2v_model_store(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    model, trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), LEARNED_DIM)
+    trained = materialize(embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), WORD_DIM), "w2v")
     path = fresh_path(spark, "w2v_model")
-    model.write().overwrite().save(path)
-    loaded = Word2VecModel.load(path).getVectors().select(F.col("word").alias("tok"), vector_to_array("vector").alias("loaded"))
+    vectors.write_vectors(trained.select(F.col("tok").alias("key"), F.col("vec").alias("embedding")), path, RUN_ID)
+    loaded = vectors.read_vectors(spark, path).select(F.col("key").alias("tok"), F.col("embedding").alias("loaded"))
     return trained.join(loaded, "tok", "full").select("tok", F.coalesce(F.col("vec") == F.col("loaded"), F.lit(False)).alias("same"))
 
 
@@ -168,12 +169,14 @@ def graph_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def dummy_pad_nodes(spark: SparkSession, sf: str) -> DataFrame:
-    return graph.pad_nodes(tables.documents(spark, sf))
+    pairs = graph.padded_pairs(tables.documents(spark, sf))
+    name = lambda nodes: F.md5(F.array_join(nodes, " ").cast("binary"))
+    return pairs.select("case_id", "doc_id", F.size("a_nodes").cast("bigint").alias("n"), name("a_nodes").alias("a_md5"), name("b_nodes").alias("b_md5"))
 
 
 @query
 def edge_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    made = graph.edge_tokens(graph.graph_edges(tables.documents(spark, sf)))
+    made = graph.text_edge_tokens(tables.documents(spark, sf))
     return made.select("doc_id", F.array_join("tokens", " ").alias("edge_text"))
 
 
@@ -238,7 +241,7 @@ def minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     scores = embed.star_cosine(tables.documents(spark, sf), tables.embeddings(spark, sf))
-    return rounded(scores.where(F.col("similarity").isNotNull()), "similarity")
+    return rounded(scores, "similarity")
 
 
 @query
@@ -281,37 +284,42 @@ def lookup_doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(values(made, "doc_id"), "value")
 
 
+def _facts(vec: str) -> list:
+    """A vector's size, its length and its first and last entries."""
+    entry = lambda i: F.round(F.element_at(vec, i), 4)
+    return [F.size(vec).alias("dim"), F.round(norm(F.col(vec)), 4).alias("length"), entry(1).alias("first"), entry(-1).alias("last")]
+
+
 @query
 def w2v_train(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    _, trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), LEARNED_DIM)
-    finite = F.forall("vec", lambda x: ~F.isnan(x) & (F.abs(x) < 1e30))
-    return trained.select(F.col("tok").alias("token"), F.size("vec").alias("dim"), finite.alias("finite"))
+    trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), WORD_DIM)
+    return trained.select(F.col("tok").alias("token"), *_facts("vec"))
 
 
 @query
 def w2v_doc_vectors(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    _, trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), LEARNED_DIM)
-    made = embed.w2v_doc_vectors(measures.term_counts(docs), materialize(trained, "w2v"), docs, LEARNED_DIM)
-    return made.select("doc_id", F.size("vec").alias("dim"), F.round(norm(F.col("vec")), DIGITS).alias("length"))
+    trained = embed.w2v_train(docs.select(tx.tokens(F.col("text")).alias("tokens")), WORD_DIM)
+    made = embed.w2v_doc_vectors(measures.term_counts(docs), materialize(trained, "w2v"), docs, WORD_DIM)
+    return made.select("doc_id", *_facts("vec"))
 
 
 @query
 def pdg_w2v_similarity(spark: SparkSession, sf: str) -> DataFrame:
     table = tables.pages(spark, sf)
     sentences = materialize(graph.edge_tokens(graph.method_param_edges(table, with_body=False)), "edge_tokens")
-    _, trained = embed.w2v_train(sentences.select("tokens"), LEARNED_DIM)
+    trained = embed.w2v_train(sentences.select("tokens"), WORD_DIM)
     terms = sentences.select("doc_id", F.inline(tx.bag(F.col("tokens"))))
-    made = embed.w2v_doc_vectors(terms, materialize(trained, "w2v"), table, LEARNED_DIM, unit=False)
-    return embed.star_cosine(table, materialize(made, "page_vectors")).select("case_id", "doc_id", "similarity")
+    made = embed.w2v_doc_vectors(terms, materialize(trained, "w2v"), table, WORD_DIM, unit=False)
+    return rounded(embed.star_cosine(table, materialize(made, "page_vectors")).select("case_id", "doc_id", "similarity"), "similarity")
 
 
 @query
 def random_walk_graph(spark: SparkSession, sf: str) -> DataFrame:
     edges = graph.corpus_edges(tables.documents(spark, sf))
     walks = graph.random_walks(edges, WALK_LENGTH, WALKS, WALK_SEED)
-    return walks.select("walk_id", F.posexplode("tokens").alias("step", "node"))
+    return walks.select("walk_id", F.size("tokens").cast("bigint").alias("steps"), F.array_join("tokens", " ").alias("path"))
 
 
 def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
@@ -324,7 +332,7 @@ def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
 def node2vec_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
     walks = materialize(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS, WALK_SEED), "walks")
-    _, trained = embed.w2v_train(walks, LEARNED_DIM, window=10)
+    trained = embed.w2v_train(walks, LEARNED_DIM, window=10)
     return _graph_query(docs, trained)
 
 
@@ -371,6 +379,12 @@ def legacy_sweep(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(rows, "accuracy", "precision", "recall", "f_measure")
 
 
+@query
+def legacy_report(spark: SparkSession, sf: str) -> DataFrame:
+    rows = evaluate.legacy_sweep(_scores(spark, sf), evaluate.TREE_THRESHOLDS)
+    return rounded(evaluate.legacy_report(rows), "accuracy", "precision", "recall", "f_measure")
+
+
 @query
 def inclusive_sweep(spark: SparkSession, sf: str) -> DataFrame:
     scores = _scores(spark, sf)

@@ -20,7 +20,8 @@ from cloneflow.operators.measures import (
     WINNOW_WINDOW,
 )
 from cloneflow.operators.joins import SHARDS
-from cloneflow.plans.catalog import BOARD, LEARNED_DIM, RUN_ID, WALK_LENGTH, WALK_SEED, WALKS
+from cloneflow.operators.embed import SIGN_BITS
+from cloneflow.plans.catalog import BOARD, RUN_ID, WALK_LENGTH, WALK_SEED, WALKS, WORD_DIM
 
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in KEYWORDS)
 # The letters outside ASCII in the documents. Their place in the string is the control
@@ -325,6 +326,48 @@ def _step(i: int) -> str:
   JOIN num n ON n.src = s.node AND n.number = {pick} % deg.degree)"""
 
 
+
+
+def _word_vectors(sentences: str, window: int, dim: int = WORD_DIM, seed: int = 42) -> list[str]:
+    """CTEs up to `wv` (w, x): random projections of the positive PMI rows of the token lists `tk` of `sentences`."""
+    drawn = ", ".join(f"{_hash(f"'{seed}#{i}#' || v")} AS h{i}" for i in range(-(-dim // SIGN_BITS)))
+    sums = ", ".join(f"sum(p * (2 * ((h{i // SIGN_BITS} >> {i % SIGN_BITS}) & 1) - 1))" for i in range(dim))
+    return [
+        f"""one_way AS (
+  SELECT tk[i] AS u, tk[i + o] AS v FROM (SELECT tk, unnest(range(1, len(tk))) AS i FROM {sentences}), range(1, {window + 1}) t(o) WHERE i + o <= len(tk))""",
+        "near AS (SELECT u, v, count(*) AS n FROM (SELECT u, v FROM one_way UNION ALL SELECT v, u FROM one_way) GROUP BY u, v)",
+        "of_word AS (SELECT u, sum(n)::DOUBLE AS total FROM near GROUP BY u)",
+        """pmi AS (
+  SELECT near.u, near.v, ln(n * (SELECT sum(total) FROM of_word) / a.total / b.total) AS p
+  FROM near JOIN of_word a ON a.u = near.u JOIN of_word b ON b.u = near.v)""",
+        f"signs AS (SELECT v, {drawn} FROM (SELECT u AS v FROM of_word))",
+        f"projected AS (SELECT u, [{sums}] AS x FROM pmi JOIN signs USING (v) WHERE p > 0 GROUP BY u)",
+        f"""wv AS (
+  SELECT w, coalesce(x, list_transform(range({dim}), lambda i: 0.0::DOUBLE)) AS x
+  FROM (SELECT DISTINCT unnest(tk) AS w FROM {sentences}) LEFT JOIN projected ON u = w)""",
+    ]
+
+
+def _vector_facts(x: str) -> str:
+    return f"{WORD_DIM} AS dim, round(sqrt(list_dot_product({x}, {x})), 4) AS length, round({x}[1], 4) + 0.0 AS first, round({x}[{WORD_DIM}], 4) + 0.0 AS last"
+
+
+def _mean_vectors(sentences: str) -> str:
+    """`dv` (doc_id, x): the mean vector of the words of each document, repeats included."""
+    sums = ", ".join(f"avg(x[{i + 1}])" for i in range(WORD_DIM))
+    return f"dv AS (SELECT doc_id, [{sums}] AS x FROM (SELECT doc_id, unnest(tk) AS w FROM {sentences}) JOIN wv USING (w) GROUP BY doc_id)"
+
+
+ZEROS = f"list_transform(range({WORD_DIM}), lambda i: 0.0::DOUBLE)"
+PAGE_EDGES = f"""sentences AS (
+  SELECT doc_id, list(src || '->' || dst ORDER BY src || '->' || dst) AS tk FROM (
+    SELECT DISTINCT doc_id, src, dst FROM (
+      SELECT doc_id, dst, regexp_extract(param, '(\\w+)(?:\\s*\\[\\s*\\])*\\s*$', 1) AS src FROM (
+        SELECT doc_id, dst, unnest(string_split(params, ',')) AS param FROM (
+          SELECT page_id AS doc_id, unnest(regexp_extract_all(html, '{HEADER}', 1)) AS dst,
+            unnest(regexp_extract_all(html, '{HEADER}', 2)) AS params FROM pages)))
+    WHERE src <> '' AND dst NOT IN ({KEYWORD_LIST})) GROUP BY doc_id)"""
+
 ORACLE: dict[str, str] = {
     "corpus_scan": f"""SELECT case_id, role, level, author, stem, case_id || '/' || role || '/' || stem AS path, md5(text) AS code_md5 FROM ({CORPUS})""",
     "original_select": f"SELECT case_id, stem, CAST(1 AS BIGINT) AS originals FROM ({CORPUS}) WHERE role = 'original'",
@@ -340,20 +383,32 @@ UNION ALL SELECT 'broken', 'broken' || doc_id, false, 0, -1 FROM e WHERE label =
 UNION ALL SELECT doc_id, 'computed', pos, round(value, 6) FROM looked WHERE doc_id NOT IN (SELECT doc_id FROM e)""",
     "pretrained_vectors_load": _with(E) + f"SELECT 'w' || doc_id AS word, {_values('vec')} FROM e",
     "w2v_model_store": _docs("SELECT DISTINCT unnest(tk) AS tok, true AS same FROM d"),
-    "w2v_train": _docs(f"SELECT DISTINCT unnest(tk) AS token, {LEARNED_DIM} AS dim, true AS finite FROM d"),
-    "w2v_doc_vectors": _docs(f"SELECT doc_id, {LEARNED_DIM} AS dim, CASE WHEN len(tk) > 0 THEN 1.0 ELSE 0.0 END::DOUBLE AS length FROM d"),
+    "w2v_train": _with(D, *_word_vectors("d", 5)) + f"SELECT w AS token, {_vector_facts('x')} FROM wv",
+    "w2v_doc_vectors": _with(D, *_word_vectors("d", 5), _mean_vectors("d"), f"""unit AS (
+  SELECT doc_id, CASE WHEN x IS NULL THEN {ZEROS} WHEN list_dot_product(x, x) > 0
+    THEN list_transform(x, lambda v: v / sqrt(list_dot_product(x, x))) ELSE x END AS x FROM d LEFT JOIN dv USING (doc_id))""")
+    + f"SELECT doc_id, {_vector_facts('x')} FROM unit",
+    "pdg_w2v_similarity": _with(PAGES, PAGE_EDGES, *_word_vectors("sentences", 5), _mean_vectors("sentences")) + """
+SELECT p.case_id, p.doc_id, round(CASE WHEN list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x) > 0
+  THEN list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) ELSE 0 END, 6) AS similarity
+FROM p LEFT JOIN dv a ON a.doc_id = p.o_id LEFT JOIN dv b ON b.doc_id = p.doc_id""",
     "random_walk_graph": _with(D, EDGES, NUMBERED, *[_step(i) for i in range(1, WALK_LENGTH)])
-    + " UNION ALL ".join(f"SELECT walk_id, {i} AS step, node FROM s{i}" for i in range(WALK_LENGTH)),
+    + "SELECT walk_id, count(*) AS steps, string_agg(node, ' ' ORDER BY step) AS path FROM ("
+    + " UNION ALL ".join(f"SELECT walk_id, {i} AS step, node FROM s{i}" for i in range(WALK_LENGTH)) + ") GROUP BY walk_id",
     "tokenize_ws": _docs("SELECT doc_id, unnest(tk) AS token, CAST(unnest(range(len(tk))) AS INTEGER) AS pos FROM d"),
     "vocab_count": _docs("SELECT token, count(*) AS n FROM (SELECT unnest(tk) AS token FROM d) GROUP BY token"),
     "token_nodes": _with(D, POSITIONS) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, w AS token FROM pos",
     "token_edges": _with(D, EDGES) + "SELECT doc_id, x.s AS src, x.t AS dst FROM edges",
     "graph_stats": _with(D, NODES, EDGES) + """SELECT d.doc_id, coalesce(n.n, 0) AS nodes, coalesce(e.n, 0) AS edges
 FROM d LEFT JOIN nodes_n n ON n.doc_id = d.doc_id LEFT JOIN edges_n e ON e.doc_id = d.doc_id""",
-    "dummy_pad_nodes": _with(D, POSITIONS) + f"""SELECT g.case_id, g.doc_id, CAST(g.pos AS INTEGER) AS pos,
-  coalesce(a.w, '{DUMMY_LABEL}' || g.pos) AS a_node, coalesce(b.w, '{DUMMY_LABEL}' || g.pos) AS b_node
-FROM (SELECT case_id, doc_id, o_id, unnest(range(greatest(a_n, b_n))) AS pos FROM p) g
-LEFT JOIN pos a ON a.doc_id = g.o_id AND a.pos = g.pos LEFT JOIN pos b ON b.doc_id = g.doc_id AND b.pos = g.pos""",
+    "dummy_pad_nodes": _with(D, POSITIONS) + f"""SELECT p.case_id, p.doc_id, coalesce(t.n, 0) AS n,
+  md5(coalesce(t.a_text, '')) AS a_md5, md5(coalesce(t.b_text, '')) AS b_md5
+FROM p LEFT JOIN (
+  SELECT g.doc_id, count(*) AS n, string_agg(coalesce(a.w, '{DUMMY_LABEL}' || g.pos), ' ' ORDER BY g.pos) AS a_text,
+    string_agg(coalesce(b.w, '{DUMMY_LABEL}' || g.pos), ' ' ORDER BY g.pos) AS b_text
+  FROM (SELECT doc_id, o_id, unnest(range(greatest(a_n, b_n))) AS pos FROM p) g
+  LEFT JOIN pos a ON a.doc_id = g.o_id AND a.pos = g.pos LEFT JOIN pos b ON b.doc_id = g.doc_id AND b.pos = g.pos
+  GROUP BY g.doc_id) t ON t.doc_id = p.doc_id""",
     "edge_tokens": _with(D, EDGES) + """SELECT doc_id, string_agg(t, ' ' ORDER BY t) AS edge_text
 FROM (SELECT doc_id, x.s || '->' || x.t AS t FROM edges) GROUP BY doc_id""",
     "method_param_edges": f"""SELECT DISTINCT doc_id, src, dst, 'param' AS kind FROM (
@@ -386,7 +441,7 @@ FROM p LEFT JOIN dots ON dots.doc_id = p.doc_id LEFT JOIN wn a ON a.doc_id = p.o
   FROM nodes_p n LEFT JOIN sig a ON a.doc_id = n.o_id LEFT JOIN sig b ON b.doc_id = n.doc_id)""") + f"""SELECT case_id, doc_id, round(s, 6) AS similarity,
   round(coalesce(list_sum(list_transform(list_zip(x, y), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))::DOUBLE / {len(MINHASH_SEEDS)}, 0), 6) AS estimate,
   coalesce({UNIT_BANDS}, false) AS candidate FROM joined""",
-    "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored WHERE s IS NOT NULL",
+    "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored",
     "failed_pair_zero": STAR_VECTORS + """SELECT case_id, doc_id, is_clone, round(coalesce(s, 0), 6) AS similarity, 'zero' AS policy FROM scored
 UNION ALL SELECT case_id, doc_id, is_clone, round(s, 6), 'drop' FROM scored WHERE s IS NOT NULL""",
     "mean_pool": _with(E, POOLED) + "SELECT label, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM pooled",
@@ -402,6 +457,10 @@ FROM pooled JOIN (SELECT label, sqrt(sum(value * value)) AS n FROM pooled GROUP
     "best_threshold": SCORES + FIXED + ACCURACY + _rates("acc") + BEST + f" SELECT measure, threshold, {METRIC_COLUMNS} FROM best",
     "legacy_sweep": SCORES + _counts(evaluate.TREE_THRESHOLDS, "<=") + _running(2) + _rates("acc")
     + f" SELECT measure, ord, threshold, tp, fp, fn, {METRIC_COLUMNS} FROM rates",
+    "legacy_report": SCORES + _counts(evaluate.TREE_THRESHOLDS, "<=") + _running(2) + _rates("acc") + BEST + """
+SELECT best.measure, best.threshold, round(best.accuracy, 6) AS accuracy, round(l.precision, 6) AS precision, round(l.recall, 6) AS recall,
+  round(l.f_measure, 6) AS f_measure
+FROM best JOIN (SELECT * FROM rates QUALIFY row_number() OVER (PARTITION BY measure ORDER BY ord DESC) = 1) l USING (measure)""",
     "inclusive_sweep": f"SELECT * FROM ({_inclusive(False)}) UNION ALL SELECT * FROM ({_inclusive(True)})",
     "confusion_matrix": SCORES + FIXED + """ SELECT measure, threshold, 0::BIGINT AS row, 0::BIGINT AS col, tp AS n FROM counts
 UNION ALL SELECT measure, threshold, 0, 1, fp FROM counts UNION ALL SELECT measure, threshold, 1, 0, fn FROM counts

@@ -9,12 +9,12 @@ from pyspark.sql import functions as F
 
 
 def write_vectors(df: DataFrame, path: str, run_id: str, as_json: bool = False) -> None:
-    """Store `key, embedding` under a run id. JSON keeps one `key<TAB>array` line per vector."""
+    """Store `key, embedding` under a run id, in place of what that run stored before. JSON keeps one `key<TAB>array` line per vector."""
     if as_json:
         line = F.concat_ws("\t", F.col("key").cast("string"), F.to_json("embedding"))
-        df.select(line.alias("value")).write.mode("append").text(f"{path}/run_id={run_id}")
+        df.select(line.alias("value")).write.mode("overwrite").text(f"{path}/run_id={run_id}")
     else:
-        df.withColumn("run_id", F.lit(run_id)).write.mode("append").partitionBy("run_id").parquet(path)
+        df.drop("run_id").write.mode("overwrite").parquet(f"{path}/run_id={run_id}")
 
 
 def read_vectors(spark: SparkSession, path: str, as_json: bool = False) -> DataFrame:
@@ -40,8 +40,12 @@ def read_word_vectors(spark: SparkSession, path: str) -> DataFrame:
 
 
 def backfill(needed: DataFrame, stored: DataFrame, key: str, compute: Callable[[DataFrame], DataFrame]) -> DataFrame:
-    """`key, embedding, origin`: stored vectors of the needed keys, and computed ones for the rest only."""
-    have = stored.select(key, "embedding").join(needed.select(key), key, "left_semi")
+    """`key, embedding, origin`: stored vectors of the needed keys, and computed ones for the rest only.
+
+    A key that several runs stored has the vector of the latest run.
+    """
+    latest = F.max_by("embedding", "run_id") if "run_id" in stored.columns else F.max("embedding")
+    have = stored.groupBy(key).agg(latest.alias("embedding")).join(needed.select(key), key, "left_semi")
     missing = needed.join(stored.select(key), key, "left_anti")
     made = compute(missing).select(key, "embedding")
     return have.withColumn("origin", F.lit("stored")).unionByName(made.withColumn("origin", F.lit("computed")))

@@ -1,3 +1,4 @@
+import hashlib
 import random
 
 import numpy as np
@@ -129,23 +130,48 @@ def test_learned_vectors_score_copies_one(docs):
     table, rows = docs
     vocabulary = {t for _, _, _, text in rows for t in text.split()}
     sentences = table.select(tx.tokens(F.col("text")).alias("tokens"))
-    model, trained = embed.w2v_train(sentences, dim=8)
-    assert {r.tok for r in trained.collect()} == vocabulary and model.getVectorSize() == 8
+    trained = embed.w2v_train(sentences, dim=8)
+    assert {r.tok for r in trained.collect()} == vocabulary
     raw = embed.w2v_doc_vectors(term_counts(table), trained, table, 8, unit=False)
     copies_score_one(embed.star_cosine(table, raw))
     unit = {r.doc_id: np.linalg.norm(r.vec) for r in embed.w2v_doc_vectors(term_counts(table), trained, table, 8).collect()}
     assert unit[10] == 0 and unit[1] == pytest.approx(1.0)
     walks = graph.random_walks(graph.corpus_edges(table), 5, 2)
-    copies_score_one(graph_scores(table, embed.w2v_train(walks, dim=8, window=10)[1], 8))
+    copies_score_one(graph_scores(table, embed.w2v_train(walks, dim=8, window=10), 8))
     factors = embed.glove_factorize(graph.corpus_edges(table), dim=8)
     assert {r.tok for r in factors.collect()} == vocabulary - {"solo"}
     copies_score_one(graph_scores(table, factors, 8))
 
 
-def test_large_vocabulary_falls_back_to_hash_buckets(docs):
+def test_word_vectors_do_not_depend_on_partitions(docs):
     table, rows = docs
-    vocabulary = {t for _, _, _, text in rows for t in text.split()}
     sentences = table.select(tx.tokens(F.col("text")).alias("tokens"))
-    _, trained = embed.w2v_train(sentences, dim=8, max_vocabulary=5)
-    got = {r.tok: tuple(r.vec) for r in trained.collect()}
-    assert set(got) == vocabulary and len(set(got.values())) <= 5
+    one, many = ({r.tok: r.vec for r in embed.w2v_train(sentences.repartition(n), dim=100).collect()} for n in (2, 8))
+    assert one.keys() == many.keys() and all(len(v) == 100 and np.allclose(v, many[t], atol=1e-6) for t, v in one.items())
+
+
+def test_word_vectors_against_brute_force(docs):
+    table, rows = docs
+    near, window, dim = {}, 2, 70
+    for *_, text in rows:
+        toks = text.split()
+        for i in range(len(toks)):
+            for j in range(i + 1, min(i + window + 1, len(toks))):
+                for u, v in ((toks[i], toks[j]), (toks[j], toks[i])):
+                    near[u, v] = near.get((u, v), 0) + 1
+    total = {}
+    for (u, _), n in near.items():
+        total[u] = total.get(u, 0) + n
+    whole = sum(total.values())
+
+    def sign(word, i):
+        drawn = int(hashlib.md5(f"42#{i // 60}#{word}".encode()).hexdigest()[:15], 16)
+        return 2 * (drawn >> i % 60 & 1) - 1
+
+    got = {r.tok: r.vec for r in embed.w2v_train(table.select(tx.tokens(F.col("text")).alias("tokens")), dim, window).collect()}
+    for word in list(got)[:40]:
+        want = np.zeros(dim)
+        for (u, v), n in near.items():
+            if u == word and (w := np.log(n * whole / total[u] / total[v])) > 0:
+                want += w * np.array([sign(v, i) for i in range(dim)])
+        assert np.allclose(got[word], want, atol=1e-6)

@@ -92,16 +92,6 @@ def profile(a, b):
     return sum(min(x, y) / max(x, y) if max(x, y) else 1.0 for x, y in zip(metrics(a), metrics(b))) / 5
 
 
-def subsequence(x, y):
-    above = [0] * (len(y) + 1)
-    for t in x:
-        row = [0]
-        for j, u in enumerate(y, 1):
-            row.append(above[j - 1] + 1 if t == u else max(row[-1], above[j]))
-        above = row
-    return above[-1] / max(len(x), len(y)) if x or y else 1.0
-
-
 def brute(name, a, b):
     x, y = a.split(), b.split()
     cx, cy = Counter(x), Counter(y)
@@ -127,8 +117,6 @@ def brute(name, a, b):
     if name == "longest_block":
         block = SequenceMatcher(None, x, y, autojunk=False).find_longest_match().size
         return 2 * block / (len(x) + len(y)) if x or y else 1.0
-    if name == "common_subsequence":
-        return subsequence(x, y)
     if name == "jaccard":
         return jac(set(x), set(y))
     if name == "levenshtein":

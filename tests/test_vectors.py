@@ -89,3 +89,16 @@ def test_pca(spark):
     got = np.array([r.pc for r in embed.pca_projection(df).orderBy("id").collect()])
     _, _, axes = np.linalg.svd(data - data.mean(0))
     assert np.allclose(np.abs(got), np.abs(data @ axes[:2].T), atol=1e-8)
+
+
+def test_a_run_overwrites_itself_and_the_latest_run_fills(spark, tmp_path):
+    rows = lambda n: spark.createDataFrame([(1, [float(n)]), (2, [0.5])], "key long, embedding array<double>")
+    path = str(tmp_path / "store")
+    for _ in range(2):
+        vs.write_vectors(rows(1), path, "20240101")
+    vs.write_vectors(rows(2), path, "20240102")
+    stored = vs.read_vectors(spark, path)
+    assert stored.count() == 4
+    needed = spark.createDataFrame([(1,), (2,), (3,)], "key long")
+    done = vs.backfill(needed, stored, "key", lambda m: m.withColumn("embedding", F.array(F.lit(9.0))))
+    assert sorted((r.key, r.embedding, r.origin) for r in done.collect()) == [(1, [2.0], "stored"), (2, [0.5], "stored"), (3, [9.0], "computed")]
