@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,7 +40,10 @@ BOARD = [
     "longest_block",
     "levenshtein",
     "fuzzy_token_sort",
+    "tfidf_cosine",
 ]
+# Graphs of tokens and of dependences have threshold lists of their own; all other measures take the tree list.
+FAMILIES = {"graph_node_jaccard": evaluate.GRAPH_THRESHOLDS, "graph_edit_similarity": evaluate.DEPENDENCE_THRESHOLDS}
 
 CATALOG: dict[str, Query] = {}
 
@@ -403,8 +407,17 @@ def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "label", F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y"))
 
 
+def board_thresholds(name: str) -> tuple[float, ...]:
+    return FAMILIES.get(name, evaluate.TREE_THRESHOLDS)
+
+
 @query
 def approach_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
-    wide = measures.score_table(tables.documents(spark, sf), BOARD)
-    metrics = evaluate.eval_metrics(evaluate.sweep(measures.long_scores(wide, BOARD, DIGITS), evaluate.GRAPH_THRESHOLDS))
+    docs = tables.documents(spark, sf)
+    weighted = measures.tfidf_cosine(docs).withColumnRenamed("similarity", "tfidf_cosine")
+    wide = measures.score_table(docs, [n for n in BOARD if n in measures.MEASURES]).join(weighted, ["case_id", "doc_id"], "left")
+    scores = materialize(measures.long_scores(wide, BOARD, DIGITS), "board_scores")
+    lists = sorted({board_thresholds(n) for n in BOARD})
+    counts = [evaluate.sweep(scores.where(F.col("measure").isin([n for n in BOARD if board_thresholds(n) == t])), t) for t in lists]
+    metrics = evaluate.eval_metrics(reduce(DataFrame.unionByName, counts))
     return evaluate.leaderboard(rounded(evaluate.best_threshold(metrics), "accuracy", "precision", "recall", "f_measure"))

@@ -21,7 +21,7 @@ from cloneflow.operators.measures import (
 )
 from cloneflow.operators.joins import SHARDS
 from cloneflow.operators.embed import SIGN_BITS
-from cloneflow.plans.catalog import BOARD, RUN_ID, WALK_LENGTH, WALK_SEED, WALKS, WORD_DIM
+from cloneflow.plans.catalog import BOARD, RUN_ID, WALK_LENGTH, WALK_SEED, WALKS, WORD_DIM, board_thresholds
 
 KEYWORD_LIST = ", ".join(f"'{k}'" for k in KEYWORDS)
 # The letters outside ASCII in the documents. Their place in the string is the control
@@ -211,13 +211,17 @@ SCORES = _with(D, *PARTS["bow_cosine"][0], f"""scores AS (
 
 def _counts(thresholds: tuple[float, ...], low: str) -> str:
     rows = ", ".join(f"({i}::BIGINT, {t}::DOUBLE)" for i, t in enumerate(thresholds))
+    return _count_rows(f"scores, (VALUES {rows}) t(ord, threshold)", low)
+
+
+def _count_rows(source: str, low: str) -> str:
     return f""", counts AS (
   SELECT measure, ord, threshold,
     CAST(count(*) FILTER (is_clone AND s >= threshold) AS BIGINT) AS tp,
     CAST(count(*) FILTER (NOT is_clone AND NOT s {low} threshold) AS BIGINT) AS fp,
     CAST(count(*) FILTER (is_clone AND s < threshold) AS BIGINT) AS fn,
     CAST(count(*) FILTER (NOT is_clone AND s {low} threshold) AS BIGINT) AS tn
-  FROM scores, (VALUES {rows}) t(ord, threshold) GROUP BY measure, ord, threshold)"""
+  FROM {source} GROUP BY measure, ord, threshold)"""
 
 
 def _rates(source: str) -> str:
@@ -259,7 +263,9 @@ def _board() -> str:
         f"SELECT '{n}' AS measure, p.is_clone, coalesce(round(r.s, 6), 0) AS s FROM p JOIN ({PARTS[n][1]}) r ON r.doc_id = p.doc_id" for n in BOARD
     )
     head = _with(D, *ctes, f"scores AS ({rows})")
-    body = _counts(evaluate.GRAPH_THRESHOLDS, "<") + ACCURACY + _rates("acc") + BEST
+    lists = ", ".join(f"('{n}', {i}::BIGINT, {t}::DOUBLE)" for n in BOARD for i, t in enumerate(board_thresholds(n)))
+    counts = _count_rows(f"scores JOIN (VALUES {lists}) t(measure, ord, threshold) USING (measure)", "<")
+    body = counts + ACCURACY + _rates("acc") + BEST
     return head + body + (
         f", final AS (SELECT measure, threshold, {METRIC_COLUMNS} FROM best) "
         "SELECT *, row_number() OVER (ORDER BY accuracy DESC, f_measure DESC, measure) AS place FROM final"
@@ -310,6 +316,11 @@ wn AS (SELECT doc_id, sqrt(sum(x * x)) AS n FROM wt GROUP BY doc_id),
 dots AS (
   SELECT p.doc_id, sum(a.x * b.x) AS dot FROM p JOIN wt b ON b.doc_id = p.doc_id JOIN wt a ON a.doc_id = p.o_id AND a.w = b.w
   GROUP BY p.doc_id)"""
+PARTS["tfidf_cosine"] = (
+    [BAGS, TFIDF],
+    f"""SELECT p.doc_id, {_div('coalesce(dot, 0)', 'coalesce(a.n * b.n, 0)')} AS s
+FROM p LEFT JOIN dots ON dots.doc_id = p.doc_id LEFT JOIN wn a ON a.doc_id = p.o_id LEFT JOIN wn b ON b.doc_id = p.doc_id""",
+)
 
 NUMBERED = f"""edge AS (SELECT DISTINCT x.s AS src, x.t AS dst FROM edges),
 deg AS (SELECT src, count(*) AS degree FROM edge GROUP BY src),
@@ -431,8 +442,6 @@ WHERE identifier NOT IN ({KEYWORD_LIST})""",
         f"SELECT * FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CALL_PATTERN}', 1)) AS x FROM d) WHERE x NOT IN ({KEYWORD_LIST})",
         0.0,
     ),
-    "tfidf_cosine": _with(D, BAGS, TFIDF) + f"""SELECT p.case_id, p.doc_id, round({_div('coalesce(dot, 0)', 'coalesce(a.n * b.n, 0)')}, 6) AS similarity
-FROM p LEFT JOIN dots ON dots.doc_id = p.doc_id LEFT JOIN wn a ON a.doc_id = p.o_id LEFT JOIN wn b ON b.doc_id = p.doc_id""",
     "minhash_candidates": _with(D, NODES, f"""sig AS (
   SELECT doc_id, list_transform([{SEED_LIST}], lambda s: list_min(list_transform(h, lambda v: (s.a * v + s.b) % {MINHASH_PRIME}))) AS x
   FROM (SELECT doc_id, list({_hash('x')} % {MINHASH_PRIME}) AS h FROM nodes GROUP BY doc_id))""",
