@@ -2,24 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.recommendation import ALS
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-import numpy as np
 
 from cloneflow.functions.text import portable_hash
 from cloneflow.functions.vector import cosine, l2_normalize
-from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, fits, join_unique, number_rows
+from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, fits, join_unique
 from cloneflow.session import materialize
 
 # Word vectors pay for a larger broadcast: otherwise a vector travels with every token of the corpus.
 LOOKUP_BYTES = 256 * 1024 * 1024
 # Signs that one portable hash gives.
 SIGN_BITS = 60
-# Fixed, so that factors do not depend on the number of cores.
-ALS_BLOCKS = 64
 
 
 def mean_pool(rows: DataFrame, keys: list[str], dim: int, vec: str = "vec", weight: str | None = None) -> DataFrame:
@@ -122,32 +122,57 @@ def w2v_doc_vectors(terms: DataFrame, lookup: DataFrame, docs: DataFrame, dim: i
     return vectors.withColumn("vec", l2_normalize(F.col("vec"))) if unit else vectors
 
 
-def glove_factorize(edges: DataFrame, dim: int = 16, seed: int = 42, iterations: int = 5) -> DataFrame:
-    """`tok, vec`: factors of log(1 + co-occurrences), the sum of a token's row and column factors.
+def glove_factorize(
+    edges: DataFrame, dim: int = 16, seed: int = 42, rounds: int = 5, most: float = 100.0, power: float = 0.75, ridge: float = 0.05
+) -> DataFrame:
+    """`tok, vec`: the sum of a token's row and column factors, fitted to the logs of the co-occurrences `src, dst, n`.
 
-    `edges` is `src, dst, n`. ALS needs int ids, which come from distributed dense numbering.
+    The loss of an edge is f(n) (row · column + row bias + column bias - ln n)², with f(n) = min(1, (n / most)^power); `ridge` times the squares of all
+    parameters is added. Each half of a round solves one side exactly while the other is fixed, so the loss never grows. A node's normal
+    equations are sums over its edges, combined before the shuffle; nothing of the model passes through the driver.
     """
-    edges = materialize(edges, "cooccurrence")
-    nodes = edges.select(F.explode(F.array("src", "dst")).alias("tok")).distinct()
-    ids = materialize(number_rows(materialize(nodes, "nodes"), "tok").select("tok", F.col("idx").cast("int").alias("idx")), "ids")
-    degrees = lambda side: edges.groupBy(side).agg(F.count(F.lit(1)).alias("n"))
-    as_id = lambda side: ids.select(F.col("tok").alias(side), F.col("idx").alias(f"{side}_id"))
-    rated = edges.withColumn("rating", F.log1p(F.col("n")).cast("float")).drop("n")
-    rated = join_unique(rated, as_id("src"), ["src"], ["dst"], counts=degrees("src"))
-    rated = join_unique(rated, as_id("dst"), ["dst"], ["src"], counts=degrees("dst"))
-    model = ALS(
-        rank=dim, maxIter=iterations, regParam=0.05, seed=seed, userCol="src_id", itemCol="dst_id", ratingCol="rating",
-        numUserBlocks=ALS_BLOCKS, numItemBlocks=ALS_BLOCKS,
-    ).fit(rated.select("src_id", "dst_id", "rating"))
-    both = model.userFactors.unionByName(model.itemFactors).select(F.col("id").alias("idx"), F.col("features").alias("vec"))
-    sums = [F.sum(F.get("vec", F.lit(i)).cast("double")) for i in range(dim)]
-    return both.groupBy("idx").agg(F.array(*sums).alias("vec")).join(ids, "idx").select("tok", "vec")
+    weight = F.least(F.pow(F.col("n") / F.lit(most), F.lit(power)), F.lit(1.0))
+    edges = materialize(edges.select("src", "dst", weight.alias("f"), F.log(F.col("n").cast("double")).alias("log")), "cooccurrence")
+    counts = {side: materialize(edges.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "degrees") for side in ("src", "dst")}
+    start = [s / F.lit(float(np.sqrt(dim))) for s in random_signs(F.col("dst"), dim, seed)]
+    columns = counts["dst"].select(F.col("dst").alias("tok"), F.array(*start, F.lit(0.0)).alias("vec"))
+    for _ in range(rounds):
+        rows = materialize(_fitted(edges, columns, "dst", "src", dim, ridge, counts["dst"]), "rows")
+        columns = materialize(_fitted(edges, rows, "src", "dst", dim, ridge, counts["src"]), "columns")
+    sums = [F.sum(F.get("vec", F.lit(i))) for i in range(dim)]
+    return rows.unionByName(columns).groupBy("tok").agg(F.array(*sums).alias("vec"))
+
+
+def _fitted(edges: DataFrame, known: DataFrame, at: str, to: str, dim: int, ridge: float, counts: DataFrame) -> DataFrame:
+    """`tok, vec` for every `to` node: the factor, and behind it the bias, that fit its edges best, given those of the `at` nodes."""
+    near = join_unique(edges, known.select(F.col("tok").alias(at), "vec"), [at], [to], counts=counts)
+    near = near.withColumn("left", F.col("log") - F.get("vec", F.lit(dim)))
+    z = [F.get("vec", F.lit(i)) for i in range(dim)] + [F.lit(1.0)]
+    sums = [F.sum(F.col("f") * z[i] * z[j]) for i in range(dim + 1) for j in range(i, dim + 1)]
+    sums += [F.sum(F.col("f") * F.col("left") * x) for x in z]
+    normal = near.groupBy(F.col(to).alias("tok")).agg(F.array(*sums).alias("sums"))
+    return normal.select("tok", _solver(dim + 1, ridge)("sums").alias("vec"))
+
+
+def _solver(size: int, ridge: float) -> Callable[[Column | str], Column]:
+    """An Arrow function: normal equations (the upper triangle by rows, then the right side) to their solution."""
+    i, j = np.triu_indices(size)
+
+    def solve(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for array in arrays:
+            sums = array.flatten().to_numpy(zero_copy_only=False).reshape(len(array), -1)
+            left = np.zeros((len(sums), size, size))
+            left[:, i, j] = left[:, j, i] = sums[:, : len(i)]
+            found = np.linalg.solve(left + ridge * np.eye(size), sums[:, len(i) :, None])
+            yield pa.ListArray.from_arrays(pa.array(np.arange(len(sums) + 1) * size, pa.int32()), pa.array(found.ravel()))
+
+    return F.arrow_udf(solve, "array<double>")
 
 
 def spectral_embed(edges: DataFrame, dim: int = 16, rounds: int = 4, seed: int = 42) -> DataFrame:
-    """`tok, vec`: leading eigenspace of the normalised token graph D^-1/2 (A + Aᵀ) D^-1/2.
+    """`tok, vec`: an approximation of the leading eigenspace of the normalised token graph D^-1/2 (A + Aᵀ) D^-1/2.
 
-    Randomised subspace iteration: each round is one join of the edges with the orthonormal node vectors and
+    Randomised subspace iteration with a fixed number of rounds, not run until it converges: each round is one join of the edges with the orthonormal node vectors and
     one aggregation, written as a table. Only the dim × dim Gram matrix of the vectors reaches the driver.
     """
     both = edges.select("src", "dst", "n").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))

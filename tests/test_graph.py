@@ -175,3 +175,47 @@ def test_word_vectors_against_brute_force(docs):
             if u == word and (w := np.log(n * whole / total[u] / total[v])) > 0:
                 want += w * np.array([sign(v, i) for i in range(dim)])
         assert np.allclose(got[word], want, atol=1e-6)
+
+
+def test_factors_against_brute_force(docs):
+    table, rows = docs
+    dim, rounds, ridge = 4, 2, 0.05
+    n = {}
+    for *_, text in rows:
+        t = text.split()
+        for e in zip(t, t[1:]):
+            n[e] = n.get(e, 0) + 1
+
+    def sign(word, i):
+        return 2 * (int(hashlib.md5(f"42#0#{word}".encode()).hexdigest()[:15], 16) >> i & 1) - 1
+
+    def solve(known, at, to):
+        made = {}
+        for node in {e[to] for e in n}:
+            left, right = ridge * np.eye(dim + 1), np.zeros(dim + 1)
+            for e, count in n.items():
+                if e[to] == node:
+                    z = np.append(known[e[at]][:dim], 1.0)
+                    f = min(1.0, (count / 100) ** 0.75)
+                    left += f * np.outer(z, z)
+                    right += f * z * (np.log(count) - known[e[at]][dim])
+            made[node] = np.linalg.solve(left, right)
+        return made
+
+    def loss(a, b):
+        error = sum(min(1.0, (c / 100) ** 0.75) * (a[u][:dim] @ b[v][:dim] + a[u][dim] + b[v][dim] - np.log(c)) ** 2 for (u, v), c in n.items())
+        return error + ridge * sum(x @ x for side in (a, b) for x in side.values())
+
+    columns = {v: np.array([sign(v, i) / 2 for i in range(dim)] + [0.0]) for _, v in n}
+    losses = []
+    for _ in range(rounds):
+        lines = solve(columns, 1, 0)
+        losses.append(loss(lines, columns))
+        columns = solve(lines, 0, 1)
+        losses.append(loss(lines, columns))
+    assert losses == sorted(losses, reverse=True)
+    got = {r.tok: np.array(r.vec) for r in embed.glove_factorize(graph.corpus_edges(table), dim, rounds=rounds).collect()}
+    none = np.zeros(dim + 1)
+    assert got.keys() == lines.keys() | columns.keys()
+    for word, vec in got.items():
+        assert np.allclose(vec, (lines.get(word, none) + columns.get(word, none))[:dim], atol=1e-6)
