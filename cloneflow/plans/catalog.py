@@ -71,6 +71,14 @@ def corpus_scan(spark: SparkSession, sf: str) -> DataFrame:
     return files.select("case_id", "role", "level", "author", "stem", "path", F.md5(F.col("code").cast("binary")).alias("code_md5"))
 
 
+@query
+def corpus_files(spark: SparkSession, sf: str) -> DataFrame:
+    root = fresh_path(spark, "corpus")
+    corpus.write_corpus(corpus.label_table(tables.documents(spark, sf)).withColumn("author", F.col("stem")), root)
+    files = corpus.read_corpus(spark, root, ".txt")
+    return files.select("case_id", "role", "author", F.md5(F.col("code").cast("binary")).alias("code_md5"))
+
+
 @query
 def original_select(spark: SparkSession, sf: str) -> DataFrame:
     good, rejected = corpus.pick_originals(corpus.label_table(tables.documents(spark, sf)))

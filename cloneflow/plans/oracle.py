@@ -381,6 +381,8 @@ PAGE_EDGES = f"""sentences AS (
 
 ORACLE: dict[str, str] = {
     "corpus_scan": f"""SELECT case_id, role, level, author, stem, case_id || '/' || role || '/' || stem AS path, md5(text) AS code_md5 FROM ({CORPUS})""",
+    "corpus_files": f"""SELECT case_id, role, stem AS author,
+  md5(regexp_replace(coalesce(text, '') || chr(10), chr(13) || chr(10) || '?', chr(10), 'g')) AS code_md5 FROM ({CORPUS})""",
     "original_select": f"SELECT case_id, stem, CAST(1 AS BIGINT) AS originals FROM ({CORPUS}) WHERE role = 'original'",
     "pair_generate": f"""WITH c AS ({CORPUS})
 SELECT s.case_id, s.case_id || '/' || s.role || '/' || s.stem AS path, s.role = 'plagiarized' AS is_clone,

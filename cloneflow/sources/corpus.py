@@ -14,6 +14,9 @@ from cloneflow.session import materialize
 # A feature is made from a document's text and its tokens, which are split once for all features.
 Features = dict[str, Callable[[Column, Column], Column]]
 
+# Features smaller than the text they are made of: alone, they are made before a join, which then moves no text.
+COMPACT = {"chars", "size", "profile", "sig", "calls", "comments", "markup"}
+
 # The three folder names that carry the label.
 ORIGINAL, CLONE, NON_CLONE = "original", "plagiarized", "non-plagiarized"
 
@@ -23,6 +26,7 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
 
     The disguise level `L1`…`L6` and the author folder are null where the path has none. Line ends become
     `\n`, and a file that is not UTF-8 has a null `code`. Jobs that use the path only do not open the files.
+    Folders may carry their column's name, as those of `write_corpus` do.
     Spark's file listing leaves out files of zero bytes.
     """
     text = F.try_validate_utf8(F.col("content").cast("string"))
@@ -34,13 +38,13 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
         .load(root)
         .select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("code"))
     )
-    roles = "|".join((ORIGINAL, NON_CLONE, CLONE))
-    inside = F.regexp_extract("path", rf"/(?:{roles})/(.*)$", 1)
-    level = F.regexp_extract(inside, r"^(L\d+)/", 1)
-    author = F.regexp_extract(inside, r"^(?:L\d+/)?([^/]+)/", 1)
+    roles = rf"(?:role=)?({ORIGINAL}|{NON_CLONE}|{CLONE})/"
+    inside = F.regexp_extract("path", f"/{roles}(.*)$", 2)
+    level = F.regexp_extract(inside, r"^(?:level=)?(L\d+)/", 1)
+    author = F.regexp_extract(inside, r"^(?:(?:level=)?L\d+/)?(?:author=)?([^/]+)/", 1)
     return files.select(
-        F.regexp_extract("path", rf"([^/]+)/(?:{roles})/", 1).alias("case_id"),
-        F.regexp_extract("path", rf"/({roles})/", 1).alias("role"),
+        F.regexp_extract("path", f"/(?:case_id=)?([^/]+)/{roles}", 1).alias("case_id"),
+        F.regexp_extract("path", f"/{roles}", 1).alias("role"),
         F.nullif(level, F.lit("")).alias("level"),
         F.nullif(author, F.lit("")).alias("author"),
         F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"),
@@ -49,6 +53,16 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
     ).where(F.col("role") != "")
 
 
+def write_corpus(corpus: DataFrame, root: str) -> None:
+    """One text file per row below `case_id=…/role=…/author=…`, which `read_corpus` reads with the suffix `.txt`.
+
+    The three columns together name a row. A line end is added to every text, so that no file is empty; a null `code` counts as empty.
+    Each task writes its rows sorted by folder, one open file at a time.
+    """
+    rows = corpus.select("case_id", "role", "author", F.coalesce("code", F.lit("")).alias("code"))
+    rows.write.partitionBy("case_id", "role", "author").text(root)
+
+
 def store_corpus(corpus: DataFrame, path: str) -> DataFrame:
     """Keep a corpus as Parquet: small files are opened once, and later jobs read only the columns they use."""
     corpus.write.partitionBy("role").parquet(path)
@@ -73,19 +87,27 @@ def _with_features(df: DataFrame, text: str, features: Features, prefix: str) ->
     return split.select(*keep, *[F.when(readable, col).alias(prefix + name) for name, col in made.items()])
 
 
+def _join_features(rows: DataFrame, originals: DataFrame, text: str, features: Features, salt_by: list[str], broadcast_bytes: int) -> DataFrame:
+    """`rows` beside their case's original, the text replaced by features: before the join if all are compact, behind it otherwise."""
+    early = COMPACT.issuperset(features)
+    made = _with_features(rows, text, features, "b_") if early else rows
+    pairs = join_unique(made, originals, ["case_id"], salt_by, broadcast_bytes=broadcast_bytes)
+    return pairs if early else _with_features(pairs, text, features, "b_")
+
+
 def make_pairs(corpus: DataFrame, features: Features, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """Each case's original against each of its suspects: `case_id, path, is_clone, a_*, b_*`.
 
     The features of the originals are made and written once, so that measuring and joining them costs no further
-    read of the corpus. Those of the suspects are made behind the join: if it shuffles, it moves plain text.
+    read of the corpus. Those of the suspects are made behind the join, so that a shuffle moves plain text, which is smaller than most
+    features; where all features are compact they are made before it and no text is moved.
     A case without non-clones has fewer rows.
     """
     originals, _ = pick_originals(corpus)
     a = materialize(_with_features(originals.select("case_id", "code"), "code", features, "a_"), "originals")
     suspects = corpus.where(F.col("role") != ORIGINAL).select("case_id", "path", "role", "code")
-    pairs = join_unique(suspects, a, ["case_id"], ["path"], broadcast_bytes=broadcast_bytes)
-    pairs = pairs.withColumn("is_clone", F.col("role") == CLONE).drop("role")
-    return _with_features(pairs, "code", features, "b_")
+    pairs = _join_features(suspects, a, "code", features, ["path"], broadcast_bytes)
+    return pairs.withColumn("is_clone", F.col("role") == CLONE).drop("role")
 
 
 def star_pairs(
@@ -104,11 +126,11 @@ def star_pairs(
     originals = first_rows(table, "case_id", "doc_id").select(*columns)
     a = _with_features(originals.withColumnsRenamed({"doc_id": "_first", "_label": "_first_label"}), "_body", features, "a_")
     a = materialize(a, "originals")
-    pairs = join_unique(table.select(*columns), a, ["case_id"], ["doc_id"], broadcast_bytes=broadcast_bytes)
+    pairs = _join_features(table.select(*columns), a, "_body", features, ["doc_id"], broadcast_bytes)
     pairs = pairs.where(F.col("doc_id") != F.col("_first")).drop("_first")
     if label:
         pairs = pairs.withColumn("is_clone", F.col("_label") == F.col("_first_label")).drop("_label", "_first_label")
-    return _with_features(pairs, "_body", features, "b_")
+    return pairs
 
 
 def label_table(table: DataFrame) -> DataFrame:

@@ -63,6 +63,35 @@ def test_unreadable_file_has_no_code(spark, tmp_path):
     assert {r.similarity for r in score_failed(scores, "zero").collect()} == {0.0}
 
 
+def test_written_corpus_is_read_back(spark, tmp_path):
+    rows = [("c1", "original", "7", "a\r\nb"), ("c1", "plagiarized", "8", ""), ("c 2", "non-plagiarized", "9", None)]
+    cp.write_corpus(spark.createDataFrame(rows, "case_id string, role string, author string, code string"), str(tmp_path / "files"))
+    read = cp.read_corpus(spark, str(tmp_path / "files"), ".txt").collect()
+    assert sorted((r.case_id, r.role, r.author, r.level, r.code) for r in read) == [
+        ("c 2", "non-plagiarized", "9", None, "\n"),
+        ("c1", "original", "7", None, "a\nb\n"),
+        ("c1", "plagiarized", "8", None, "\n"),
+    ]
+
+
+@pytest.mark.parametrize(("name", "moved"), [("metric_profile", False), ("call_similarity", False), ("jaccard", True)])
+def test_compact_features_move_no_text(spark, capsys, name, moved):
+    rows = [(f"c{i % 3}", i, "x", f"int f{i % 4}(int a) {{ return g(a, {i}); }}") for i in range(30)]
+    table = spark.createDataFrame(rows, "case_id string, doc_id long, label string, text string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pairs = cp.star_pairs(table, features_of([name]), broadcast_bytes=0)
+        pairs.explain("formatted")
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    parts = capsys.readouterr().out.split("\n\n")
+    inputs = [p for p in parts if ") Exchange" in p and "hashpartitioning(case_id" in p]
+    assert inputs and any("_body" in p or "_text" in p for p in inputs) == moved
+    near = cp.star_pairs(table, features_of([name]))
+    got, want = (sorted(map(repr, similarity_columns(p, [name]).select("case_id", "doc_id", name).collect())) for p in (pairs, near))
+    assert got == want and len(got) == 27
+
+
 def test_originals(spark, root):
     good, rejected = cp.pick_originals(cp.read_corpus(spark, root))
     assert sorted((r.case_id, r.stem) for r in good.collect()) == [("case-01", "T1"), ("case-04", "E")]
