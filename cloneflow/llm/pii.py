@@ -47,7 +47,7 @@ KINDS = [
     Kind("hidden_email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{2,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+){1,4}", r"[(\[{]at[)\]}]"),
     Kind("local_phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.\x20-])[0-9]{3,4}[.\x20-][0-9]{3,4}(?![0-9.-])", r"[0-9][.\x20-][0-9]{3}"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),
-    Kind("secret", r"(?<=(?:token|secret|passw(?:or)?d|api_?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?)[A-Za-z0-9+/_-]{8,200}+", r"(?:token|secret|passw|key)[\"']?\x20{0,2}[=:]"),
+    Kind("secret", r"(?<=(?:token|secret|passw(?:or)?d|api_?key)[\"']?\x20{0,2}[=:]\x20{0,2}[\"']?)[A-Za-z0-9+/_-]{8,}+", r"(?:token|secret|passw(?:or)?d|api_?key)[\"']?\x20{0,2}[=:]"),
     Kind("person", r"(?<![A-Za-z])(?:Mr|Mrs|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señor|Señora)\.? \p{Lu}[\p{L}'-]{1,30}+(?: \p{Lu}[\p{L}'-]{1,30}+)?", r"(?:Mrs?|Ms|Dr|Prof|Herr|Frau|Madame|Monsieur|Señora?)\.? \p{Lu}"),
 ]
 

@@ -4,6 +4,7 @@ import re
 
 
 from cloneflow.llm import pii
+from pyspark.sql import functions as F
 
 BASE = [
     ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
@@ -97,3 +98,46 @@ def test_candidates_are_added_by_what_the_labelers_learn(docs_of):
     assert sum("secret" in r.spans for r in rows) >= 55
     assert sum(r.n_email for r in rows) == 60
     assert not any("local_phone" in r.spans for r in rows)
+
+
+EXAMPLES = {
+    "email": ["a.b@c.de", "x_%+-@host-1.example.org"],
+    "ip": ["10.20.30.40", "007.1.2.3"],
+    "card": ["4363361756619572", "4012-8888-8888-1881", "1 2"],
+    "phone": ["+1 (799) 555-3729", "+49.30.1234567"],
+    "iban": ["ES9121000418450200051332", "GB82 WEST 1234 5698 7654"],
+    "hidden_email": ["ann.lee(at)host.org", "ann [at] host [dot] org", "ann {at} host (dot) org"],
+    "local_phone": ["020 7946 0958", "(030) 123 4567", "(030)123.4567", "030-1234-567"],
+    "national_id": ["078-05-1120"],
+    "secret": [
+        f"{cue}{quote}{gap}{sign}{gap}{quote}hunter2hunter2x9"
+        for cue in ("token", "secret", "passwd", "password", "apikey", "api_key")
+        for quote in ("", '"', "'")
+        for gap in ("", " ", "  ")
+        for sign in "=:"
+    ],
+    "person": [f"{title}{dot} Éric{last}" for title in "Mr Mrs Ms Dr Prof Herr Frau Madame Monsieur Señor Señora".split() for dot in ("", ".") for last in ("", " Noir")],
+}
+
+
+def test_guard_holds_wherever_the_pattern_matches(spark):
+    rows = [(k, t) for k, made in EXAMPLES.items() for t in made] + [("", t) for t in texts() if t]
+    frame = spark.createDataFrame(rows, "kind string, text string")
+    tests = [F.col("text").rlike(p).alias(f"{k.name}_{what}") for k in pii.KINDS for what, p in (("hit", k.pattern), ("guard", k.guard))]
+    for r in frame.select("*", *tests).collect():
+        assert not r.kind or r[f"{r.kind}_hit"], r
+        for k in pii.KINDS:
+            assert r[f"{k.name}_guard"] or not r[f"{k.name}_hit"], (k.name, r.text)
+
+
+def candidates(docs_of, kind, made):
+    """The matches of one kind in every text, accepted or not."""
+    at = [k.name for k in pii.KINDS].index(kind)
+    got = {r.doc_id: r.spans for r in pii.spans(docs_of(made)).collect()}
+    return [[t[s.start : s.stop] for s in got[i] if s.kind == at] for i, t in enumerate(made)]
+
+
+def test_secret_behind_a_password_cue_is_a_whole_candidate(docs_of):
+    long = "aB3_" * 150
+    made = ["password=hunter2hunter2x9", "passwd: abcdEFGH12345678", f"token={long} end", f"secret: '{long * 20}'", "passwords are long"]
+    assert candidates(docs_of, "secret", made) == [["hunter2hunter2x9"], ["abcdEFGH12345678"], [long], [long * 20], []]
