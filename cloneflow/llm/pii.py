@@ -26,6 +26,20 @@ ACCEPT = 0.5
 # match would be scanned once per character. Possessive repeats give back nothing, so long matches need no stack.
 _RUN = r"(?:\G|(?<![{0}]))[{0}]++"
 
+# The lengths of a country's IBAN. Codes that are not listed may have any length.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK", 21: "CH|HR|LI|LV",
+    22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL", 24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST",
+    26: "IS|TR", 27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA", 30: "JO|KW|MU|YE",
+    31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _ibans() -> str:
+    """The listed lengths in groups of four and a shorter last one, so that a short word behind a spaced IBAN is not its last group."""
+    last = lambda n: rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+    return "|".join(rf"(?:{codes})[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{{n // 4 - 1}}}{last(n)}" for n, codes in IBAN_COUNTRIES.items())
+
 
 @dataclass(frozen=True)
 class Kind:
@@ -43,7 +57,7 @@ KINDS = [
     Kind("ip", _RUN.format("0-9") + r"\.[0-9]++\.[0-9]++\.[0-9]++", r"[0-9]\.[0-9]", True),
     Kind("card", r"[0-9](?:[\x20-]?[0-9])++", r"[0-9][\x20-]?[0-9]", True),
     Kind("phone", r"\+[0-9][\x20().0-9-]+[0-9]", r"\+[0-9]", True),
-    Kind("iban", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
+    Kind("iban", rf"(?<![A-Za-z0-9])(?:{_ibans()}|[A-Z]{{2}}[0-9]{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?)(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}"),
     Kind("hidden_email", r"(?<![A-Za-z0-9._-])[A-Za-z0-9._-]{2,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{2,63}+(?: ?(?:\(dot\)|\[dot\]|\.) ?[A-Za-z0-9-]{2,63}+){1,4}", r"[(\[{]at[)\]}]"),
     Kind("local_phone", r"(?<![0-9A-Za-z+.-])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[.\x20-])[0-9]{3,4}[.\x20-][0-9]{3,4}(?![0-9.-])", r"[0-9][.\x20-][0-9]{3}"),
     Kind("national_id", r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])", r"[0-9]-[0-9]{2}-[0-9]"),

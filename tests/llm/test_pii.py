@@ -141,3 +141,23 @@ def test_secret_behind_a_password_cue_is_a_whole_candidate(docs_of):
     long = "aB3_" * 150
     made = ["password=hunter2hunter2x9", "passwd: abcdEFGH12345678", f"token={long} end", f"secret: '{long * 20}'", "passwords are long"]
     assert candidates(docs_of, "secret", made) == [["hunter2hunter2x9"], ["abcdEFGH12345678"], [long], [long * 20], []]
+
+
+def test_ibans_of_every_length_are_whole_candidates(docs_of):
+    """Listed and unlisted codes, unspaced and in groups of four, with a word in capitals behind the listed ones."""
+    rng, made, want = random.Random(5), [], []
+    codes = {n: c.split("|") for n, c in pii.IBAN_COUNTRIES.items()}
+    for n in range(15, 35):
+        for code in [*codes.get(n, []), "ZZ"]:
+            iban = code + "".join(rng.choice("0123456789") for _ in range(n - 2))
+            spaced = " ".join(iban[i : i + 4] for i in range(0, n, 4))
+            behind = " EUR, BANK A" if code != "ZZ" else ", BANK A"
+            for form in (iban, spaced):
+                made.append(f"pay to {form}{behind} today")
+                want.append([form])
+    made += ["DE89 3704 0044 0532 0130 00", "GB82WEST12345698765432", "x" + "DE89370400440532013000", "A" * 50 + "12" + "B" * 50, "AB12 CD"]
+    want += [["DE89 3704 0044 0532 0130 00"], ["GB82WEST12345698765432"], [], [], []]
+    assert candidates(docs_of, "iban", made) == want
+    at = [k.name for k in pii.KINDS].index("iban")
+    forms = {s.votes[0] for r in pii.spans(docs_of(made)).collect() for s in r.spans if s.kind == at}
+    assert forms == {"+"}
