@@ -27,17 +27,23 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
     The disguise level `L1`…`L6` and the author folder are null where the path has none. Line ends become
     `\n`, and a file that is not UTF-8 has a null `code`. Jobs that use the path only do not open the files.
     Folders may carry their column's name, as those of `write_corpus` do.
-    Spark's file listing leaves out files of zero bytes.
+    Spark's scan leaves out files of zero bytes, but its listing has them: what is listed and not scanned has the text `''`.
     """
     text = F.try_validate_utf8(F.col("content").cast("string"))
-    files = (
+    scan = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", True)
         .option("pathGlobFilter", f"*{suffix}")
         .option("ignoreCorruptFiles", True)
         .load(root)
-        .select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("code"))
     )
+    # Listed paths are URIs, with three slashes where the scan's may have one; a plus sign in one is no blank.
+    listed = spark.createDataFrame([(uri,) for uri in scan.inputFiles()], "uri string")
+    decoded = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
+    plain = lambda path: F.regexp_replace(path, "^([A-Za-z0-9+.-]+):///", "$1:/").alias("path")
+    listed = listed.select(plain(decoded)).where(F.col("path").endswith(suffix))
+    empty = listed.join(scan.select(plain(F.col("path"))), "path", "left_anti")
+    files = scan.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("code")).unionByName(empty.withColumn("code", F.lit("")))
     roles = rf"(?:role=)?({ORIGINAL}|{NON_CLONE}|{CLONE})/"
     inside = F.regexp_extract("path", f"/{roles}(.*)$", 2)
     level = F.regexp_extract(inside, r"^(?:level=)?(L\d+)/", 1)

@@ -63,6 +63,31 @@ def test_unreadable_file_has_no_code(spark, tmp_path):
     assert {r.similarity for r in score_failed(scores, "zero").collect()} == {0.0}
 
 
+def test_empty_files_have_an_empty_text(spark, tmp_path):
+    files = {
+        "case 1/original/A+b.java": JAVA,
+        "case 1/plagiarized/L1/01/Cop y+é 100%.java": "",
+        "case 1/plagiarized/L1/02/C.java": JAVA,
+        "case 1/non-plagiarized/03/D%20.java": "",
+        "case 1/non-plagiarized/03/notes.txt": "",
+        "case 2/original/E.java": "",
+        "case 2/plagiarized/L1/04/F.java": "",
+    }
+    for name, code in files.items():
+        path = tmp_path / "files" / name
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_text(code)
+    rows = cp.read_corpus(spark, str(tmp_path / "files")).collect()
+    assert {r.path.split("/files/")[1]: r.code for r in rows} == {k: v for k, v in files.items() if k.endswith(".java")}
+    assert len(rows) == 6 and {(r.case_id, r.role, r.level, r.author, r.stem) for r in rows if r.stem.startswith("Cop")} == {
+        ("case 1", "plagiarized", "L1", "01", "Cop y+é 100%")
+    }
+    stored = cp.store_corpus(cp.read_corpus(spark, str(tmp_path / "files")), str(tmp_path / "stored"))
+    scored = similarity_columns(cp.make_pairs(stored, features_of(["jaccard"])), ["jaccard"])
+    got = sorted((r.path.rsplit("/", 1)[1], r.is_clone, r.jaccard) for r in scored.collect())
+    assert got == [("C.java", True, 1.0), ("Cop y+é 100%.java", True, 0.0), ("D%20.java", False, 0.0), ("F.java", True, 0.0)]
+
+
 def test_written_corpus_is_read_back(spark, tmp_path):
     rows = [("c1", "original", "7", "a\r\nb"), ("c1", "plagiarized", "8", ""), ("c 2", "non-plagiarized", "9", None)]
     cp.write_corpus(spark.createDataFrame(rows, "case_id string, role string, author string, code string"), str(tmp_path / "files"))
