@@ -169,48 +169,94 @@ def _solver(size: int, ridge: float) -> Callable[[Column | str], Column]:
     return F.arrow_udf(solve, "array<double>")
 
 
-def spectral_embed(edges: DataFrame, dim: int = 16, rounds: int = 4, seed: int = 42) -> DataFrame:
-    """`tok, vec`: an approximation of the leading eigenspace of the normalised token graph D^-1/2 (A + Aᵀ) D^-1/2.
+def spectral_embed(
+    edges: DataFrame, dim: int = 16, rounds: int = 60, seed: int = 42, degree: int = 10, tolerance: float = 1e-5
+) -> DataFrame:
+    """`tok, vec`: the leading eigenvectors of the normalised token graph S = D^-1/2 (A + Aᵀ) D^-1/2, largest eigenvalue first.
 
-    Randomised subspace iteration with a fixed number of rounds, not run until it converges: each round is one join of the edges with the orthonormal node vectors and
-    one aggregation, written as a table. Only the dim × dim Gram matrix of the vectors reaches the driver.
+    Subspace iteration on a block of 2 × dim vectors, one of them the known leading one, with a Chebyshev filter of S in each round. It ends
+    when every one of the dim vectors q with value t has |S q - t q| <= tolerance, and raises when `rounds` rounds do not reach that.
+    A product with S is one join of the edges with the node vectors and one aggregation, written as a table. Only three Gram matrices
+    of the block reach the driver.
     """
     both = edges.select("src", "dst", "n").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     sym = materialize(both.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("w")), "adjacency")
-    nodes = materialize(sym.groupBy("src").agg(F.sum("w").alias("d"), (F.count(F.lit(1)) + 1).alias("n")), "degrees")
+    nodes = materialize(sym.groupBy("src").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n")), "degrees")
     per_dst = nodes.select(F.col("src").alias("dst"), "n")
     scaled = join_unique(sym, nodes.select(F.col("src").alias("dst"), F.col("d").alias("dd")), ["dst"], ["src"], counts=per_dst)
     scaled = join_unique(scaled, nodes.select("src", "d"), ["src"], ["dst"], counts=nodes.select("src", "n"))
-    # An own edge of weight 1 per node shifts the spectrum to be positive, so the largest eigenvalues win.
-    own = nodes.select("src", F.col("src").alias("dst"), F.lit(1.0).alias("w"))
-    normalised = scaled.select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("dd"))).alias("w")).unionByName(own)
-    normalised = materialize(normalised, "normalised")
+    normalised = materialize(scaled.select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("dd"))).alias("w")), "normalised")
 
     unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "src"), F.lit(2_000_001)) / F.lit(1_000_000.0)) - 1
-    x = materialize(nodes.select(F.col("src").alias("dst"), F.array(*[unit(i) for i in range(dim)]).alias("vec")), "start")
+    start = F.array(F.sqrt("d"), *[unit(i) for i in range(1, 2 * dim)])
+    x = materialize(nodes.select(F.col("src").alias("node"), start.alias("vec")), "start")
     small = fits(x)
+
+    def product(x: DataFrame, width: int) -> DataFrame:
+        """`x` with `image`, the product of S and `vec`."""
+        hop = join_unique(normalised, x.select(F.col("node").alias("dst"), "vec"), ["dst"], ["src"], counts=per_dst, small=small)
+        sums = [F.sum(F.col("w") * F.get("vec", F.lit(i))) for i in range(width)]
+        return x.join(hop.groupBy(F.col("src").alias("node")).agg(F.array(*sums).alias("image")), "node")
+
+    width, worst = 2 * dim, float("inf")
     for _ in range(rounds):
-        hop = join_unique(normalised, _orthonormal(x, dim), ["dst"], ["src"], counts=per_dst, small=small)
-        sums = [F.sum(F.col("w") * F.get("vec", F.lit(i))) for i in range(dim)]
-        x = materialize(hop.groupBy("src").agg(F.array(*sums).alias("vec")).withColumnRenamed("src", "dst"), "round")
-    return _orthonormal(x, dim).select(F.col("dst").alias("tok"), "vec")
-
-
-def _orthonormal(x: DataFrame, dim: int) -> DataFrame:
-    """The columns of x made orthonormal through the eigenvectors of their dim × dim Gram matrix."""
-    upper = [(i, j) for i in range(dim) for j in range(i, dim)]
-    row = x.agg(*[F.sum(F.get("vec", F.lit(i)) * F.get("vec", F.lit(j))) for i, j in upper]).first()
-    gram = np.zeros((dim, dim))
-    for (i, j), value in zip(upper, row):
-        gram[i, j] = gram[j, i] = value
-    # A graph with fewer nodes than dimensions has a singular Gram matrix: its spare directions become zero.
-    values, vectors = np.linalg.eigh(gram)
-    keep = values > values[-1] * 1e-12
-    basis = vectors[:, keep][:, ::-1] / np.sqrt(values[keep][::-1])
-    basis = np.pad(basis, ((0, 0), (0, dim - basis.shape[1])))
-    columns = F.array(*[F.array(*[F.lit(float(v)) for v in basis[:, j]]) for j in range(dim)])
-    times = lambda c: F.aggregate(F.zip_with("vec", c, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
-    return x.select("dst", F.transform(columns, times).alias("vec"))
+        x = materialize(product(x, width).select("node", "vec", "image"), "round")
+        values, turn, residuals = _ritz(x, width)
+        worst = residuals[:dim].max(initial=0.0)
+        if worst <= tolerance:
+            return _turned(x, np.pad(turn[:, :dim], ((0, 0), (0, max(0, dim - len(values)))))).select(F.col("node").alias("tok"), "vec")
+        # The filter damps what lies between -1 and the block's last value.
+        width, centre, half = len(values), float(values[-1] - 1) / 2, float(values[-1] + 1) / 2
+        shifted = lambda i: (F.get("image", F.lit(i)) - centre * F.get("vec", F.lit(i))) / half
+        first = F.array(*[shifted(i) for i in range(width)])
+        x = materialize(_turned(x, turn).select("node", F.col("vec").alias("before"), first.alias("vec")), "filter")
+        for _ in range(degree - 1):
+            then = F.array(*[2 * shifted(i) - F.get("before", F.lit(i)) for i in range(width)])
+            x = materialize(product(x, width).select("node", F.col("vec").alias("before"), then.alias("vec")), "filter")
+        x = x.select("node", "vec")
+    raise RuntimeError(f"spectral_embed: residual {worst:.1e} after {rounds} rounds, more than {tolerance:.1e}")
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+
+
+def _ritz(x: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The Ritz values of S in the span of `vec`, largest first, the matrix that turns `vec` into their vectors, and their residuals."""
+
+    def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((3, width, width))
+        for batch in batches:
+            v, image = _matrix(batch.column(0)), _matrix(batch.column(1))
+            total += np.array([v.T @ v, v.T @ image, image.T @ image])
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["sums"])
+
+    parts = x.select("vec", "image").mapInArrow(grams, "sums array<double>").select(F.posexplode("sums").alias("pos", "value"))
+    total = np.zeros(3 * width * width)
+    for row in parts.groupBy("pos").agg(F.sum("value").alias("value")).collect():
+        total[row.pos] = row.value
+    own, across, images = total.reshape(3, width, width)
+    # Vectors of length 1 first. A graph with fewer nodes than vectors has a singular Gram matrix: its spare directions are dropped.
+    scale = 1 / np.sqrt(np.where(np.diag(own) > 0, np.diag(own), 1.0))
+    lengths, axes = np.linalg.eigh(own * np.outer(scale, scale))
+    keep = lengths > max(lengths[-1], 0.0) * 1e-12
+    basis = scale[:, None] * axes[:, keep] / np.sqrt(lengths[keep])
+    values, axes = np.linalg.eigh(basis.T @ (across + across.T) @ basis / 2)
+    values, turn = values[::-1], basis @ axes[:, ::-1]
+    squares = np.einsum("ij,ik,kj->j", turn, images, turn) - values**2
+    return values, turn, np.sqrt(np.maximum(squares, 0.0))
+
+
+def _turned(x: DataFrame, turn: np.ndarray) -> DataFrame:
+    """`node, vec, image` with both vectors multiplied by `turn`."""
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = pa.array(np.arange(batch.num_rows + 1) * turn.shape[1], pa.int32())
+            made = [pa.ListArray.from_arrays(ends, pa.array((_matrix(batch.column(i)) @ turn).ravel())) for i in (1, 2)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["node", "vec", "image"])
+
+    return x.select("node", "vec", "image").mapInArrow(times, "node string, vec array<double>, image array<double>")
 
 
 def pca_projection(vectors: DataFrame, k: int = 2) -> DataFrame:

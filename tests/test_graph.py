@@ -7,6 +7,7 @@ import pytest
 from cloneflow.functions import text as tx
 from cloneflow.operators import embed, graph, joins
 from cloneflow.operators.measures import term_counts
+from cloneflow.plans import catalog
 from pyspark.sql import functions as F
 
 
@@ -114,6 +115,34 @@ def test_spectral_space_matches_dense_iteration(docs):
     assert np.linalg.norm(x @ (x.T @ top)) > 0.999
 
 
+def test_spectral_space_has_converged_with_the_parameters_of_the_query(spark):
+    """A random graph whose leading values lie close together: every vector is an eigenvector, and no larger value is missed."""
+    rng = random.Random(3)
+    n = {}
+    for i in range(1, 60):
+        for _ in range(2):
+            n[f"w{i}", f"w{rng.randrange(i)}"] = rng.randint(1, 5)
+    edges = spark.createDataFrame([(u, v, k) for (u, v), k in n.items()], "src string, dst string, n long")
+    got = {r.tok: r.vec for r in embed.spectral_embed(edges, catalog.LEARNED_DIM).collect()}
+    toks = sorted(got)
+    at = {t: i for i, t in enumerate(toks)}
+    adj = np.zeros((len(toks), len(toks)))
+    for (u, v), k in n.items():
+        adj[at[u], at[v]] += k
+        adj[at[v], at[u]] += k
+    d = adj.sum(1)
+    s = adj / np.sqrt(np.outer(d, d))
+    x = np.array([got[t] for t in toks])
+    assert np.allclose(x.T @ x, np.eye(16), atol=1e-8)
+    values = np.diag(x.T @ s @ x)
+    assert np.linalg.norm(s @ x - x * values, axis=0).max() <= 2e-5
+    assert np.allclose(values, np.linalg.eigvalsh(s)[::-1][:16], atol=1e-8)
+    with pytest.raises(RuntimeError, match="residual"):
+        embed.spectral_embed(edges, catalog.LEARNED_DIM, rounds=1)
+    few = {r.tok: r.vec for r in embed.spectral_embed(edges.where("src = 'w1'"), 4).collect()}
+    assert len(few) == 2 and all(len(v) == 4 and v[2:] == [0.0, 0.0] for v in few.values())
+
+
 def copies_score_one(scores, copy=9):
     got = {r.doc_id: r.similarity for r in scores.collect()}
     assert got[copy] == pytest.approx(1.0)
