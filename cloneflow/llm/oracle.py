@@ -108,3 +108,38 @@ SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN page_id > first_id THEN first_id END AS refers_to
 FROM payloads LEFT JOIN firsts USING (payload_digest)
 """
+
+# Shares by sources in order of size over weight; the large documents of a source one after the other, then the rest at one rate.
+ORACLE["op11_mix"] = """
+WITH RECURSIVE sized AS (
+  SELECT doc_id, coalesce('s' || source, 'z') AS key, len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+')) AS size FROM documents),
+sources AS (SELECT key, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY key) - 1 AS rank FROM sized GROUP BY key),
+weighed AS (
+  SELECT *, sum(source_size) OVER () AS total, row_number() OVER w AS k,
+    sum(source_size) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before, sum(weight) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open
+  FROM (SELECT key, source_size, ([5.0, 2.0, 1.0])[rank % 3 + 1]::DOUBLE AS weight FROM sources) WINDOW w AS (ORDER BY source_size / weight, key)),
+shares AS (SELECT *, ((total - 3 * coalesce(before, 0)) / open)::DOUBLE AS share FROM weighed),
+share AS (SELECT k, share FROM shares WHERE weight * share <= 3 * source_size ORDER BY k LIMIT 1),
+targets AS (
+  SELECT key, source_size, CASE WHEN weighed.k < coalesce(share.k, 1 << 62) THEN (3 * source_size)::DOUBLE ELSE weight * share.share END AS target,
+    ('0x' || substr(md5('42:' || key[2:]), 1, 6))::BIGINT * 4 AS shift
+  FROM weighed LEFT JOIN share ON true),
+aimed AS (SELECT *, coalesce(size > target * 0.005 AND target > 0, false) AS is_large FROM sized JOIN targets USING (key)),
+numbered AS (SELECT *, row_number() OVER (PARTITION BY key, is_large ORDER BY size DESC, doc_id NULLS FIRST) AS i FROM aimed),
+walk AS (
+  SELECT key, 0::BIGINT AS i, NULL::BIGINT AS doc_id, NULL::BIGINT AS size, 0::BIGINT AS place, 0::BIGINT AS move, 0::BIGINT AS pos, target AS lacks, source_size AS has, shift FROM targets
+  UNION ALL
+  SELECT key, i, doc_id, size, pos, move, pos + move, lacks - (((pos + move + shift) >> 26) - ((pos + shift) >> 26)) * size, has - size, shift
+  FROM (SELECT w.key, n.i, n.doc_id, n.size, w.pos, w.lacks, w.has, w.shift,
+      least(3::BIGINT << 26, floor(greatest(w.lacks, 0) / w.has * 67108864.0)::BIGINT, floor(greatest(w.lacks, 0) / n.size)::BIGINT << 26) AS move
+    FROM walk w JOIN numbered n ON n.is_large AND n.key = w.key AND n.i = w.i + 1)),
+ends AS (
+  SELECT key, pos, CASE WHEN has > 0 THEN least(3::BIGINT << 26, floor(greatest(lacks, 0) / has * 67108864.0)::BIGINT) ELSE 0 END AS move
+  FROM walk QUALIFY row_number() OVER (PARTITION BY key ORDER BY i DESC) = 1),
+places AS (
+  SELECT key, doc_id, size, place, move FROM walk WHERE i > 0
+  UNION ALL
+  SELECT key, doc_id, size, pos + (i - 1) * move, move FROM numbered JOIN ends USING (key) WHERE NOT is_large)
+SELECT doc_id, size, source_size, target, (((place + move + shift) >> 26) - ((place + shift) >> 26)) * size AS taken
+FROM places JOIN targets USING (key)
+"""

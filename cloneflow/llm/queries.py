@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneflow.llm import decontaminate, linededup, pieces, pii, quality, simhash, tokencount, topk, urlfilter, warc
+from cloneflow.llm import decontaminate, linededup, mixing, pieces, pii, quality, simhash, tokencount, topk, urlfilter, warc
 from cloneflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -79,6 +79,11 @@ def op10_warc(spark: SparkSession, sf: str) -> DataFrame:
     return warc.archived_pages(table(spark, sf, "pages"))
 
 
+@query
+def op11_mix(spark: SparkSession, sf: str) -> DataFrame:
+    return mixing.mix_report(table(spark, sf, "documents"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
