@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cloneflow.llm import decontaminate, linededup, mixing, pieces, pii, quality, simhash, tokencount, topk, urlfilter, warc
+from cloneflow.llm import alignment, decontaminate, linededup, mixing, pieces, pii, quality, simhash, spelling, tokencount, topk, urlfilter, warc
 from cloneflow.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -84,6 +84,17 @@ def op11_mix(spark: SparkSession, sf: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf, "documents"))
 
 
+@query
+def op12_spelling(spark: SparkSession, sf: str) -> DataFrame:
+    return spelling.group_spellings(table(spark, sf, "documents"))
+
+
+@query
+def op13_align(spark: SparkSession, sf: str) -> DataFrame:
+    docs = table(spark, sf, "documents")
+    return alignment.alignment_report(docs, public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query
 def pipeline(spark: SparkSession, sf: str) -> DataFrame:
     return corpus_pipeline.run(spark, sf)
