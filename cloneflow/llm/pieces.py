@@ -19,10 +19,12 @@ import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cloneflow.llm.common import whole_text, with_result
+from cloneflow.llm.common import give_back, whole_text, with_result
 
 BLANK = "▁"
-MAX_CACHED, MAX_WORD, MAX_PAIRS = 100_000, 48, 300_000
+MAX_WORD, MAX_PAIRS = 48, 60_000
+# Bytes, about, of one generation of remembered parts: a worker holds two, for as long as its task runs.
+CACHE_BYTES = 16 << 20
 RESULT = "n_tokens long, ids binary, decoded string"
 ARROW = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
@@ -96,6 +98,7 @@ class Pieces:
         self.pairs: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[bytes, str]] = {}
         self.older: dict[str, tuple[bytes, str]] = {}
+        self.held = 0
         self.find = re.compile(r" *[^ \n]+|\n| +").findall
 
     def compatible(self, x: int, y: int) -> bool:
@@ -175,11 +178,16 @@ class Pieces:
             ids = self.encode_part(part)
             made = b"".join([self.packed[i] for i in ids]), self.decode_part(ids)
         if len(part) <= MAX_WORD:
-            if len(self.words) >= MAX_CACHED:
-                self.older, self.words = self.words, {}
+            if self.held >= CACHE_BYTES:
+                self.older, self.words, self.held = self.words, {}, 0
             self.words[part] = made
+            self.held += 320 + 4 * len(part) + len(made[0])
         return made
 
+    def forget(self) -> None:
+        self.words, self.older, self.held = {}, {}, 0
+        self.pairs.clear()
+
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids, as little-endian unsigned 32-bit numbers, begin and end included, and the text that decoding them gives."""
         edge = self.packed[self.begin], self.packed[self.end]
@@ -211,6 +219,8 @@ def encoder(path: str):
             counts = pa.array([len(ids) // 4 for ids, _ in made], pa.int64())
             fields = [counts, pa.array([ids for ids, _ in made], pa.binary()), pa.array([d for _, d in made], pa.string())]
             yield pa.StructArray.from_arrays(fields, fields=list(ARROW))
+        pieces.forget()
+        give_back()
 
     return F.arrow_udf(run, RESULT)
 

@@ -1,6 +1,7 @@
 """Token operators against the libraries whose results they must equal."""
 
 import random
+import sys
 
 import public_tokenizers
 import pytest
@@ -37,12 +38,14 @@ def test_pieces_equal_the_library(docs_of):
 
 def test_small_caches_change_nothing(monkeypatch):
     model = sentencepiece.SentencePieceProcessor(model_file=MODEL)
-    monkeypatch.setattr(pieces, "MAX_CACHED", 5)
+    monkeypatch.setattr(pieces, "CACHE_BYTES", 2000)
     monkeypatch.setattr(pieces, "MAX_PAIRS", 7)
     own = pieces.Pieces(MODEL)
     for t in texts()[:300]:
         assert pieces.unpacked(own.encode(t or "")[0]) == model.encode(t or "", add_bos=True, add_eos=True)
-    assert len(own.words) <= 5 and len(own.pairs) <= 7
+    assert own.held <= 2000 + 1000 and len(own.words) <= 7 and len(own.pairs) <= 7
+    own.forget()
+    assert not own.words and not own.older and not own.pairs
 
 
 def test_compatible_pairs_are_those_that_encoding_leaves():
@@ -55,7 +58,7 @@ def test_compatible_pairs_are_those_that_encoding_leaves():
         assert own.compatible(x, y) == (made == [own.text[x], own.text[y]])
 
 
-@pytest.mark.parametrize("frequent,cached,at_once,piece", [(20_000, 250_000, 100_000, 1 << 20), (3, 10, 5, 4)])
+@pytest.mark.parametrize("frequent,cached,at_once,piece", [(20_000, 24 << 20, 100_000, 1 << 20), (3, 10, 5, 4)])
 def test_counts_equal_the_library(docs_of, monkeypatch, frequent, cached, at_once, piece):
     library, made = Tokenizer.from_file(BYTES), texts()
     table = tokencount.frequent_lengths(docs_of(made), BYTES, frequent)
@@ -64,12 +67,12 @@ def test_counts_equal_the_library(docs_of, monkeypatch, frequent, cached, at_onc
     class Sent:
         value = table
 
-    monkeypatch.setattr(tokencount, "MAX_CACHED", cached)
+    monkeypatch.setattr(tokencount, "CACHE_BYTES", cached)
     monkeypatch.setattr(tokencount, "AT_ONCE", at_once)
     monkeypatch.setattr(tokencount, "PIECE_CHARS", piece)
     import pyarrow as pa
 
-    count = tokencount._counter(BYTES, Sent).func
+    count = tokencount._counter(BYTES, tokencount.unlike_characters(BYTES), Sent).func
     got = next(count(iter([pa.array([t or "" for t in made])]))).to_pylist()
     assert got == [len(library.encode(t or "", add_special_tokens=False).ids) for t in made]
 
@@ -82,3 +85,21 @@ def test_report(docs_of):
         n = len(library.encode(text, add_special_tokens=False).ids)
         assert (r.n_bytes, r.n_tokens, r.over_limit) == (len(text.encode()), n, n > 100)
     assert len(rows) == len(made) and tokencount.token_report(docs_of([]), BYTES).count() == 0
+
+
+def test_all_characters_between_letters_digits_and_contractions():
+    """Every code point behind and before a letter, a digit, a sign and a contraction, as the library counts it."""
+    library = Tokenizer.from_file(BYTES)
+    unlike = set(tokencount.unlike_characters(BYTES))
+    assert 0x0558 in unlike and 10_000 < len(unlike) < 30_000
+    own = tokencount.PreTokens(BYTES, sorted(unlike), True, tokencount.token_count)
+    points = [p for p in range(sys.maxunicode + 1) if not 0xD800 <= p < 0xE000]
+    for i in range(0, len(points), 1 << 14):
+        some = points[i : i + (1 << 14)]
+        plain = "\n".join(f"a{c}'s {c}1{c} x!{c}" for c in map(chr, (p for p in some if p not in unlike)))
+        assert not own.foreign(plain)
+        parts = library.pre_tokenizer.pre_tokenize_str(plain)
+        ends = [len(w) for words, _ in own.lists(plain) for w in words]
+        assert ends == [b - a for _, (a, b) in parts]
+    text = "a" + chr(min(unlike)) + "'s"
+    assert own.foreign(text) and sum(own.encoded(text)) == len(library.encode(text, add_special_tokens=False).ids)
