@@ -2,8 +2,9 @@
 
 The texts of a task are cut into shards of bounded size. A shard's suffix array holds the word positions where a test window can
 begin at all (a run of enough words that the benchmark has), sorted by the words that follow. Every test suffix is found in it by
-binary search; neighbouring hits on one diagonal join to the longest verbatim match. Documents are never shuffled: the benchmark
-goes to them, in blocks of bounded size, and each further block is another pass.
+binary search. The hit words of a text, with the items that hit it, make a second suffix array, in which each test suffix finds its longest
+verbatim match and where it is. Documents are never shuffled: the benchmark goes to them, in blocks of bounded size, and each
+further block is another pass.
 """
 
 from __future__ import annotations
@@ -20,7 +21,8 @@ from cloneflow.session import materialize
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
-BLOCK_BYTES = 16 << 20
+# Bytes of test items in a block: at most half as many windows, of some 100 bytes each on the driver and in every worker.
+BLOCK_BYTES = 2 << 20
 
 # A-Z to a-z; digits, a-z and all bytes of other characters stay; the rest parts words.
 TABLE = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -38,24 +40,32 @@ class TestWindows:
     def __init__(self, items: list[tuple[int, str]], window: int = WINDOW):
         self.window, self.vocabulary = window, {}
         self.ids = np.array(sorted({i for i, _ in items}), np.int64)
-        places: dict[tuple, list] = {}
-        for item, text in items:
-            words = [w for some in word_lists(text, TABLE) for w in some]
-            codes = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words]
-            length = min(window, len(codes))
-            for at in range(len(codes) - length + 1 if length else 0):
-                places.setdefault(tuple(codes[at : at + length]), []).append((int(np.searchsorted(self.ids, item)), at))
-        self.lengths = np.array([len(w) for w in places], np.int64)
-        low = np.zeros((len(places), window), ">u4")
-        high = np.full((len(places), window), 0xFFFFFFFF, ">u4")
-        for i, codes in enumerate(places):
-            low[i, : len(codes)] = high[i, : len(codes)] = codes
-        self.low, self.high = (x.view(f"S{4 * window}").ravel() for x in (low, high))
-        self.shortest = int(self.lengths.min()) if len(places) else 0
-        found = list(places.values())
-        self.first = np.cumsum([0, *map(len, found)])
-        self.items = np.array([i for p in found for i, _ in p], np.int64)
-        self.places = np.array([at for p in found for _, at in p], np.int64)
+        texts = []
+        for _, text in items:
+            words = (w for some in word_lists(text, TABLE) for w in some)
+            texts.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in words], np.uint32))
+        # The words of all texts, one text behind the other, and the item of each text.
+        self.words = np.concatenate([*texts, np.zeros(window, np.uint32)])
+        sizes = np.array([len(t) for t in texts], np.int64)
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        self.item_of = np.searchsorted(self.ids, np.array([i for i, _ in items], np.int64))
+        # One window for each word that enough words follow, and one for a text of fewer.
+        lengths = np.minimum(sizes, window)
+        many = np.where(sizes > 0, sizes - lengths + 1, 0)
+        text = np.repeat(np.arange(len(texts)), many)
+        at = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + self.starts[text]
+        size = lengths[text]
+        spread = np.where(np.arange(window) < size[:, None], self.words[at[:, None] + np.arange(window)], 0).astype(">u4")
+        keys, first, which = np.unique(spread.view(f"S{4 * window}").ravel(), return_index=True, return_inverse=True)
+        self.lengths = size[first] if len(keys) else np.empty(0, np.int64)
+        self.low = keys
+        high = np.where(np.arange(window) < self.lengths[:, None], spread[first], 0xFFFFFFFF).astype(">u4") if len(keys) else spread
+        self.high = np.ascontiguousarray(high).view(f"S{4 * window}").ravel()
+        self.shortest = int(self.lengths.min()) if len(keys) else 0
+        # The texts of each window, every one once.
+        pairs = np.unique(which.ravel() * len(texts) + text) if len(keys) else np.empty(0, np.int64)
+        self.text_of = pairs % max(1, len(texts))
+        self.first = np.searchsorted(pairs // max(1, len(texts)), np.arange(len(keys) + 1))
 
     def codes(self, text: str) -> np.ndarray:
         """The words of a text as numbers; 0 is a word that the benchmark does not have."""
@@ -98,27 +108,88 @@ def _spans(at: np.ndarray, lengths: np.ndarray) -> list[tuple[int, int]]:
     return list(zip(at[new].tolist(), reach[np.append(np.flatnonzero(new)[1:] - 1, len(at) - 1)].tolist(), strict=True))
 
 
-def _longest(tests: TestWindows, at: np.ndarray, windows: np.ndarray) -> list[tuple[int, int, int]]:
-    """`(item_id, start, words)`: the longest verbatim match of each item, the first at a tie."""
-    many = tests.first[windows + 1] - tests.first[windows]
-    entry = np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(tests.first[windows], many)
-    start, words = np.repeat(at, many), np.repeat(tests.lengths[windows], many)
-    item, diagonal = tests.items[entry], start - tests.places[entry]
-    order = np.lexsort((start, diagonal, item))
-    start, words, item, diagonal = (x[order] for x in (start, words, item, diagonal))
-    new = np.ones(len(item), bool)
-    new[1:] = (item[1:] != item[:-1]) | (diagonal[1:] != diagonal[:-1]) | (start[1:] != start[:-1] + 1)
-    heads = np.flatnonzero(new)
-    tails = np.append(heads[1:], len(item)) - 1
-    length = start[tails] + words[tails] - start[heads]
-    best: dict[int, tuple[int, int]] = {}
-    for i, size, begin in zip(item[heads].tolist(), length.tolist(), start[heads].tolist(), strict=True):
-        best[i] = max(best.get(i, (0, 0)), (size, -begin))
-    return [(int(tests.ids[i]), -begin, size) for i, (size, begin) in sorted(best.items())]
+def substring_names(words: np.ndarray) -> list[np.ndarray]:
+    """For 1, 2, 4, ... words, numbers of the substrings that begin at each position, in their order, until all differ.
+
+    Equal numbers are equal substrings; a substring that the end cuts off is a name of its own.
+    """
+    names, size = [np.unique(words, return_inverse=True)[1].ravel().astype(np.int64)], 1
+    while names[-1].max(initial=0) + 1 < len(words):
+        last = names[-1]
+        behind = np.zeros(len(last), np.int64)
+        behind[: len(last) - size] = last[size:] + 1
+        names.append(np.unique(last * (len(last) + 1) + behind, return_inverse=True)[1].ravel())
+        size *= 2
+    return names
+
+
+def common_prefixes(names: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How many words the suffixes at `a` and at `b` have in common at their beginning; `a` and `b` differ everywhere."""
+    found = np.zeros(len(a), np.int64)
+    for level in range(len(names) - 1, -1, -1):
+        n = len(names[level])
+        x, y = a + found, b + found
+        inside = (x < n) & (y < n)
+        same = inside & (names[level][np.minimum(x, n - 1)] == names[level][np.minimum(y, n - 1)])
+        found += same * (1 << level)
+    return found
+
+
+def _longest(tests: TestWindows, codes: np.ndarray, spans: list[tuple[int, int]], windows: np.ndarray) -> list[tuple[int, int, int]]:
+    """`(item_id, start, words)`: the longest verbatim match of each item that has one of the windows, the first at a tie.
+
+    The hit words of the text and the items stand in one suffix array, parted by marks that occur once. Each test suffix finds its longest
+    match beside its own place in the order: nothing is repeated for the places of a window, however often it occurs.
+    """
+    hit = np.unique(windows)
+    many = tests.first[hit + 1] - tests.first[hit]
+    texts = np.unique(tests.text_of[np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many) + np.repeat(tests.first[hit], many)])
+    parts = [(codes[a:b], a, -1) for a, b in spans] + [(tests.words[tests.starts[t] : tests.starts[t + 1]], 0, t) for t in texts.tolist()]
+    sizes = np.array([len(p) + 1 for p, _, _ in parts])
+    heads = np.cumsum(sizes) - sizes
+    words = np.concatenate([x for k, (p, _, _) in enumerate(parts) for x in (p, [len(tests.vocabulary) + 1 + k])]).astype(np.int64)
+    mark = np.zeros(len(words), bool)
+    mark[heads + sizes - 1] = True
+    owner = np.repeat([t for _, _, t in parts], sizes)
+    start = np.arange(len(words)) - np.repeat(heads - np.array([a for _, a, _ in parts]), sizes)
+    names = substring_names(words)
+    order = np.argsort(names[-1])
+    order = order[~mark[order]]
+    of_text = owner[order] < 0
+    # The nearest suffix of the text on either side.
+    place = np.arange(len(order))
+    before = np.maximum.accumulate(np.where(of_text, place, -1))
+    behind = np.minimum.accumulate(np.where(of_text, place, len(order))[::-1])[::-1]
+    test = np.flatnonzero(~of_text)
+    best = np.zeros(len(test), np.int64)
+    for near in (before[test], behind[test]):
+        some = (near >= 0) & (near < len(order))
+        best[some] = np.maximum(best[some], common_prefixes(names, order[test[some]], order[near[some]]))
+    item = tests.item_of[owner[order[test]]]
+    length = np.zeros(len(tests.ids), np.int64)
+    np.maximum.at(length, item, best)
+    top = best == length[item]
+    item, at = item[top], order[test[top]]
+    own = np.flatnonzero((owner < 0) & ~mark)
+    rows = {}
+    for size in np.unique(length[item]).tolist():
+        # Two overlapping names make the substring of this length.
+        level = size.bit_length() - 1
+        some = length[item] == size
+        where = own[own + size <= len(words)]
+        # Equal pairs get equal numbers, the test's side behind the text's.
+        both = np.concatenate([where, at[some]])
+        key = names[level][both] * (len(words) + 1) + names[level][both + size - (1 << level)]
+        key = np.unique(key, return_inverse=True)[1].ravel()
+        first = np.full(key.max() + 1, np.iinfo(np.int64).max)
+        np.minimum.at(first, key[: len(where)], start[where])
+        for i, begin in zip(item[some].tolist(), first[key[len(where) :]].tolist(), strict=True):
+            rows[i] = min(rows.get(i, (begin, size)), (begin, size))
+    return [(int(tests.ids[i]), begin, size) for i, (begin, size) in sorted(rows.items())]
 
 
 def _batch(tests: TestWindows, texts: list[str]) -> list[dict]:
-    """One result per text. The texts share suffix arrays: a word that no window has stands between them."""
+    """A result per text. The texts share suffix arrays: a word that no window has stands between them."""
     codes = [tests.codes(t) for t in texts]
     sizes = [len(c) for c in codes]
     parted = [x for c in codes for x in (c, np.zeros(1, np.uint32))]
@@ -133,7 +204,7 @@ def _batch(tests: TestWindows, texts: list[str]) -> list[dict]:
             continue
         local, found = at[here] - starts[i], windows[here]
         spans = _spans(local, tests.lengths[found])
-        matches = _longest(tests, local, found)
+        matches = _longest(tests, codes[i], spans, found)
         rows.append(
             {
                 "n_words": n,
@@ -193,7 +264,8 @@ def find_matches(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, bl
 
     The struct: `n_words`; `n_hit`, words inside any occurrence of a window; `items`, the ids whose windows occur; `spans`,
     the hit words as [start, stop); `matches`, per item the longest verbatim match and its place. Null and empty texts have no
-    words. Test rows without id or text take no part; rows that repeat an id are one item. All other rows and columns stay.
+    words. Test rows without id or text take no part; rows that repeat an id are one item. All other rows and columns stay. A very long text is
+    searched in shards; one word repeated any number of times, in text and item, takes memory in proportion to both lengths.
     """
     spark = docs.sparkSession
     items = benchmark.where(F.col("item_id").isNotNull() & F.col("text").isNotNull()).select(F.col("item_id").cast("bigint"), "text").distinct()
