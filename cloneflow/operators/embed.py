@@ -13,11 +13,14 @@ from pyspark.sql import functions as F
 
 from cloneflow.functions.text import portable_hash
 from cloneflow.functions.vector import cosine, l2_normalize
-from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, fits, join_unique
-from cloneflow.session import materialize
+from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, join_unique, number_rows
+from cloneflow.session import discard, materialize
 
 # Word vectors pay for a larger broadcast: otherwise a vector travels with every token of the corpus.
 LOOKUP_BYTES = 256 * 1024 * 1024
+# Nodes in a packed range of vectors, and entries in a packed piece of a sparse matrix.
+BLOCK_NODES = 8192
+PIECE_EDGES = 1 << 16
 # Signs that one portable hash gives.
 SIGN_BITS = 60
 
@@ -116,6 +119,109 @@ def w2v_train(sentences: DataFrame, dim: int = 100, window: int = 5, min_count:
     return words.join(vectors, "tok", "left").select("tok", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
 
 
+def factorize(
+    weights: DataFrame, dim: int = 16, seed: int = 42, spare: int = 16, rounds: int = 100, tolerance: float = 1e-5, block: int = BLOCK_NODES
+) -> DataFrame:
+    """`tok, vec`: the leading factors of a symmetric matrix `tok, other, w`, scaled so that the inner product of two vectors is the entry of
+    the matrix's best approximation of rank `dim`, negative eigenvalues taken as positive.
+
+    A randomised range finder: a block of dim + spare random vectors is multiplied with the matrix and made orthonormal again, until none of the
+    leading values moves by more than `tolerance` times the largest; it raises when `rounds` rounds do not reach that. Orthonormal
+    vectors come from a QR decomposition in each task, whose triangles are combined in a tree; what reaches the driver are
+    matrices of the block's width. The start is a hash of the words, so nothing depends on partitions.
+    """
+    counts = weights.groupBy("tok").agg(F.count(F.lit(1)).alias("n"))
+    nodes = materialize(number_rows(counts, order="tok"), "words")
+    ends = join_unique(weights, nodes.select("tok", F.col("idx").alias("i")), ["tok"], ["other"], counts=nodes.select("tok", "n"))
+    there = nodes.select(F.col("tok").alias("other"), F.col("idx").alias("j"))
+    ends = join_unique(ends, there, ["other"], ["tok"], counts=nodes.select(F.col("tok").alias("other"), "n"))
+    matrix = matrix_pieces(ends.select("i", "j", F.col("w").cast("double").alias("w")), block)
+    width = dim + spare
+    start = nodes.select("idx", F.array(*[b.cast("double") for b in random_signs(F.col("tok"), width, seed)]).alias("vec"))
+    x = materialize(vector_blocks(start, width, block), "vectors")
+    turn, before, moved = np.linalg.pinv(tall_triangle(x, "vec", width)), np.zeros(dim), float("inf")
+    for _ in range(rounds):
+        image = product(matrix, _turned(x, turn, width), turn.shape[1], block, keep=True)
+        width = turn.shape[1]
+        done = materialize(image, "round")
+        discard(x)
+        values, axes = _leading(done, width)
+        now = np.pad(np.abs(values), (0, max(0, dim - len(values))))[:dim]
+        moved = np.abs(now - before).max() / (now[0] or 1.0)
+        if moved <= tolerance:
+            ends = np.pad(axes[:, :dim] * np.sqrt(np.abs(values[:dim])), ((0, 0), (0, max(0, dim - width))))
+            return nodes.select("idx", "tok").join(vector_rows(done, ends, width, block), "idx").select("tok", "vec")
+        before = now
+        x = materialize(done.select("block", F.col("before").alias("vec"), F.lit(None).cast("binary").alias("before")), "vectors")
+        discard(done)
+        turn = np.linalg.pinv(tall_triangle(x, "vec", width))
+    raise RuntimeError(f"factorize: values still move by {moved:.1e} after {rounds} rounds, more than {tolerance:.1e}")
+
+
+def tall_triangle(x: DataFrame, column: str, width: int) -> np.ndarray:
+    """R of the QR decomposition of all rows of a packed column: one per task, then of those of some tasks, then of what is left."""
+
+    def reduce_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, width))
+        for batch in batches:
+            for value in batch.column(0):
+                r = np.linalg.qr(np.vstack([r, _table(value, width)]), mode="r")
+        if len(r):
+            yield pa.RecordBatch.from_arrays([pa.array([r.tobytes()], pa.binary())], ["r"])
+
+    each = materialize(x.select(column).mapInArrow(reduce_rows, "r binary"), "triangles")
+    some = each.repartition(max(1, int(each.count() ** 0.5))).mapInArrow(reduce_rows, "r binary").collect()
+    return np.linalg.qr(np.vstack([np.frombuffer(row.r).reshape(-1, width) for row in some]), mode="r") if some else np.eye(width)
+
+
+def _turned(x: DataFrame, turn: np.ndarray, width: int) -> DataFrame:
+    """`block, vec, before` with the vectors multiplied by `turn`."""
+
+    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                made = (_table(batch.column("vec")[k], width) @ turn).tobytes()
+                yield pa.RecordBatch.from_arrays([batch.column("block")[k : k + 1], pa.array([made], pa.binary()), pa.nulls(1, pa.binary())], ["block", "vec", "before"])
+
+    return x.select("block", "vec").mapInArrow(times, "block int, vec binary, before binary")
+
+
+def _leading(x: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Eigenvalues of the matrix in the span of the orthonormal `vec`, whose image is `before`, largest in size first, and their vectors."""
+
+    def cross(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((width, width))
+        for batch in batches:
+            for k in range(batch.num_rows):
+                total += _table(batch.column("vec")[k], width).T @ _table(batch.column("before")[k], width)
+        yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["sums"])
+
+    parts = x.select("vec", "before").mapInArrow(cross, "sums array<double>").select(F.posexplode("sums").alias("pos", "value"))
+    total = np.zeros(width * width)
+    for row in parts.groupBy("pos").agg(F.sum("value").alias("value")).collect():
+        total[row.pos] = row.value
+    total = total.reshape(width, width)
+    values, axes = np.linalg.eigh((total + total.T) / 2)
+    order = np.argsort(-np.abs(values), kind="stable")
+    return values[order], axes[:, order]
+
+
+def word_factors(sentences: DataFrame, dim: int = 16, window: int = 5, seed: int = 42, tokens: str = "tokens") -> DataFrame:
+    """`tok, vec`: the leading factors of the positive PMI matrix of window co-occurrences; words without neighbours have zeros."""
+    words = sentences.select(F.explode(tokens).alias("tok")).distinct()
+    found = factorize(positive_pmi(cooccurrences(sentences, window, tokens)).where(F.col("w") > 0), dim, seed)
+    return words.join(found, "tok", "left").select("tok", F.coalesce("vec", F.array_repeat(F.lit(0.0), dim)).alias("vec"))
+
+
+def with_lonely_nodes(lookup: DataFrame, nodes: DataFrame, dim: int, seed: int = 42) -> DataFrame:
+    """`lookup` for every token of `nodes`: one without a vector, or with zeros, because it has no neighbour, gets a unit vector of its own, from
+    a hash of the token."""
+    own = F.array(*[s / F.lit(float(np.sqrt(dim))) for s in random_signs(F.col("tok"), dim, seed)])
+    every = nodes.select("tok").distinct().join(lookup, "tok", "left")
+    none = F.col("vec").isNull() | F.forall("vec", lambda v: v == 0)
+    return every.select("tok", F.when(none, own).otherwise(F.col("vec")).alias("vec"))
+
+
 def w2v_doc_vectors(terms: DataFrame, lookup: DataFrame, docs: DataFrame, dim: int, unit: bool = True) -> DataFrame:
     """Mean word vector per document, unit length or raw."""
     vectors = lookup_doc_vectors(terms, lookup, docs, dim)
@@ -170,68 +276,192 @@ def _solver(size: int, ridge: float) -> Callable[[Column | str], Column]:
 
 
 def spectral_embed(
-    edges: DataFrame, dim: int = 16, rounds: int = 60, seed: int = 42, degree: int = 10, tolerance: float = 1e-5
+    edges: DataFrame, dim: int = 16, rounds: int = 60, seed: int = 42, degree: int = 10, tolerance: float = 1e-5, block: int = BLOCK_NODES
 ) -> DataFrame:
     """`tok, vec`: the leading eigenvectors of the normalised token graph S = D^-1/2 (A + Aᵀ) D^-1/2, largest eigenvalue first.
 
-    Subspace iteration on a block of 2 × dim vectors, one of them the known leading one, with a Chebyshev filter of S in each round. It ends
+    Subspace iteration on a block of 4 × dim vectors, one of them the known leading one, with a Chebyshev filter of S in each round. It ends
     when every one of the dim vectors q with value t has |S q - t q| <= tolerance, and raises when `rounds` rounds do not reach that.
-    A product with S is one join of the edges with the node vectors and one aggregation, written as a table. Only three Gram matrices
-    of the block reach the driver.
+    Nodes have dense numbers; the vectors are stored by ranges of nodes and the edges by the range that they read from, in
+    pieces of bounded size, so that a product with S is one join of few large rows, one pass of numpy over each piece of edges and one
+    sum by range. Only three Gram matrices of the vectors reach the driver. A round's table is deleted when the next one is written.
     """
     both = edges.select("src", "dst", "n").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "n"))
     sym = materialize(both.groupBy("src", "dst").agg(F.sum("n").cast("double").alias("w")), "adjacency")
-    nodes = materialize(sym.groupBy("src").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n")), "degrees")
-    per_dst = nodes.select(F.col("src").alias("dst"), "n")
-    scaled = join_unique(sym, nodes.select(F.col("src").alias("dst"), F.col("d").alias("dd")), ["dst"], ["src"], counts=per_dst)
-    scaled = join_unique(scaled, nodes.select("src", "d"), ["src"], ["dst"], counts=nodes.select("src", "n"))
-    normalised = materialize(scaled.select("src", "dst", (F.col("w") / F.sqrt(F.col("d") * F.col("dd"))).alias("w")), "normalised")
-
-    unit = lambda i: (F.pmod(F.xxhash64(F.lit(seed), F.lit(i), "src"), F.lit(2_000_001)) / F.lit(1_000_000.0)) - 1
-    start = F.array(F.sqrt("d"), *[unit(i) for i in range(1, 2 * dim)])
-    x = materialize(nodes.select(F.col("src").alias("node"), start.alias("vec")), "start")
-    small = fits(x)
-
-    def product(x: DataFrame, width: int) -> DataFrame:
-        """`x` with `image`, the product of S and `vec`."""
-        hop = join_unique(normalised, x.select(F.col("node").alias("dst"), "vec"), ["dst"], ["src"], counts=per_dst, small=small)
-        sums = [F.sum(F.col("w") * F.get("vec", F.lit(i))) for i in range(width)]
-        return x.join(hop.groupBy(F.col("src").alias("node")).agg(F.array(*sums).alias("image")), "node")
-
-    width, worst = 2 * dim, float("inf")
+    nodes = sym.groupBy("src").agg(F.sum("w").alias("d"), F.count(F.lit(1)).alias("n"))
+    nodes = materialize(number_rows(nodes.withColumnRenamed("src", "tok"), order="tok"), "nodes")
+    counts = nodes.select(F.col("tok").alias("dst"), "n")
+    there = nodes.select(F.col("tok").alias("dst"), F.col("idx").alias("j"), F.col("d").alias("dd"))
+    here = nodes.select(F.col("tok").alias("src"), F.col("idx").alias("i"), "d")
+    ends = join_unique(sym, there, ["dst"], ["src"], counts=counts).select("src", "dst", "j", "dd", "w")
+    ends = join_unique(ends, here, ["src"], ["dst"], counts=nodes.select(F.col("tok").alias("src"), "n"))
+    matrix = matrix_pieces(ends.select("i", "j", (F.col("w") / F.sqrt(F.col("d") * F.col("dd"))).alias("w")), block)
+
+    width = 4 * dim
+    unit = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "tok"), F.lit(2_000_001)) / F.lit(1_000_000.0)) - 1
+    start = nodes.select("idx", F.array(F.sqrt("d"), *[unit(k) for k in range(1, width)]).alias("vec"))
+    x = materialize(vector_blocks(start, width, block), "vectors")
+    worst = float("inf")
     for _ in range(rounds):
-        x = materialize(product(x, width).select("node", "vec", "image"), "round")
-        values, turn, residuals = _ritz(x, width)
+        image = product(matrix, x, width, block, keep=True)
+        done = materialize(image, "round")
+        discard(x)
+        values, turn, residuals = _ritz(done, width)
         worst = residuals[:dim].max(initial=0.0)
         if worst <= tolerance:
-            return _turned(x, np.pad(turn[:, :dim], ((0, 0), (0, max(0, dim - len(values)))))).select(F.col("node").alias("tok"), "vec")
+            turn = np.pad(turn[:, :dim], ((0, 0), (0, max(0, dim - len(values)))))
+            return nodes.select("idx", "tok").join(vector_rows(done, turn, width, block), "idx").select("tok", "vec")
         # The filter damps what lies between -1 and the block's last value.
-        width, centre, half = len(values), float(values[-1] - 1) / 2, float(values[-1] + 1) / 2
-        shifted = lambda i: (F.get("image", F.lit(i)) - centre * F.get("vec", F.lit(i))) / half
-        first = F.array(*[shifted(i) for i in range(width)])
-        x = materialize(_turned(x, turn).select("node", F.col("vec").alias("before"), first.alias("vec")), "filter")
+        fewer, centre, half = len(values), float(values[-1] - 1) / 2, float(values[-1] + 1) / 2
+        now = _first_filter(done, turn, width, centre, half)
+        width = fewer
         for _ in range(degree - 1):
-            then = F.array(*[2 * shifted(i) - F.get("before", F.lit(i)) for i in range(width)])
-            x = materialize(product(x, width).select("node", F.col("vec").alias("before"), then.alias("vec")), "filter")
-        x = x.select("node", "vec")
+            now = product(matrix, now, width, block, (2 / half, -2 * centre / half, -1.0))
+        x = materialize(now.select("block", "vec", F.lit(None).cast("binary").alias("before")), "vectors")
+        discard(done)
     raise RuntimeError(f"spectral_embed: residual {worst:.1e} after {rounds} rounds, more than {tolerance:.1e}")
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(column), -1)
+def _numbers(value: pa.Scalar, kind: type = np.float64) -> np.ndarray:
+    return np.frombuffer(value.as_buffer(), kind)
+
+
+def _table(value: pa.Scalar, width: int) -> np.ndarray:
+    return _numbers(value).reshape(-1, width)
+
+
+def matrix_pieces(entries: DataFrame, block: int) -> DataFrame:
+    """`block, rows, cols, w, leads` from entries `i, j, w`: the entries of a range of columns as packed arrays, sorted by row, in pieces of
+    about PIECE_EDGES entries. A range with more is dealt over several pieces by a hash of the row; one of them `leads`."""
+    ranged = entries.withColumn("block", F.floor(F.col("j") / block).cast("int"))
+    ranged = materialize(ranged, "entries")
+    pieces = ranged.groupBy("block").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIECE_EDGES)).cast("int").alias("pieces"))
+    dealt = join_unique(ranged, pieces, ["block"], ["i"]).withColumn("piece", F.pmod(F.xxhash64("i"), F.col("pieces")).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def out() -> pa.RecordBatch:
+            i, j, w = (np.concatenate(c) for c in zip(*held, strict=True))
+            made = [i.astype(np.int64).tobytes(), (j - key[0] * block).astype(np.int32).tobytes(), w.astype(np.float64).tobytes()]
+            return pa.RecordBatch.from_arrays([*[pa.array([k], pa.int32()) for k in key], *[pa.array([m], pa.binary()) for m in made]], ["block", "piece", "rows", "cols", "w"])
+
+        for batch in batches:
+            b, p, i, j, w = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "piece", "i", "j", "w"))
+            heads = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (p[1:] != p[:-1])])) if len(b) else []
+            for start, stop in zip(heads, [*heads[1:], len(b)], strict=True):
+                if key != (here := (int(b[start]), int(p[start]))):
+                    if held:
+                        yield out()
+                    key, held = here, []
+                held.append((i[start:stop], j[start:stop], w[start:stop]))
+        if held:
+            yield out()
+
+    sorted_ = dealt.select("block", "piece", "i", "j", "w").repartition("block", "piece").sortWithinPartitions("block", "piece", "i")
+    made = materialize(sorted_.mapInArrow(pack, "block int, piece int, rows binary, cols binary, w binary"), "pieces")
+    heads = made.groupBy("block").agg(F.min("piece").alias("head"))
+    return materialize(join_unique(made, heads, ["block"], ["piece"]).select("block", "rows", "cols", "w", (F.col("piece") == F.col("head")).alias("leads")), "matrix")
+
+
+def vector_blocks(rows: DataFrame, width: int, block: int) -> DataFrame:
+    """`block, vec, before` from `idx, vec`: the vectors of each range of nodes as one packed table, zeros where a number has no node."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+
+        def out() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), pa.array([held.tobytes()], pa.binary()), pa.nulls(1, pa.binary())], ["block", "vec", "before"])
+
+        for batch in batches:
+            blocks, idx = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("block", "idx"))
+            vectors = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+            for b in dict.fromkeys(blocks.tolist()):
+                if key != b:
+                    if held is not None:
+                        yield out()
+                    key, held = b, np.zeros((block, width))
+                some = blocks == b
+                held[idx[some] - b * block] = vectors[some]
+        if held is not None:
+            yield out()
+
+    ranged = rows.select(F.floor(F.col("idx") / block).cast("int").alias("block"), "idx", "vec")
+    return ranged.repartition("block").sortWithinPartitions("block").mapInArrow(pack, "block int, vec binary, before binary")
+
+
+def product(
+    matrix: DataFrame, x: DataFrame, width: int, block: int, factors: tuple[float, float, float] = (1.0, 0.0, 0.0), keep: bool = False
+) -> DataFrame:
+    """`block, vec, before`: the sum of the product of the matrix and `vec`, of `vec` and of `before`, times `factors`; the new
+    `before` is the old `vec`. With `keep`, `vec` stays and the new column `before` is the sum."""
+    of_image, of_vec, of_before = factors
+
+    def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                rows, cols, w = (_numbers(batch.column(c)[k], kind) for c, kind in (("rows", np.int64), ("cols", np.int32), ("w", np.float64)))
+                heads = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+                sums = np.add.reduceat(_table(batch.column("vec")[k], width)[cols] * w[:, None], heads, axis=0)
+                to, at = np.divmod(rows[heads], block)
+                cuts = np.flatnonzero(np.concatenate([[True], to[1:] != to[:-1], [True]]))
+                made = [(int(to[a]), at[a:b].astype(np.int32).tobytes(), sums[a:b].tobytes()) for a, b in zip(cuts, cuts[1:])]
+                made = [(*m[:1], 0, *m[1:]) for m in made]
+                if batch.column("leads")[k].as_py():
+                    own = batch.column("block")[k].as_py()
+                    made.append((own, 1, None, batch.column("vec")[k].as_py()))
+                    if batch.column("before")[k].is_valid:
+                        made.append((own, 2, None, batch.column("before")[k].as_py()))
+                columns = [pa.array(c, kind) for c, kind in zip(zip(*made, strict=True), (pa.int32(), pa.int32(), pa.binary(), pa.binary()), strict=True)]
+                yield pa.RecordBatch.from_arrays(columns, ["block", "kind", "at", "value"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, total, vec, before = None, None, None, None
+
+        def out() -> pa.RecordBatch:
+            made = of_image * total
+            if of_vec:
+                made += of_vec * _numbers(vec).reshape(made.shape)
+            if of_before and before is not None:
+                made += of_before * _numbers(before).reshape(made.shape)
+            sides = [vec.as_py(), made.tobytes()] if keep else [made.tobytes(), vec.as_py()]
+            return pa.RecordBatch.from_arrays([pa.array([key], pa.int32()), *[pa.array([s], pa.binary()) for s in sides]], ["block", "vec", "before"])
+
+        for batch in batches:
+            for k in range(batch.num_rows):
+                b, kind, value = batch.column("block")[k].as_py(), batch.column("kind")[k].as_py(), batch.column("value")[k]
+                if b != key:
+                    if total is not None:
+                        yield out()
+                    key, total, vec, before = b, np.zeros((block, width)), None, None
+                if kind == 0:
+                    total[_numbers(batch.column("at")[k], np.int32)] += _table(value, width)
+                elif kind == 1:
+                    vec = value
+                else:
+                    before = value
+        if total is not None:
+            yield out()
+
+    # The vectors themselves go along once, with the leading piece: each step of a filter reads the one before it in one place only.
+    before = F.when(F.col("leads") & F.lit(bool(of_before)), F.col("before")).alias("before")
+    joined = x.join(matrix, "block").select("block", "rows", "cols", "w", "leads", "vec", before)
+    parts = joined.mapInArrow(multiply, "block int, kind int, at binary, value binary")
+    return parts.repartition("block").sortWithinPartitions("block").mapInArrow(add, "block int, vec binary, before binary")
 
 
 def _ritz(x: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The Ritz values of S in the span of `vec`, largest first, the matrix that turns `vec` into their vectors, and their residuals."""
+    """The Ritz values of S in the span of `vec`, whose image is `before`: largest first, the matrix that turns `vec` into their vectors, and their residuals."""
 
     def grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((3, width, width))
         for batch in batches:
-            v, image = _matrix(batch.column(0)), _matrix(batch.column(1))
-            total += np.array([v.T @ v, v.T @ image, image.T @ image])
+            for k in range(batch.num_rows):
+                v, image = (_table(batch.column(c)[k], width) for c in ("vec", "before"))
+                total += np.array([v.T @ v, v.T @ image, image.T @ image])
         yield pa.RecordBatch.from_arrays([pa.array([total.ravel()])], ["sums"])
 
-    parts = x.select("vec", "image").mapInArrow(grams, "sums array<double>").select(F.posexplode("sums").alias("pos", "value"))
+    parts = x.select("vec", "before").mapInArrow(grams, "sums array<double>").select(F.posexplode("sums").alias("pos", "value"))
     total = np.zeros(3 * width * width)
     for row in parts.groupBy("pos").agg(F.sum("value").alias("value")).collect():
         total[row.pos] = row.value
@@ -239,24 +469,38 @@ def _ritz(x: DataFrame, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     # Vectors of length 1 first. A graph with fewer nodes than vectors has a singular Gram matrix: its spare directions are dropped.
     scale = 1 / np.sqrt(np.where(np.diag(own) > 0, np.diag(own), 1.0))
     lengths, axes = np.linalg.eigh(own * np.outer(scale, scale))
-    keep = lengths > max(lengths[-1], 0.0) * 1e-12
-    basis = scale[:, None] * axes[:, keep] / np.sqrt(lengths[keep])
+    kept = lengths > max(lengths[-1], 0.0) * 1e-12
+    basis = scale[:, None] * axes[:, kept] / np.sqrt(lengths[kept])
     values, axes = np.linalg.eigh(basis.T @ (across + across.T) @ basis / 2)
     values, turn = values[::-1], basis @ axes[:, ::-1]
     squares = np.einsum("ij,ik,kj->j", turn, images, turn) - values**2
     return values, turn, np.sqrt(np.maximum(squares, 0.0))
 
 
-def _turned(x: DataFrame, turn: np.ndarray) -> DataFrame:
-    """`node, vec, image` with both vectors multiplied by `turn`."""
+def _first_filter(x: DataFrame, turn: np.ndarray, width: int, centre: float, half: float) -> DataFrame:
+    """`block, vec, before`: the turned vectors as `before`, and their first step of the filter, (image - centre * vec) / half."""
 
-    def times(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def turned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                v, image = (_table(batch.column(c)[k], width) @ turn for c in ("vec", "before"))
+                sides = [((image - centre * v) / half).tobytes(), v.tobytes()]
+                yield pa.RecordBatch.from_arrays([batch.column("block")[k : k + 1], *[pa.array([s], pa.binary()) for s in sides]], ["block", "vec", "before"])
+
+    return x.select("block", "vec", "before").mapInArrow(turned, "block int, vec binary, before binary")
+
+
+def vector_rows(x: DataFrame, turn: np.ndarray, width: int, block: int) -> DataFrame:
+    """`idx, vec` from packed vectors, multiplied by `turn`."""
+
+    def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ends = pa.array(np.arange(batch.num_rows + 1) * turn.shape[1], pa.int32())
-            made = [pa.ListArray.from_arrays(ends, pa.array((_matrix(batch.column(i)) @ turn).ravel())) for i in (1, 2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *made], ["node", "vec", "image"])
+            for k in range(batch.num_rows):
+                made = _table(batch.column("vec")[k], width) @ turn
+                vectors = pa.ListArray.from_arrays(pa.array(np.arange(len(made) + 1) * turn.shape[1], pa.int32()), pa.array(made.ravel()))
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(made)) + batch.column("block")[k].as_py() * block), vectors], ["idx", "vec"])
 
-    return x.select("node", "vec", "image").mapInArrow(times, "node string, vec array<double>, image array<double>")
+    return x.select("block", "vec").mapInArrow(unpack, "idx long, vec array<double>")
 
 
 def pca_projection(vectors: DataFrame, k: int = 2) -> DataFrame:

@@ -336,7 +336,8 @@ def random_walk_graph(spark: SparkSession, sf: str) -> DataFrame:
 
 def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
     nodes = graph.graph_nodes(docs).select("doc_id", F.col("token").alias("tok"))
-    scores = embed.graph_similarity(docs, materialize(lookup, "node_vectors"), nodes, LEARNED_DIM)
+    lookup = materialize(embed.with_lonely_nodes(lookup, nodes, LEARNED_DIM), "node_vectors")
+    scores = embed.graph_similarity(docs, lookup, nodes, LEARNED_DIM)
     return scores.select("case_id", "doc_id", "similarity")
 
 
@@ -344,8 +345,7 @@ def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
 def node2vec_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
     walks = materialize(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS, WALK_SEED), "walks")
-    trained = embed.w2v_train(walks, LEARNED_DIM, window=10)
-    return _graph_query(docs, trained)
+    return _graph_query(docs, embed.word_factors(walks, LEARNED_DIM, window=10))
 
 
 @query

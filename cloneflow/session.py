@@ -28,7 +28,10 @@ def build_session(app: str = "cloneflow", master: str | None = None, **conf: str
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's shared folder; where the session names none, a folder below the warehouse, which is shared as well."""
-    folder = spark.conf.get(CHECKPOINT_DIR, None) or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
+    named = spark.conf.get(CHECKPOINT_DIR, None)
+    folder = named or f"{spark.conf.get('spark.sql.warehouse.dir')}/_steps"
+    if not named and folder.startswith(("file:", "/")) and not spark.sparkContext.master.startswith("local"):
+        raise ValueError(f"{folder} is a folder of one machine: name one that all machines share in {CHECKPOINT_DIR}")
     return folder.rstrip("/")
 
 
@@ -44,6 +47,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete a table that `materialize` has written and nothing reads any more."""
+    spark = df.sparkSession
+    own = f"/cloneflow/{spark.sparkContext.applicationId}/"
+    for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+        if own in folder:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def spread(scan: DataFrame, *keys: str) -> DataFrame:
     """Redistribute a plain scan that yields fewer tasks than the cluster has cores.
 

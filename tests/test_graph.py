@@ -116,10 +116,11 @@ def test_spectral_space_matches_dense_iteration(docs):
 
 
 def test_spectral_space_has_converged_with_the_parameters_of_the_query(spark):
-    """A random graph whose leading values lie close together: every vector is an eigenvector, and no larger value is missed."""
+    """A random graph of more nodes than the block has vectors, whose leading values lie close together: every vector is an eigenvector, and no
+    larger value is missed."""
     rng = random.Random(3)
     n = {}
-    for i in range(1, 60):
+    for i in range(1, 240):
         for _ in range(2):
             n[f"w{i}", f"w{rng.randrange(i)}"] = rng.randint(1, 5)
     edges = spark.createDataFrame([(u, v, k) for (u, v), k in n.items()], "src string, dst string, n long")
@@ -248,3 +249,46 @@ def test_factors_against_brute_force(docs):
     assert got.keys() == lines.keys() | columns.keys()
     for word, vec in got.items():
         assert np.allclose(vec, (lines.get(word, none) + columns.get(word, none))[:dim], atol=1e-6)
+
+
+def test_word_factors_equal_the_dense_decomposition(docs):
+    """Inner products of the factors are those of the truncated decomposition of the same matrix, whatever the partitions and blocks."""
+    table, _ = docs
+    sentences = table.select(tx.tokens(F.col("text")).alias("tokens"))
+    weights = embed.positive_pmi(embed.cooccurrences(sentences, 3)).where(F.col("w") > 0)
+    entries = weights.collect()
+    toks = sorted({r.tok for r in entries})
+    at = {t: i for i, t in enumerate(toks)}
+    dense = np.zeros((len(toks), len(toks)))
+    for r in entries:
+        dense[at[r.tok], at[r.other]] = r.w
+    values, axes = np.linalg.eigh(dense)
+    order = np.argsort(-np.abs(values))
+    # A rank behind which there is a gap.
+    sizes = np.abs(values)[order]
+    dim = 2 + int(np.argmax(sizes[2:12] / sizes[3:13])) + 1
+    lead = order[:dim]
+    want = axes[:, lead] * np.abs(values[lead]) @ axes[:, lead].T
+    for parts, block in ((2, 8192), (8, 16)):
+        got = {r.tok: r.vec for r in embed.factorize(weights.repartition(parts), dim, tolerance=1e-13, rounds=400, block=block).collect()}
+        x = np.array([got[t] for t in toks])
+        assert x.shape == (len(toks), dim) and np.allclose(x @ x.T, want, atol=1e-6)
+    with pytest.raises(RuntimeError, match="still move"):
+        embed.factorize(weights, dim, tolerance=0.0, rounds=2)
+
+
+def test_triangle_of_tall_matrix(spark):
+    rng = np.random.default_rng(2)
+    parts = [rng.normal(size=(n, 5)) for n in (7, 1, 30, 2, 11)]
+    rows = spark.createDataFrame([(p.tobytes(),) for p in parts], "vec binary").repartition(4)
+    r = embed.tall_triangle(rows, "vec", 5)
+    whole = np.vstack(parts)
+    assert np.allclose(r.T @ r, whole.T @ whole)
+
+
+def test_lonely_nodes_have_vectors_of_their_own(spark):
+    lookup = spark.createDataFrame([("a", [1.0, 0.0]), ("z", [0.0, 0.0])], "tok string, vec array<double>")
+    nodes = spark.createDataFrame([(1, "a"), (2, "z"), (3, "only"), (4, "only")], "doc_id long, tok string")
+    got = {r.tok: r.vec for r in embed.with_lonely_nodes(lookup, nodes, 2).collect()}
+    assert got["a"] == [1.0, 0.0] and set(got) == {"a", "z", "only"}
+    assert all(np.linalg.norm(v) == pytest.approx(1.0) for v in got.values())
