@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloneflow.functions import text as tx
 from cloneflow.functions.vector import l2_normalize, norm, pad_truncate
-from cloneflow.operators import embed, evaluate, graph, measures
+from cloneflow.operators import candidates, embed, evaluate, graph, measures
 from cloneflow.session import fresh_path, materialize
 from cloneflow.sources import corpus, tables, vectors
 
@@ -247,6 +247,11 @@ def minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(measures.minhash_candidates(tables.documents(spark, sf)), "similarity", "estimate")
 
 
+@query
+def minhash_classes(spark: SparkSession, sf: str) -> DataFrame:
+    return candidates.minhash_classes(tables.documents(spark, sf)).select("doc_id", "class_id")
+
+
 # Vectors
 
 

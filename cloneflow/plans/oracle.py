@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from cloneflow.functions.text import CALL_PATTERN, IDENTIFIER_PATTERN, KEYWORDS, MARKUP_COMMENT, MAX_TOKENS, MORE_SPACES
 from cloneflow.operators import evaluate
+from cloneflow.operators.candidates import SHINGLE, SIMILARITY
 from cloneflow.operators.graph import DUMMY_LABEL, HEADER
 from cloneflow.operators.measures import (
     MATCH_K,
@@ -452,6 +453,15 @@ WHERE identifier NOT IN ({KEYWORD_LIST})""",
   FROM nodes_p n LEFT JOIN sig a ON a.doc_id = n.o_id LEFT JOIN sig b ON b.doc_id = n.doc_id)""") + f"""SELECT case_id, doc_id, round(s, 6) AS similarity,
   round(coalesce(list_sum(list_transform(list_zip(x, y), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))::DOUBLE / {len(MINHASH_SEEDS)}, 0), 6) AS estimate,
   coalesce({UNIT_BANDS}, false) AS candidate FROM joined""",
+    # Exact: all pairs that share a shingle, and what a chain of similar pairs reaches.
+    "minhash_classes": f"""WITH RECURSIVE g AS (
+  SELECT doc_id, unnest(list_distinct({_grams('tk', SHINGLE)})) AS x FROM (SELECT doc_id, {_tokens('text')} AS tk FROM documents)),
+n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+links AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE i.c / CAST(x.c + y.c - i.c AS DOUBLE) >= {SIMILARITY}),
+reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id FROM documents LEFT JOIN least_of USING (doc_id)""",
     "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored",
     "failed_pair_zero": STAR_VECTORS + """SELECT case_id, doc_id, is_clone, round(coalesce(s, 0), 6) AS similarity, 'zero' AS policy FROM scored
 UNION ALL SELECT case_id, doc_id, is_clone, round(s, 6), 'drop' FROM scored WHERE s IS NOT NULL""",
