@@ -229,35 +229,59 @@ def w2v_doc_vectors(terms: DataFrame, lookup: DataFrame, docs: DataFrame, dim: i
 
 
 def glove_factorize(
-    edges: DataFrame, dim: int = 16, seed: int = 42, rounds: int = 5, most: float = 100.0, power: float = 0.75, ridge: float = 0.05
+    edges: DataFrame,
+    dim: int = 16,
+    seed: int = 42,
+    rounds: int | None = None,
+    most: float = 100.0,
+    power: float = 0.75,
+    ridge: float = 0.05,
+    tolerance: float = 1e-2,
 ) -> DataFrame:
     """`tok, vec`: the sum of a token's row and column factors, fitted to the logs of the co-occurrences `src, dst, n`.
 
     The loss of an edge is f(n) (row · column + row bias + column bias - ln n)², with f(n) = min(1, (n / most)^power); `ridge` times the squares of all
-    parameters is added. Each half of a round solves one side exactly while the other is fixed, so the loss never grows. A node's normal
-    equations are sums over its edges, combined before the shuffle; nothing of the model passes through the driver.
+    parameters is added. Each half of a round solves one side exactly while the other is fixed, so the loss never grows; rounds go on until one
+    takes less than `tolerance` off it (or for the number of `rounds` that is asked for). A node's normal equations are sums over its
+    edges, combined before the shuffle, and give its part of the loss as well; of the model, only the loss reaches the driver.
     """
     weight = F.least(F.pow(F.col("n") / F.lit(most), F.lit(power)), F.lit(1.0))
     edges = materialize(edges.select("src", "dst", weight.alias("f"), F.log(F.col("n").cast("double")).alias("log")), "cooccurrence")
     counts = {side: materialize(edges.groupBy(side).agg(F.count(F.lit(1)).alias("n")), "degrees") for side in ("src", "dst")}
     start = [s / F.lit(float(np.sqrt(dim))) for s in random_signs(F.col("dst"), dim, seed)]
     columns = counts["dst"].select(F.col("dst").alias("tok"), F.array(*start, F.lit(0.0)).alias("vec"))
-    for _ in range(rounds):
+    squares = F.sum(F.aggregate("vec", F.lit(0.0), lambda total, v: total + v * v))
+    before, done = float("inf"), 0
+    while True:
         rows = materialize(_fitted(edges, columns, "dst", "src", dim, ridge, counts["dst"]), "rows")
+        if done:
+            discard(columns)
         columns = materialize(_fitted(edges, rows, "src", "dst", dim, ridge, counts["src"]), "columns")
+        done += 1
+        # What is left over at the columns' optimum, and the ridge of the rows.
+        loss = (columns.agg(F.sum("loss")).first()[0] or 0.0) + ridge * (rows.agg(squares).first()[0] or 0.0)
+        if done == rounds or rounds is None and before - loss <= tolerance * loss:
+            break
+        before = loss
+        discard(rows)
     sums = [F.sum(F.get("vec", F.lit(i))) for i in range(dim)]
     return rows.unionByName(columns).groupBy("tok").agg(F.array(*sums).alias("vec"))
 
 
 def _fitted(edges: DataFrame, known: DataFrame, at: str, to: str, dim: int, ridge: float, counts: DataFrame) -> DataFrame:
-    """`tok, vec` for every `to` node: the factor, and behind it the bias, that fit its edges best, given those of the `at` nodes."""
+    """`tok, vec, loss` for every `to` node: the factor, and behind it the bias, that fit its edges best, given those of the `at` nodes, and
+    the loss of its edges with its own ridge."""
     near = join_unique(edges, known.select(F.col("tok").alias(at), "vec"), [at], [to], counts=counts)
     near = near.withColumn("left", F.col("log") - F.get("vec", F.lit(dim)))
     z = [F.get("vec", F.lit(i)) for i in range(dim)] + [F.lit(1.0)]
     sums = [F.sum(F.col("f") * z[i] * z[j]) for i in range(dim + 1) for j in range(i, dim + 1)]
-    sums += [F.sum(F.col("f") * F.col("left") * x) for x in z]
-    normal = near.groupBy(F.col(to).alias("tok")).agg(F.array(*sums).alias("sums"))
-    return normal.select("tok", _solver(dim + 1, ridge)("sums").alias("vec"))
+    right = [F.sum(F.col("f") * F.col("left") * x) for x in z]
+    own = F.sum(F.col("f") * F.col("left") * F.col("left"))
+    normal = near.groupBy(F.col(to).alias("tok")).agg(F.array(*sums, *right).alias("sums"), F.array(*right).alias("right"), own.alias("own"))
+    solved = normal.select("tok", _solver(dim + 1, ridge)("sums").alias("vec"), "right", "own")
+    # At the optimum x of x'Ax - 2b'x + c with ridge, what is left is c - b'x.
+    explained = F.aggregate(F.zip_with("vec", "right", lambda v, r: v * r), F.lit(0.0), lambda total, v: total + v)
+    return solved.select("tok", "vec", (F.col("own") - explained).alias("loss"))
 
 
 def _solver(size: int, ridge: float) -> Callable[[Column | str], Column]:

@@ -247,8 +247,23 @@ def test_factors_against_brute_force(docs):
     got = {r.tok: np.array(r.vec) for r in embed.glove_factorize(graph.corpus_edges(table), dim, rounds=rounds).collect()}
     none = np.zeros(dim + 1)
     assert got.keys() == lines.keys() | columns.keys()
+    # The loss that decides when to stop is the one summed edge by edge.
+    edges = graph.corpus_edges(table).select("src", "dst", F.least(F.pow(F.col("n") / 100.0, F.lit(0.75)), F.lit(1.0)).alias("f"), F.log(F.col("n").cast("double")).alias("log"))
+    given = {u: line for u, line in lines.items()}
+    known = edges.sparkSession.createDataFrame([(u, v.tolist()) for u, v in given.items()], "tok string, vec array<double>")
+    fitted = embed._fitted(edges, known, "src", "dst", dim, ridge, edges.groupBy("src").agg(F.count("*").alias("n"))).collect()
+    optimum = {r.tok: np.array(r.vec) for r in fitted}
+    assert sum(r.loss for r in fitted) + ridge * sum(x @ x for x in given.values()) == pytest.approx(loss(given, optimum))
     for word, vec in got.items():
         assert np.allclose(vec, (lines.get(word, none) + columns.get(word, none))[:dim], atol=1e-6)
+    # Left to itself it stops after the first round that takes less than the tolerance off.
+    while len(losses) < 4 or losses[-3] - losses[-1] > 1e-2 * losses[-1]:
+        lines = solve(columns, 1, 0)
+        losses.append(loss(lines, columns))
+        columns = solve(lines, 0, 1)
+        losses.append(loss(lines, columns))
+    own = {r.tok: np.array(r.vec) for r in embed.glove_factorize(graph.corpus_edges(table), dim).collect()}
+    assert all(np.allclose(vec, (lines.get(word, none) + columns.get(word, none))[:dim], atol=1e-5) for word, vec in own.items())
 
 
 def test_word_factors_equal_the_dense_decomposition(docs):
