@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterator
 
 import ahocorasick
+import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
@@ -22,9 +23,10 @@ from pyspark.sql import functions as F
 from cloneflow.llm.common import give_back, whole_text, with_result
 
 BLANK = "▁"
-MAX_WORD, MAX_PAIRS = 48, 60_000
-# Bytes, about, of one generation of remembered parts: a worker holds two, for as long as its task runs.
-CACHE_BYTES = 16 << 20
+MAX_WORD, MAX_PAIRS = 48, 200_000
+# Bytes, about, of one generation of remembered parts: a worker holds two while its task runs, and of one what fits IDLE_BYTES between tasks.
+CACHE_BYTES = 24 << 20
+IDLE_BYTES = 16 << 20
 RESULT = "n_tokens long, ids binary, decoded string"
 ARROW = pa.struct([("n_tokens", pa.int64()), ("ids", pa.binary()), ("decoded", pa.string())])
 
@@ -95,9 +97,10 @@ class Pieces:
                     self.automaton.add_word(t, (len(t), i))
         self.automaton.make_automaton()
         self.merged = {(self.left[i], self.right[i]): i for i in self.left}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[bytes, str]] = {}
-        self.older: dict[str, tuple[bytes, str]] = {}
+        self.size = size
+        self.pairs: dict[int, bool] = {}
+        self.words: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.find = re.compile(r" *[^ \n]+|\n| +").findall
 
@@ -107,7 +110,7 @@ class Pieces:
         The merges of both sides are undone from the latest back; at each step, the two tokens that face each other must not make a
         token that would have been merged before the next of these. The left one merges first at a tie.
         """
-        known = self.pairs.get((x, y))
+        known = self.pairs.get(x * self.size + y)
         if known is not None:
             return known
         a, b, limit, fine = x, y, len(self.rank), None
@@ -125,20 +128,20 @@ class Pieces:
                 fine = True
         if len(self.pairs) >= MAX_PAIRS:
             self.pairs.clear()
-        self.pairs[x, y] = fine
+        self.pairs[x * self.size + y] = fine
         return fine
 
     def encode_word(self, word: str) -> list[int]:
         """Ids of a text whose only blank, if any, is its first character."""
         n = len(word)
         last, size = [-1] * (n + 1), [0] * (n + 1)
-        pairs, compatible = self.pairs, self.compatible
+        pairs, compatible, many = self.pairs, self.compatible, self.size
         for end, (length, token) in self.automaton.iter(word):
             if size[end + 1]:
                 continue
             before = last[end + 1 - length]
             # Nothing merges with the beginning or with a character that has no token.
-            if before < 0 or (known if (known := pairs.get((before, token))) is not None else compatible(before, token)):
+            if before < 0 or (known if (known := pairs.get(before * many + token)) is not None else compatible(before, token)):
                 last[end + 1], size[end + 1] = token, length
         ids, at = [], n
         while at:
@@ -171,22 +174,27 @@ class Pieces:
         except KeyError:
             return b"".join([self.raw.get(i) or self.text[i].encode() for i in ids]).decode("utf-8", "replace")
 
-    def part(self, part: str) -> tuple[bytes, str]:
-        """Packed ids and decoded text of one part, remembered if it is short: frequent parts outlive a full cache."""
+    def part(self, part: str) -> bytes:
+        """Packed ids of one part, remembered if it is short: frequent parts outlive a full cache."""
         made = self.older.get(part)
         if made is None:
-            ids = self.encode_part(part)
-            made = b"".join([self.packed[i] for i in ids]), self.decode_part(ids)
+            made = b"".join([self.packed[i] for i in self.encode_part(part)])
         if len(part) <= MAX_WORD:
             if self.held >= CACHE_BYTES:
                 self.older, self.words, self.held = self.words, {}, 0
             self.words[part] = made
-            self.held += 320 + 4 * len(part) + len(made[0])
+            self.held += 190 + 2 * len(part) + len(made)
         return made
 
-    def forget(self) -> None:
-        self.words, self.older, self.held = {}, {}, 0
-        self.pairs.clear()
+    def cut_back(self) -> None:
+        """Forgets what was learnt last, down to IDLE_BYTES: frequent parts come early."""
+        self.older, kept, held = {}, {}, 0
+        for part, made in self.words.items():
+            held += 190 + 2 * len(part) + len(made)
+            if held > IDLE_BYTES:
+                break
+            kept[part] = made
+        self.words, self.held = kept, min(held, IDLE_BYTES)
 
     def encode(self, text: str) -> tuple[bytes, str]:
         """Ids, as little-endian unsigned 32-bit numbers, begin and end included, and the text that decoding them gives."""
@@ -194,9 +202,13 @@ class Pieces:
         if not text:
             return b"".join(edge), ""
         known, part = self.words.get, self.part
-        made = [known(p) or part(p) for p in self.find(" " + text.replace(BLANK, " "))]
+        whole = " " + text.replace(BLANK, " ")
+        ids = b"".join([known(p) or part(p) for p in self.find(whole)])
+        return edge[0] + ids + edge[1], self.decode_ids(ids)
+
+    def decode_ids(self, ids: bytes) -> str:
         # Decoding takes back the blank that encoding puts first.
-        return edge[0] + b"".join([m[0] for m in made]) + edge[1], "".join([m[1] for m in made])[1:]
+        return self.decode_part(np.frombuffer(ids, "<u4").tolist())[1:]
 
 
 # One per worker process and file: it outlives a task.
@@ -219,7 +231,7 @@ def encoder(path: str):
             counts = pa.array([len(ids) // 4 for ids, _ in made], pa.int64())
             fields = [counts, pa.array([ids for ids, _ in made], pa.binary()), pa.array([d for _, d in made], pa.string())]
             yield pa.StructArray.from_arrays(fields, fields=list(ARROW))
-        pieces.forget()
+        pieces.cut_back()
         give_back()
 
     return F.arrow_udf(run, RESULT)

@@ -43,9 +43,11 @@ def test_small_caches_change_nothing(monkeypatch):
     own = pieces.Pieces(MODEL)
     for t in texts()[:300]:
         assert pieces.unpacked(own.encode(t or "")[0]) == model.encode(t or "", add_bos=True, add_eos=True)
-    assert own.held <= 2000 + 1000 and len(own.words) <= 7 and len(own.pairs) <= 7
-    own.forget()
-    assert not own.words and not own.older and not own.pairs
+    assert own.held <= 2000 + 1000 and len(own.words) <= 12 and len(own.pairs) <= 7
+    monkeypatch.setattr(pieces, "IDLE_BYTES", 500)
+    own.cut_back()
+    assert len(own.words) <= 2 and not own.older and own.held <= 500
+    assert pieces.unpacked(own.encode("the text")[0]) == model.encode("the text", add_bos=True, add_eos=True)
 
 
 def test_compatible_pairs_are_those_that_encoding_leaves():
