@@ -39,12 +39,14 @@ HEADLINES = [
     "longest_block",
     "tfidf_cosine",
     "minhash_candidates",
+    "minhash_classes",
     "cosine_similarity",
     "lookup_doc_vectors",
     "threshold_sweep",
     "legacy_sweep",
     "approach_leaderboard",
     "random_walk_graph",
+    "pca_projection",
 ]
 
 

@@ -21,8 +21,8 @@ LEARNED_DIM = 16
 WORD_DIM = 100
 RUN_ID = "20240101_000000"
 DIGITS = 6
-WALK_LENGTH = 8
-WALKS = 2
+WALK_LENGTH = 30
+WALKS = 3
 WALK_SEED = 42
 
 BOARD = [
@@ -332,10 +332,15 @@ def pdg_w2v_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(embed.star_cosine(table, materialize(made, "page_vectors")).select("case_id", "doc_id", "similarity"), "similarity")
 
 
+def _walks(docs: DataFrame) -> DataFrame:
+    """Walks from every token, those of documents of one token included."""
+    tokens = docs.select(F.explode(tx.tokens(F.col("text"))).alias("node")).distinct()
+    return graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS, WALK_SEED, nodes=tokens)
+
+
 @query
 def random_walk_graph(spark: SparkSession, sf: str) -> DataFrame:
-    edges = graph.corpus_edges(tables.documents(spark, sf))
-    walks = graph.random_walks(edges, WALK_LENGTH, WALKS, WALK_SEED)
+    walks = _walks(tables.documents(spark, sf))
     return walks.select("walk_id", F.size("tokens").cast("bigint").alias("steps"), F.array_join("tokens", " ").alias("path"))
 
 
@@ -349,7 +354,7 @@ def _graph_query(docs: DataFrame, lookup: DataFrame) -> DataFrame:
 @query
 def node2vec_similarity(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    walks = materialize(graph.random_walks(graph.corpus_edges(docs), WALK_LENGTH, WALKS, WALK_SEED), "walks")
+    walks = materialize(_walks(docs), "walks")
     return _graph_query(docs, embed.word_factors(walks, LEARNED_DIM, window=10))
 
 
@@ -365,6 +370,29 @@ def spectral_embed(spark: SparkSession, sf: str) -> DataFrame:
     return _graph_query(docs, embed.spectral_embed(graph.corpus_edges(docs), LEARNED_DIM))
 
 
+def _fact_query(name: str) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        """What must hold for each star pair, whatever the fit: equal token sets score 1, a text without tokens scores 0, all scores lie between -1 and 1."""
+        scores = CATALOG[name](spark, sf)
+        sets = tables.documents(spark, sf).select("case_id", "doc_id", "text", F.lit(None).cast("string").alias("label"))
+        made = {
+            "set": lambda text, toks: F.md5(F.array_join(F.array_sort(F.array_distinct(toks)), " ").cast("binary")),
+            "some": lambda text, toks: F.size(toks) > 0,
+        }
+        pairs = corpus.star_pairs(sets, made, label=None)
+        kind = F.when(~F.col("a_some") | ~F.col("b_some"), "empty").when(F.col("a_set") == F.col("b_set"), "copy").otherwise("other")
+        joined = pairs.select("case_id", "doc_id", kind.alias("kind")).join(scores, ["case_id", "doc_id"], "left")
+        score = F.col("similarity")
+        fine = F.when(F.col("kind") == "empty", score == 0).when(F.col("kind") == "copy", F.abs(score - 1) < 1e-6).otherwise(F.abs(score) <= 1 + 1e-9)
+        return joined.select("case_id", "doc_id", "kind", F.coalesce(fine, F.lit(False)).alias("holds"))
+
+    CATALOG[f"{name}_facts"] = run
+
+
+for _name in ("node2vec_similarity", "glove_factorize", "spectral_embed"):
+    _fact_query(_name)
+
+
 # Evaluation
 
 

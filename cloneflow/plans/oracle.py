@@ -171,6 +171,12 @@ PARTS: dict[str, tuple[list[str], str]] = {
 }
 
 
+# Equal token sets score 1, texts without tokens 0, and everything lies in its range: all of it must hold.
+LEARNED_FACTS = f"""WITH {D}
+SELECT case_id, doc_id, CASE WHEN a_n = 0 OR b_n = 0 THEN 'empty' WHEN list_sort(list_distinct(a_tk)) = list_sort(list_distinct(b_tk)) THEN 'copy' ELSE 'other' END AS kind,
+  true AS holds FROM p"""
+
+
 def _edit(a: str, b: str) -> str:
     plain = lambda t: f"translate({t}, '{LETTERS}', {' || '.join(f'chr({n})' for n in CONTROLS)})"
     longer = f"greatest(length({a}), length({b}))"
@@ -331,13 +337,29 @@ s0 AS (
   FROM (SELECT src AS node FROM edge UNION SELECT dst FROM edge), range({WALKS}) t(walk))"""
 
 
-def _step(i: int) -> str:
-    pick = _hash(f"'{WALK_SEED}#' || s.walk_id || '#{i}'")
-    return f"""s{i} AS (
-  SELECT s.walk_id, n.dst AS node FROM s{i - 1} s JOIN deg ON deg.src = s.node
-  JOIN num n ON n.src = s.node AND n.number = {pick} % deg.degree)"""
+def _drawn(t: int, node: str, slot: str) -> str:
+    return _hash(f"'{WALK_SEED}#' || {node} || '#' || {slot} || '#{t}'")
+
+
+def _walk_tables() -> list[str]:
+    """CTEs up to `walk` (node, slot, rest): one step per slot, doubled, and put together from the lengths that make up the whole."""
+    levels = (WALK_LENGTH - 1).bit_length()
 
+    def stitched(name: str, left: str, right: str, t: int) -> str:
+        return f"""{name} AS (
+  SELECT l.node, l.slot, r.e, CASE WHEN r.rest IS NULL THEN l.rest ELSE l.rest || ' ' || r.rest END AS rest
+  FROM {left} l LEFT JOIN {right} r ON r.node = l.e AND r.slot = {_drawn(t, 'l.node', 'l.slot')} % {WALKS})"""
 
+    made = [f"""w0 AS (
+  SELECT a.node, slot, n.dst AS e, n.dst AS rest FROM (SELECT DISTINCT unnest(tk) AS node FROM d) a CROSS JOIN range({WALKS}) t(slot)
+  LEFT JOIN deg ON deg.src = a.node LEFT JOIN num n ON n.src = a.node AND n.number = {_drawn(0, 'a.node', 'slot')} % deg.degree)"""]
+    made += [stitched(f"w{t}", f"w{t - 1}", f"w{t - 1}", t) for t in range(1, levels)]
+    last = f"w{levels - 1}"
+    for t in range(levels - 2, -1, -1):
+        if (WALK_LENGTH - 1) >> t & 1:
+            made.append(stitched(f"walk{t}", last, f"w{t}", levels + t))
+            last = f"walk{t}"
+    return [*made, f"walk AS (SELECT * FROM {last})"]
 
 
 def _word_vectors(sentences: str, window: int, dim: int = WORD_DIM, seed: int = 42) -> list[str]:
@@ -383,7 +405,7 @@ PAGE_EDGES = f"""sentences AS (
 ORACLE: dict[str, str] = {
     "corpus_scan": f"""SELECT case_id, role, level, author, stem, case_id || '/' || role || '/' || stem AS path, md5(text) AS code_md5 FROM ({CORPUS})""",
     "corpus_files": f"""SELECT case_id, role, stem AS author,
-  md5(regexp_replace(coalesce(text, '') || chr(10), chr(13) || chr(10) || '?', chr(10), 'g')) AS code_md5 FROM ({CORPUS})""",
+  md5(regexp_replace(coalesce(text, ''), chr(13) || chr(10) || '?', chr(10), 'g')) AS code_md5 FROM ({CORPUS})""",
     "original_select": f"SELECT case_id, stem, CAST(1 AS BIGINT) AS originals FROM ({CORPUS}) WHERE role = 'original'",
     "pair_generate": f"""WITH c AS ({CORPUS})
 SELECT s.case_id, s.case_id || '/' || s.role || '/' || s.stem AS path, s.role = 'plagiarized' AS is_clone,
@@ -406,9 +428,9 @@ UNION ALL SELECT doc_id, 'computed', pos, round(value, 6) FROM looked WHERE doc_
 SELECT p.case_id, p.doc_id, round(CASE WHEN list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x) > 0
   THEN list_dot_product(a.x, b.x) / sqrt(list_dot_product(a.x, a.x) * list_dot_product(b.x, b.x)) ELSE 0 END, 6) AS similarity
 FROM p LEFT JOIN dv a ON a.doc_id = p.o_id LEFT JOIN dv b ON b.doc_id = p.doc_id""",
-    "random_walk_graph": _with(D, EDGES, NUMBERED, *[_step(i) for i in range(1, WALK_LENGTH)])
-    + "SELECT walk_id, count(*) AS steps, string_agg(node, ' ' ORDER BY step) AS path FROM ("
-    + " UNION ALL ".join(f"SELECT walk_id, {i} AS step, node FROM s{i}" for i in range(WALK_LENGTH)) + ") GROUP BY walk_id",
+    "random_walk_graph": _with(D, EDGES, NUMBERED, *_walk_tables())
+    + """SELECT walk_id, CAST(len(string_split(path, ' ')) AS BIGINT) AS steps, path
+FROM (SELECT node || '#' || slot AS walk_id, node || coalesce(' ' || rest, '') AS path FROM walk)""",
     "tokenize_ws": _docs("SELECT doc_id, unnest(tk) AS token, CAST(unnest(range(len(tk))) AS INTEGER) AS pos FROM d"),
     "vocab_count": _docs("SELECT token, count(*) AS n FROM (SELECT unnest(tk) AS token FROM d) GROUP BY token"),
     "token_nodes": _with(D, POSITIONS) + "SELECT doc_id, CAST(pos AS INTEGER) AS pos, w AS token FROM pos",
@@ -462,6 +484,7 @@ links AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id
 reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
 least_of AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
 SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id FROM documents LEFT JOIN least_of USING (doc_id)""",
+    **{f"{name}_facts": LEARNED_FACTS for name in ("node2vec_similarity", "glove_factorize", "spectral_embed")},
     "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored",
     "failed_pair_zero": STAR_VECTORS + """SELECT case_id, doc_id, is_clone, round(coalesce(s, 0), 6) AS similarity, 'zero' AS policy FROM scored
 UNION ALL SELECT case_id, doc_id, is_clone, round(s, 6), 'drop' FROM scored WHERE s IS NOT NULL""",

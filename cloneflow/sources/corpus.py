@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,13 +24,35 @@ COMPACT = {"chars", "size", "profile", "sig", "calls", "comments", "markup"}
 ORIGINAL, CLONE, NON_CLONE = "original", "plagiarized", "non-plagiarized"
 
 
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    """The file system of a folder's URI, or of a local path, and the folder in it."""
+    return fs.FileSystem.from_uri(root) if ":" in root.split("/", 1)[0] else (fs.LocalFileSystem(), root)
+
+
+def list_files(spark: SparkSession, root: str, suffix: str) -> DataFrame:
+    """`inside, bytes`: every file below `root` with the suffix, as its path inside it. Case folders are rows, and are listed in the tasks."""
+    store, top = _store(root)
+    cases = [(f.path,) for f in store.get_file_info(fs.FileSelector(top)) if f.type == fs.FileType.Directory]
+
+    def listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(root)
+        for batch in batches:
+            for folder in batch.column(0).to_pylist():
+                files = [f for f in store.get_file_info(fs.FileSelector(folder, recursive=True)) if f.is_file and f.path.endswith(suffix)]
+                inside = [f.path[len(top.rstrip("/")) + 1 :] for f in files]
+                yield pa.RecordBatch.from_arrays([pa.array(inside, pa.string()), pa.array([f.size for f in files], pa.int64())], names=["inside", "bytes"])
+
+    folders = spark.createDataFrame(cases, "folder string").repartition(max(1, min(len(cases), spark.sparkContext.defaultParallelism)), "folder")
+    return folders.mapInArrow(listed, "inside string, bytes long")
+
+
 def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFrame:
-    r"""One row per file below `case/{original,plagiarized,non-plagiarized}/…`, path parts as columns.
+    r"""One row per file below `case/{original,plagiarized,non-plagiarized}/…`, path parts as columns, and `status`.
 
-    The disguise level `L1`…`L6` and the author folder are null where the path has none. Line ends become
-    `\n`, and a file that is not UTF-8 has a null `code`. Jobs that use the path only do not open the files.
-    Folders may carry their column's name, as those of `write_corpus` do.
-    Spark's scan leaves out files of zero bytes, but its listing has them: what is listed and not scanned has the text `''`.
+    The disguise level `L1`…`L6` and the author folder are null where the path has none; folders may carry their column's name, as
+    those of `write_corpus` do. Line ends become `\n`. Every listed file has a row: `status` is `read`; `empty`, with the text `''`, for a file of
+    zero bytes, which Spark's scan leaves out; `not text` for one that is not UTF-8 and `unreadable` for one that the scan gives up, both
+    with a null `code`. Files are opened once, and what was read is written as a table.
     """
     text = F.try_validate_utf8(F.col("content").cast("string"))
     scan = (
@@ -37,36 +62,50 @@ def read_corpus(spark: SparkSession, root: str, suffix: str = ".java") -> DataFr
         .option("ignoreCorruptFiles", True)
         .load(root)
     )
-    # Listed paths are URIs, with three slashes where the scan's may have one; a plus sign in one is no blank.
-    listed = spark.createDataFrame([(uri,) for uri in scan.inputFiles()], "uri string")
-    decoded = F.url_decode(F.replace("uri", F.lit("+"), F.lit("%2B")))
-    plain = lambda path: F.regexp_replace(path, "^([A-Za-z0-9+.-]+):///", "$1:/").alias("path")
-    listed = listed.select(plain(decoded)).where(F.col("path").endswith(suffix))
-    empty = listed.join(scan.select(plain(F.col("path"))), "path", "left_anti")
-    files = scan.select("path", F.regexp_replace(text, r"\r\n?", "\n").alias("code")).unionByName(empty.withColumn("code", F.lit("")))
+    top = _store(root)[1].rstrip("/")
+    inside = F.substring(F.col("path"), F.instr("path", f"{top}/") + len(top) + 1, F.lit(2**31 - 1))
+    found = materialize(scan.select(inside.alias("inside"), F.regexp_replace(text, r"\r\n?", "\n").alias("code")), "corpus_files")
+    missed = list_files(spark, root, suffix).join(found.select("inside"), "inside", "left_anti")
+    empty = F.col("bytes") == 0
+    files = found.select("inside", "code", F.when(F.col("code").isNull(), "not text").otherwise("read").alias("status")).unionByName(
+        missed.select("inside", F.when(empty, "").alias("code"), F.when(empty, "empty").otherwise("unreadable").alias("status"))
+    )
     roles = rf"(?:role=)?({ORIGINAL}|{NON_CLONE}|{CLONE})/"
-    inside = F.regexp_extract("path", f"/{roles}(.*)$", 2)
-    level = F.regexp_extract(inside, r"^(?:level=)?(L\d+)/", 1)
-    author = F.regexp_extract(inside, r"^(?:(?:level=)?L\d+/)?(?:author=)?([^/]+)/", 1)
+    path = F.concat(F.lit("/"), "inside")
+    behind = F.regexp_extract(path, f"/{roles}(.*)$", 2)
+    level = F.regexp_extract(behind, r"^(?:level=)?(L\d+)/", 1)
+    author = F.regexp_extract(behind, r"^(?:(?:level=)?L\d+/)?(?:author=)?([^/]+)/", 1)
     return files.select(
-        F.regexp_extract("path", f"/(?:case_id=)?([^/]+)/{roles}", 1).alias("case_id"),
-        F.regexp_extract("path", f"/{roles}", 1).alias("role"),
+        F.regexp_extract(path, f"/(?:case_id=)?([^/]+)/{roles}", 1).alias("case_id"),
+        F.regexp_extract(path, f"/{roles}", 1).alias("role"),
         F.nullif(level, F.lit("")).alias("level"),
         F.nullif(author, F.lit("")).alias("author"),
-        F.regexp_extract("path", r"([^/]+)\.[^./]+$", 1).alias("stem"),
-        "path",
+        F.regexp_extract(path, r"([^/]+)\.[^./]+$", 1).alias("stem"),
+        F.concat(F.lit(f"{root.rstrip('/')}/"), "inside").alias("path"),
         "code",
+        "status",
     ).where(F.col("role") != "")
 
 
 def write_corpus(corpus: DataFrame, root: str) -> None:
     """One text file per row below `case_id=…/role=…/author=…`, which `read_corpus` reads with the suffix `.txt`.
 
-    The three columns together name a row. A line end is added to every text, so that no file is empty; a null `code` counts as empty.
-    Each task writes its rows sorted by folder, one open file at a time.
+    The three columns together name a row. A file holds its text as it is; a null `code` is an empty file. A task that runs again writes the
+    same files again.
     """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, top = _store(root)
+        for batch in batches:
+            for case, role, author, code in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                folder = f"{top.rstrip('/')}/case_id={quote(case, safe=' ')}/role={role}/author={quote(author, safe=' ')}"
+                store.create_dir(folder, recursive=True)
+                with store.open_output_stream(f"{folder}/text.txt") as out:
+                    out.write(code.encode("utf-8", "replace"))
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows], pa.int64())], names=["files"])
+
     rows = corpus.select("case_id", "role", "author", F.coalesce("code", F.lit("")).alias("code"))
-    rows.write.partitionBy("case_id", "role", "author").text(root)
+    rows.mapInArrow(written, "files long").agg(F.sum("files")).collect()
 
 
 def store_corpus(corpus: DataFrame, path: str) -> DataFrame:

@@ -93,9 +93,9 @@ def test_written_corpus_is_read_back(spark, tmp_path):
     cp.write_corpus(spark.createDataFrame(rows, "case_id string, role string, author string, code string"), str(tmp_path / "files"))
     read = cp.read_corpus(spark, str(tmp_path / "files"), ".txt").collect()
     assert sorted((r.case_id, r.role, r.author, r.level, r.code) for r in read) == [
-        ("c 2", "non-plagiarized", "9", None, "\n"),
-        ("c1", "original", "7", None, "a\nb\n"),
-        ("c1", "plagiarized", "8", None, "\n"),
+        ("c 2", "non-plagiarized", "9", None, ""),
+        ("c1", "original", "7", None, "a\nb"),
+        ("c1", "plagiarized", "8", None, ""),
     ]
 
 
@@ -133,3 +133,19 @@ def test_pairs_and_scores(spark, root, tmp_path):
     assert 0 < got["Main.java"].jaccard < 1 and got["Main.java"].call_similarity == 0
     assert got["Other.java"].comment_similarity == 0
     assert (got["F.java"].jaccard, got["F.java"].comment_similarity) == (0, 1)
+
+
+def test_no_listed_file_vanishes(spark, tmp_path):
+    """A file that cannot be read has a row without code, and says so; its pair is there and scores zero."""
+    rows = [("c1", "original", "1", JAVA), ("c1", "plagiarized", "2", JAVA), ("c1", "plagiarized", "3", None), ("c1", "non-plagiarized", "4", "class A {}")]
+    root = str(tmp_path / "files")
+    cp.write_corpus(spark.createDataFrame(rows, "case_id string, role string, author string, code string"), root)
+    broken = tmp_path / "files" / "case_id=c1" / "role=plagiarized" / "author=2"
+    (broken / ".text.txt.crc").write_bytes(b"crc\x00\x00\x00\x02\x00\xde\xad\xbe\xef")
+    (tmp_path / "files" / "case_id=c1" / "role=non-plagiarized" / "author=4" / "text.txt").write_bytes(b"\xff\xfe")
+    files = cp.read_corpus(spark, root, ".txt")
+    got = {r.author: (r.status, r.code) for r in files.collect()}
+    assert got == {"1": ("read", JAVA), "2": ("unreadable", None), "3": ("empty", ""), "4": ("not text", None)}
+    pairs = cp.make_pairs(files, features_of(["jaccard"]))
+    scores = long_scores(similarity_columns(pairs, ["jaccard"]), ["jaccard"])
+    assert scores.count() == 3 and score_failed(scores, "zero").count() == 3
