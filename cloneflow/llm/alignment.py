@@ -11,17 +11,17 @@ size, go to every task; a document's rarer pairs, which no single key can domina
 from __future__ import annotations
 
 import hashlib
-import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from tokenizers import Tokenizer
 
-from cloneflow.llm.common import whole_text
+from cloneflow.llm.common import give_back, whole_text
+from cloneflow.llm.tokencount import PLAIN_CUT, PreTokens, cut_text, unlike_characters
 from cloneflow.operators.joins import join_unique
 from cloneflow.session import materialize
 
@@ -34,6 +34,9 @@ BATCH_BYTES = 1 << 19
 PART_CHARS = 1 << 19
 DENSE = 64
 MAX_COUNTED = 1 << 20
+LOSSY = -1
+# Bytes of ids that a worker remembers while its task runs.
+CACHE_BYTES = 80 << 20
 
 
 def byte_of_character() -> dict[str, int]:
@@ -44,19 +47,15 @@ def byte_of_character() -> dict[str, int]:
 
 
 class Both:
-    """The two tokenizers with the bytes of all their tokens."""
+    """The two tokenizers with the bytes of all their tokens. The first one's pre-tokens are encoded once for as long as they are remembered."""
 
-    # A single blank between characters that are no white space: no token of either side goes on behind it.
-    cut = re.compile(r"(?<=[A-Za-z0-9]) (?=[A-Za-z0-9])")
-
-    def __init__(self, first: str, second: str):
-        self.first = Tokenizer.from_file(first)
-        self.first.encode_special_tokens = True
-        self.first.no_padding()
-        self.first.no_truncation()
+    def __init__(self, first: str, second: str, unlike: list[int] | None = None):
+        unlike = unlike_characters(first) if unlike is None else unlike
+        self.first = PreTokens(first, unlike, False, self.whole_ids, 280, CACHE_BYTES)
+        self.lossy = False
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
-        byte, size = byte_of_character(), self.first.get_vocab_size()
-        names = [self.first.id_to_token(i) or "" for i in range(size)]
+        byte, size = byte_of_character(), self.first.tokenizer.get_vocab_size()
+        names = [self.first.tokenizer.id_to_token(i) or "" for i in range(size)]
         a = [bytes(byte[c] for c in n) if all(c in byte for c in n) else n.encode() for n in names]
         count = self.second.get_piece_size()
         pieces = [self.second.id_to_piece(i) for i in range(count)]
@@ -66,23 +65,37 @@ class Both:
         # Every id in decimal with what can stand behind it: nothing, another of its side, the other side, another group.
         self.text = tuple(np.array([f"{i}{end}" for i in range(len(side)) for end in ("", ",", "|", ";")], object) for side in (a, b))
 
-    def parts(self, text: str) -> list[str]:
-        """A blank and the text; a long one in parts, each of which begins with a blank."""
-        whole, start, parts = " " + text, 0, []
-        while len(whole) - start > PART_CHARS and (found := self.cut.search(whole, start + PART_CHARS)):
-            parts.append(whole[start : found.start()])
-            start = found.start()
-        return [*parts, whole[start:]]
-
-    def encode(self, parts: list[str]) -> tuple[list, list]:
-        """Ids of parts that begin with a blank. The second tokenizer puts its own blank first."""
-        a = [e.ids for e in self.first.encode_batch(parts, add_special_tokens=False)]
-        return a, self.second.encode([p[1:] for p in parts], num_threads=1)
+    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
+        """Ids of each text behind a blank, by both. The second tokenizer puts its own blank first. A long text goes in parts, each of
+        which begins with a blank that neither has a token across."""
+        parts = [list(cut_text(" " + t, PLAIN_CUT, PART_CHARS)) for t in texts]
+        flat = [p for some in parts for p in some]
+        own = [None if self.first.foreign(p) else self.pretokens(p) for p in flat]
+        long = self.first.learn([words for words in own if words], {})
+        get = self.first.known.__getitem__
+        a = [list(chain.from_iterable(self.first.encoded(p) if words is None else map(get, words))) for p, words in zip(flat, own, strict=True)]
+        self.first.drop(long)
+        b = self.second.encode([p[1:] for p in flat], num_threads=1)
+        if len(flat) == len(texts):
+            return a, b
+        bounds = np.cumsum([0, *map(len, parts)]).tolist()
+        return tuple([list(chain.from_iterable(side[i:j])) for i, j in zip(bounds, bounds[1:])] for side in (a, b))
+
+    def pretokens(self, part: str) -> list[str]:
+        lists = [words for words, _ in self.first.lists(part)]
+        return lists[0] if len(lists) == 1 else list(chain.from_iterable(lists))
+
+    def whole_ids(self, encoding, text: str) -> list[int]:
+        """The ids of a pre-token or text, which give its bytes back; otherwise LOSSY stands for it."""
+        ids, first = encoding.ids, self.bytes[0]
+        if b"".join(map(first.__getitem__, ids)) == text.encode("utf-8", "replace"):
+            return ids
+        self.lossy = True
+        return [LOSSY]
 
     def covers(self, a: list[int], b: list[int], data: bytes) -> bool:
-        """Whether the tokens of either side, joined, are these bytes."""
-        first, second = self.bytes
-        return b"".join([first[i] for i in a]) == data and b"".join([second[i] for i in b]) == data
+        """Whether the tokens of either side, joined, are these bytes: known of all that the first one's ids were made of."""
+        return not (self.lossy and LOSSY in a) and b"".join(map(self.bytes[1].__getitem__, b)) == data
 
 
 def coalesce(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -99,25 +112,29 @@ def coalesce(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndar
     return found[: len(first)], found[len(first) :]
 
 
-def _linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """`group, pair, times`: the links of all groups; a large group's as pairs of distinct ids with the number of links each."""
+def _linked(a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+    """`group, first id, second id, times`: the links of all groups; if a group is large, its links as pairs of distinct ids with the
+    number of links of each, and otherwise no times."""
     many_a, many_b = np.bincount(of_a, minlength=groups), np.bincount(of_b, minlength=groups)
-    dense = (many_a * many_b)[of_a] > DENSE
-    plain = np.flatnonzero(~dense)
-    times = many_b[of_a[plain]]
+    dense = many_a * many_b > DENSE
     heads = np.cumsum(many_b) - many_b
-    at = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times) + np.repeat(heads[of_a[plain]], times)
-    group = [np.repeat(of_a[plain], times)]
-    pair = [np.repeat(a[plain] << PAIR_BITS, times) | b[at]]
-    count = [np.ones(len(at), np.int64)]
+    plain = np.flatnonzero(~dense[of_a]) if dense.any() else np.arange(len(a))
+    group = of_a[plain]
+    times = many_b[group]
+    behind = np.cumsum(times) - times
+    at = np.arange(times.sum()) + np.repeat(heads[group] - behind, times)
+    found = [[np.repeat(group, times)], [np.repeat(a[plain], times)], [b[at]], [np.ones(len(at), np.int64)]]
+    if not dense.any():
+        return *(c[0] for c in found[:3]), None
     firsts = np.cumsum(many_a) - many_a
-    for g in np.unique(of_a[dense]).tolist():
+    for g in np.flatnonzero(dense).tolist():
         x, n = np.unique(a[firsts[g] : firsts[g] + many_a[g]], return_counts=True)
         y, m = np.unique(b[heads[g] : heads[g] + many_b[g]], return_counts=True)
-        pair.append((x[:, None] << PAIR_BITS | y).ravel())
-        count.append((n[:, None] * m).ravel())
-        group.append(np.full(len(x) * len(y), g, np.int64))
-    return tuple(np.concatenate(c) for c in (group, pair, count))
+        shape = (len(x), len(y))
+        made = (np.full(shape, g), np.broadcast_to(x[:, None], shape), np.broadcast_to(y, shape), n[:, None] * m)
+        for column, more in zip(found, made, strict=True):
+            column.append(more.ravel())
+    return tuple(np.concatenate(c) for c in found)
 
 
 ALIGNED = pa.schema(
@@ -127,22 +144,14 @@ ALIGNED = pa.schema(
 
 def align(both: Both, texts: list[str]) -> list[tuple]:
     """For each text, in the order of ALIGNED, its counts, its groups written out, and its distinct pairs with the number of links of each."""
-    nothing = (0, 0, 0, 0, b"", [], [])
-    parts = [both.parts(t) if t else [] for t in texts]
-    bounds = np.cumsum([0, *map(len, parts)])
-    a_of, b_of = both.encode([p for some in parts for p in some])
-    kept, ids = [], []
-    for i, some in enumerate(parts):
-        if some:
-            a, b = ([x for part in side[bounds[i] : bounds[i + 1]] for x in part] for side in (a_of, b_of))
-            if both.covers(a, b, "".join(some).encode("utf-8", "replace")):
-                kept.append(i)
-                ids.append((a, b))
-    rows = [nothing] * len(texts)
+    rows = [(0, 0, 0, 0, b"", [], [])] * len(texts)
+    some = [i for i, t in enumerate(texts) if t]
+    a_of, b_of = both.encode([texts[i] for i in some])
+    kept = [(i, a, b) for i, a, b in zip(some, a_of, b_of, strict=True) if both.covers(a, b, b" " + texts[i].encode("utf-8", "replace"))]
     if not kept:
         return rows
-    sizes = [np.array([len(pair[side]) for pair in ids], np.int64) for side in (0, 1)]
-    a, b = (np.fromiter((x for pair in ids for x in pair[side]), np.int64, int(sizes[side].sum())) for side in (0, 1))
+    sizes = [np.array([len(k[side]) for k in kept], np.int64) for side in (1, 2)]
+    a, b = (np.fromiter(chain.from_iterable(k[side] for k in kept), np.int64, int(n.sum())) for side, n in zip((1, 2), sizes, strict=True))
     of_a, of_b = coalesce(both.lengths[0][a], both.lengths[1][b])
     groups = int(of_a[-1]) + 1
     doc_of_a = np.repeat(np.arange(len(kept)), sizes[0])
@@ -153,7 +162,7 @@ def align(both: Both, texts: list[str]) -> list[tuple]:
     links = np.add.reduceat(links, np.cumsum(in_doc) - in_doc)
     # Tokens as text: a group's first side, then its second, and behind each what separates it from the next one.
     group, side = np.concatenate([of_a, of_b]), np.repeat([0, 1], [len(a), len(b)])
-    order = np.lexsort((side, group))
+    order = np.argsort(group, kind="stable")
     group, side = group[order], side[order]
     end = np.full(len(order), 3)
     same = group[1:] == group[:-1]
@@ -164,17 +173,21 @@ def align(both: Both, texts: list[str]) -> list[tuple]:
     words[of_first] = both.text[0][in_order[of_first] * 4 + end[of_first]]
     words[~of_first] = both.text[1][in_order[~of_first] * 4 + end[~of_first]]
     stops = np.cumsum(tokens)
-    # Distinct pairs of each document, by a sort of (document, pair).
-    at, pair, times = _linked(a, b, of_a, of_b, groups)
-    doc = doc_of[at]
-    order = np.lexsort((pair, doc))
-    doc, pair, times = doc[order], pair[order], times[order]
-    new = np.ones(len(doc), bool)
-    new[1:] = (doc[1:] != doc[:-1]) | (pair[1:] != pair[:-1])
-    heads = np.flatnonzero(new)
-    times, pair = np.add.reduceat(times, heads), pair[heads]
-    cuts = np.searchsorted(doc[heads], np.arange(len(kept) + 1))
-    for k, i in enumerate(kept):
+    # Distinct pairs of each document, by a sort of one number for (document, pair).
+    at, x, y, times = _linked(a, b, of_a, of_b, groups)
+    first, second = (len(side) for side in both.lengths)
+    key = (doc_of[at] * first + x) * second + y
+    if times is None:
+        key.sort()
+    else:
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+    heads = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+    times = np.diff(np.append(heads, len(key))) if times is None else np.add.reduceat(times, heads)
+    doc, pair = np.divmod(key[heads], first * second)
+    pair = (pair // second) << PAIR_BITS | pair % second
+    cuts = np.searchsorted(doc, np.arange(len(kept) + 1))
+    for k, (i, _, _) in enumerate(kept):
         text = "".join(words[stops[k] - tokens[k] : stops[k]].tolist()).encode()
         here = slice(cuts[k], cuts[k + 1])
         rows[i] = (int(sizes[0][k]), int(sizes[1][k]), int(in_doc[k]), int(links[k]), text, pair[here], times[here])
@@ -185,15 +198,15 @@ def align(both: Both, texts: list[str]) -> list[tuple]:
 _LOADED: dict[tuple[str, str], Both] = {}
 
 
-def loaded(first: str, second: str) -> Both:
+def loaded(first: str, second: str, unlike: list[int]) -> Both:
     if (first, second) not in _LOADED:
-        _LOADED[first, second] = Both(first, second)
+        _LOADED[first, second] = Both(first, second, unlike)
     return _LOADED[first, second]
 
 
-def _aligner(first: str, second: str, digest: bool):
+def _aligner(first: str, second: str, unlike: list[int], digest: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both = loaded(first, second)
+        both = loaded(first, second, unlike)
 
         def out(ids: list, rows: list[tuple]) -> pa.RecordBatch:
             columns = [list(c) for c in zip(*rows, strict=True)]
@@ -212,6 +225,8 @@ def _aligner(first: str, second: str, digest: bool):
                     ids, texts, size = [], [], 0
             if ids:
                 yield out(ids, align(both, texts))
+        both.first.cut_back()
+        give_back()
 
     return run
 
@@ -222,7 +237,7 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups b
 def aligned(docs: DataFrame, first: str, second: str, digest: bool = False) -> DataFrame:
     """`doc_id, n_a, n_b, n_groups, n_links, groups, pairs, times`: each text's alignment. `groups` is written out (or its digest), `pairs`
     are the distinct linked pairs of ids, first << 32 | second, and `times` the number of links of each."""
-    return docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(_aligner(first, second, digest), RESULT)
+    return docs.select(F.col("doc_id").cast("bigint"), whole_text().alias("text")).mapInArrow(_aligner(first, second, unlike_characters(first), digest), RESULT)
 
 
 def _pair_counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,7 +18,7 @@ BITS = ["a", "the", "ing", " ", "  ", "\n", "\t", "▁", "é", "漢字", "😀",
 
 def texts():
     rng = random.Random(5)
-    made = [None, "", " ", "  x", "\n", "x" * 900, "12 " * 300, "▁", "a▁b", "the same text", "the same text", "<|endoftext|> here", "漢字仮名" * 50, "é" * 70 + "😀" * 40]
+    made = [None, "", " ", "  x", "\n", "x" * 900, "12 " * 300, "▁", "a▁b", "the same text", "the same text", "<|endoftext|> here", "漢字仮名" * 50, "new letters \u0558's \u088f1 x", "é" * 70 + "😀" * 40]
     return made + ["".join(rng.choice(BITS) for _ in range(rng.randint(1, 30))) for _ in range(400)]
 
 
@@ -93,3 +93,10 @@ def test_null_ids_repeats_and_no_rows(docs_of):
 def test_coalesce():
     first, second = alignment.coalesce(np.array([3, 2, 1, 1]), np.array([1, 1, 1, 3, 1]))
     assert first.tolist() == [0, 1, 1, 2] and second.tolist() == [0, 0, 0, 1, 2]
+
+
+def test_lossy_first_tokenizer_leaves_no_tokens():
+    both = alignment.Both(FIRST, SECOND)
+    both.bytes[0][both.first.tokenizer.encode(" the", add_special_tokens=False).ids[0]] = b"?"
+    bad, good = alignment.align(both, ["the", "words of another text"])
+    assert bad == (0, 0, 0, 0, b"", [], []) and good[0] > 0
