@@ -120,7 +120,7 @@ def w2v_train(sentences: DataFrame, dim: int = 100, window: int = 5, min_count:
 
 
 def factorize(
-    weights: DataFrame, dim: int = 16, seed: int = 42, spare: int = 16, rounds: int = 100, tolerance: float = 1e-5, block: int = BLOCK_NODES
+    weights: DataFrame, dim: int = 16, seed: int = 42, spare: int = 16, rounds: int = 100, tolerance: float = 1e-3, block: int = BLOCK_NODES
 ) -> DataFrame:
     """`tok, vec`: the leading factors of a symmetric matrix `tok, other, w`, scaled so that the inner product of two vectors is the entry of
     the matrix's best approximation of rank `dim`, negative eigenvalues taken as positive.
