@@ -11,6 +11,8 @@ size, go to every task; a document's rarer pairs, which no single key can domina
 from __future__ import annotations
 
 import hashlib
+import os
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -21,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cloneflow.llm.common import give_back, whole_text
-from cloneflow.llm.tokencount import PLAIN_CUT, PreTokens, cut_text, unlike_characters
+from cloneflow.llm.tokencount import PLAIN_CUT, PreTokens, cut_text, unlike_characters, untruncated
 from cloneflow.operators.joins import join_unique
 from cloneflow.session import materialize
 
@@ -34,9 +36,11 @@ BATCH_BYTES = 1 << 19
 PART_CHARS = 1 << 19
 DENSE = 64
 MAX_COUNTED = 1 << 20
-LOSSY = -1
-# Bytes of ids that a worker remembers while its task runs.
-CACHE_BYTES = 80 << 20
+# Bytes of ids that a worker remembers while its task runs, and those of an entry besides its text.
+CACHE_BYTES, ENTRY_BYTES = 80 << 20, 210
+# Ids travel packed, as unsigned 32-bit numbers; the largest one stands for what gives no bytes back.
+IDS, LOSSY = "u4", (1 << 32) - 1
+LOST = array("I", [LOSSY]).tobytes()
 
 
 def byte_of_character() -> dict[str, int]:
@@ -46,56 +50,74 @@ def byte_of_character() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+class PackedPreTokens(PreTokens):
+    """Remembers packed ids. `tokens` are the bytes of every token."""
+
+    def __init__(self, path: str, unlike: list[int], tokens: list[bytes]):
+        super().__init__(path, unlike, False, self.whole_ids, ENTRY_BYTES, CACHE_BYTES)
+        self.tokens, self.lossy = tokens, False
+
+    def gives(self, ids: list[int], text: str) -> bool:
+        return b"".join(map(self.tokens.__getitem__, ids)) == text.encode("utf-8", "replace")
+
+    def whole_ids(self, encoding, text: str) -> bytes:
+        """The ids of a pre-token or text, which give its bytes back; otherwise LOSSY stands for it."""
+        if self.gives(encoding.ids, text):
+            return array("I", encoding.ids).tobytes()
+        self.lossy = True
+        return LOST
+
+    def values(self, pretokens: list[str]) -> list[bytes]:
+        # Without offsets, which nothing reads; the bytes of all are compared at once, and one by one only where they differ.
+        made = self.tokenizer.encode_batch_fast(pretokens, add_special_tokens=False)
+        ids = [e.ids for e in made]
+        if self.gives(chain.from_iterable(ids), "".join(pretokens)):
+            return [array("I", some).tobytes() for some in ids]
+        return [self.whole_ids(e, w) for e, w in zip(made, pretokens, strict=True)]
+
+
 class Both:
     """The two tokenizers with the bytes of all their tokens. The first one's pre-tokens are encoded once for as long as they are remembered."""
 
     def __init__(self, first: str, second: str, unlike: list[int] | None = None):
         unlike = unlike_characters(first) if unlike is None else unlike
-        self.first = PreTokens(first, unlike, False, self.whole_ids, 280, CACHE_BYTES)
-        self.lossy = False
         self.second = sentencepiece.SentencePieceProcessor(model_file=second)
-        byte, size = byte_of_character(), self.first.tokenizer.get_vocab_size()
-        names = [self.first.tokenizer.id_to_token(i) or "" for i in range(size)]
+        plain = untruncated(first)
+        byte, size = byte_of_character(), plain.get_vocab_size()
+        names = [plain.id_to_token(i) or "" for i in range(size)]
         a = [bytes(byte[c] for c in n) if all(c in byte for c in n) else n.encode() for n in names]
         count = self.second.get_piece_size()
         pieces = [self.second.id_to_piece(i) for i in range(count)]
         b = [bytes([int(p[3:5], 16)]) if self.second.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
-        self.bytes = a, b
+        self.first, self.bytes = PackedPreTokens(first, unlike, a), (a, b)
         self.lengths = tuple(np.array([len(t) for t in side], np.int64) for side in (a, b))
         # Every id in decimal with what can stand behind it: nothing, another of its side, the other side, another group.
         self.text = tuple(np.array([f"{i}{end}" for i in range(len(side)) for end in ("", ",", "|", ";")], object) for side in (a, b))
 
-    def encode(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of each text behind a blank, by both. The second tokenizer puts its own blank first. A long text goes in parts, each of
+    def encode(self, texts: list[str]) -> tuple[list[bytes], list[list[int]]]:
+        """Ids of each text behind a blank, by both, those of the first packed. The second tokenizer puts its own blank first. A long text goes in parts, each of
         which begins with a blank that neither has a token across."""
         parts = [list(cut_text(" " + t, PLAIN_CUT, PART_CHARS)) for t in texts]
         flat = [p for some in parts for p in some]
         own = [None if self.first.foreign(p) else self.pretokens(p) for p in flat]
         long = self.first.learn([words for words in own if words], {})
         get = self.first.known.__getitem__
-        a = [list(chain.from_iterable(self.first.encoded(p) if words is None else map(get, words))) for p, words in zip(flat, own, strict=True)]
+        a = [b"".join(self.first.encoded(p) if words is None else map(get, words)) for p, words in zip(flat, own, strict=True)]
         self.first.drop(long)
         b = self.second.encode([p[1:] for p in flat], num_threads=1)
         if len(flat) == len(texts):
             return a, b
         bounds = np.cumsum([0, *map(len, parts)]).tolist()
-        return tuple([list(chain.from_iterable(side[i:j])) for i, j in zip(bounds, bounds[1:])] for side in (a, b))
+        spans = list(zip(bounds, bounds[1:]))
+        return [b"".join(a[i:j]) for i, j in spans], [list(chain.from_iterable(b[i:j])) for i, j in spans]
 
     def pretokens(self, part: str) -> list[str]:
         lists = [words for words, _ in self.first.lists(part)]
         return lists[0] if len(lists) == 1 else list(chain.from_iterable(lists))
 
-    def whole_ids(self, encoding, text: str) -> list[int]:
-        """The ids of a pre-token or text, which give its bytes back; otherwise LOSSY stands for it."""
-        ids, first = encoding.ids, self.bytes[0]
-        if b"".join(map(first.__getitem__, ids)) == text.encode("utf-8", "replace"):
-            return ids
-        self.lossy = True
-        return [LOSSY]
-
-    def covers(self, a: list[int], b: list[int], data: bytes) -> bool:
+    def covers(self, a: bytes, b: list[int], data: bytes) -> bool:
         """Whether the tokens of either side, joined, are these bytes: known of all that the first one's ids were made of."""
-        return not (self.lossy and LOSSY in a) and b"".join(map(self.bytes[1].__getitem__, b)) == data
+        return not (self.first.lossy and (np.frombuffer(a, IDS) == LOSSY).any()) and b"".join(map(self.bytes[1].__getitem__, b)) == data
 
 
 def coalesce(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -150,8 +172,9 @@ def align(both: Both, texts: list[str]) -> list[tuple]:
     kept = [(i, a, b) for i, a, b in zip(some, a_of, b_of, strict=True) if both.covers(a, b, b" " + texts[i].encode("utf-8", "replace"))]
     if not kept:
         return rows
-    sizes = [np.array([len(k[side]) for k in kept], np.int64) for side in (1, 2)]
-    a, b = (np.fromiter(chain.from_iterable(k[side] for k in kept), np.int64, int(n.sum())) for side, n in zip((1, 2), sizes, strict=True))
+    sizes = [np.array([len(k[1]) // 4 for k in kept], np.int64), np.array([len(k[2]) for k in kept], np.int64)]
+    a = np.frombuffer(b"".join([k[1] for k in kept]), IDS).astype(np.int64)
+    b = np.fromiter(chain.from_iterable(k[2] for k in kept), np.int64, int(sizes[1].sum()))
     of_a, of_b = coalesce(both.lengths[0][a], both.lengths[1][b])
     groups = int(of_a[-1]) + 1
     doc_of_a = np.repeat(np.arange(len(kept)), sizes[0])
@@ -200,6 +223,8 @@ _LOADED: dict[tuple[str, str], Both] = {}
 
 def loaded(first: str, second: str, unlike: list[int]) -> Both:
     if (first, second) not in _LOADED:
+        # A task has one core: the library's threads would only wait for each other.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _LOADED[first, second] = Both(first, second, unlike)
     return _LOADED[first, second]
 
