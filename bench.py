@@ -40,6 +40,7 @@ HEADLINES = [
     "tfidf_cosine",
     "minhash_candidates",
     "minhash_classes",
+    "kgram_join",
     "cosine_similarity",
     "lookup_doc_vectors",
     "threshold_sweep",

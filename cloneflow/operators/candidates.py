@@ -25,6 +25,14 @@ def shingle_sets(table: DataFrame, k: int = SHINGLE, text: str = "text") -> Data
     return table.select("doc_id", grams.alias("grams"))
 
 
+def merge_equal(sets: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """`doc_id, first` for every document with grams, the least id of the same set, and the sets of these ids."""
+    named = sets.where(F.size("grams") > 0).select("doc_id", _content("grams").alias("content"))
+    firsts = materialize(named.groupBy("content").agg(F.min("doc_id").alias("first")), "contents")
+    members = materialize(join_unique(named, firsts, ["content"], ["doc_id"]).select("doc_id", "first"), "members")
+    return members, materialize(sets.join(firsts.select(F.col("first").alias("doc_id")), "doc_id"), "distinct_sets")
+
+
 def signatures(sets: DataFrame) -> DataFrame:
     """`doc_id, sig`: the minima of 64 permutations of each set's hashes, one aggregation over the exploded sets."""
     h = F.col("h") % MINHASH_PRIME
@@ -41,7 +49,7 @@ def bands(sig: DataFrame, rows: int = BAND) -> DataFrame:
     return sig.select("doc_id", F.inline(F.array(*parts)))
 
 
-def _scored(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+def scored_pairs(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """`pairs` (a, b) with their exact similarity."""
     side = lambda c: sets.select(F.col("doc_id").alias(c), F.col("grams").alias(f"{c}_grams"))
     pairs = pairs.select(F.col("a").alias("one"), F.col("b").alias("other"))
@@ -57,7 +65,7 @@ def minhash_links(sets: DataFrame, threshold: float = SIMILARITY, rows: int = BA
         heads = left.groupBy("band", "key").agg(F.min("doc_id").alias("head"), F.count(F.lit(1)).alias("n")).where(F.col("n") > 1).drop("n")
         met = materialize(join_unique(left, materialize(heads, "buckets"), ["band", "key"], ["doc_id"]).where(F.col("doc_id") != F.col("head")), "met")
         pairs = met.select(F.col("doc_id").alias("a"), F.col("head").alias("b")).distinct()
-        scored = materialize(_scored(pairs, sets), "scored")
+        scored = materialize(scored_pairs(pairs, sets), "scored")
         good = scored.where(F.col("similarity") >= threshold)
         found = good if found is None else found.unionByName(good)
         missed = scored.where(F.col("similarity") < threshold).select(F.col("a").alias("doc_id"), F.col("b").alias("head"))
@@ -74,10 +82,7 @@ def minhash_classes(table: DataFrame, k: int = SHINGLE, threshold: float = SIMIL
     have no shingles and are classes of their own.
     """
     sets = materialize(shingle_sets(table, k), "shingles")
-    named = sets.where(F.size("grams") > 0).select("doc_id", _content("grams").alias("content"))
-    firsts = materialize(named.groupBy("content").agg(F.min("doc_id").alias("first")), "contents")
-    members = materialize(join_unique(named, firsts, ["content"], ["doc_id"]).select("doc_id", "first"), "members")
-    distinct = materialize(sets.join(firsts.select(F.col("first").alias("doc_id")), "doc_id"), "distinct_sets")
+    members, distinct = merge_equal(sets)
     links = materialize(minhash_links(distinct, threshold, rows, rounds), "links")
     roots = components(links.select("a", "b")).select(F.col("node").alias("first"), "root")
     degree = links.select(F.explode(F.array("a", "b")).alias("doc_id")).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))

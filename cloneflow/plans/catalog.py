@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from cloneflow.functions import text as tx
 from cloneflow.functions.vector import l2_normalize, norm, pad_truncate
-from cloneflow.operators import candidates, embed, evaluate, graph, measures
+from cloneflow.operators import candidates, embed, evaluate, graph, kgrams, measures
 from cloneflow.session import fresh_path, materialize
 from cloneflow.sources import corpus, tables, vectors
 
@@ -254,6 +254,17 @@ def minhash_classes(spark: SparkSession, sf: str) -> DataFrame:
     return candidates.minhash_classes(tables.documents(spark, sf)).select("doc_id", "class_id")
 
 
+@query
+def kgram_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    _, links = kgrams.similar_texts(tables.documents(spark, sf))
+    return rounded(links, "similarity")
+
+
+@query
+def kgram_join(spark: SparkSession, sf: str) -> DataFrame:
+    return kgrams.kgram_join(tables.documents(spark, sf))
+
+
 # Vectors
 
 

@@ -114,6 +114,15 @@ _metrics = lambda t, k: (
     f"[len({k})::DOUBLE, len(list_distinct({k}))::DOUBLE, len(string_split({t}, chr(10)))::DOUBLE, "
     f"length({t})::DOUBLE / len(string_split({t}, chr(10))), length({t})::DOUBLE]"
 )
+SIMILAR = f"""WITH RECURSIVE g AS (
+  SELECT doc_id, unnest(list_distinct({_grams('tk', SHINGLE)})) AS x FROM (SELECT doc_id, {_tokens('text')} AS tk FROM documents)),
+n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
+scored AS (SELECT i.a, i.b, i.c / CAST(x.c + y.c - i.c AS DOUBLE) AS s FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b),
+links AS (SELECT * FROM scored WHERE s >= {SIMILARITY}) """
+CHAINS = """, reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+least_of AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
+"""
 PROFILE = f"""prof AS (
   SELECT doc_id, list_sum(list_transform(list_zip(x, y), lambda z:
     CASE WHEN greatest(z[1], z[2]) > 0 THEN least(z[1], z[2]) / greatest(z[1], z[2]) ELSE 1.0::DOUBLE END)) / 5 AS s
@@ -476,14 +485,11 @@ WHERE identifier NOT IN ({KEYWORD_LIST})""",
   round(coalesce(list_sum(list_transform(list_zip(x, y), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))::DOUBLE / {len(MINHASH_SEEDS)}, 0), 6) AS estimate,
   coalesce({UNIT_BANDS}, false) AS candidate FROM joined""",
     # Exact: all pairs that share a shingle, and what a chain of similar pairs reaches.
-    "minhash_classes": f"""WITH RECURSIVE g AS (
-  SELECT doc_id, unnest(list_distinct({_grams('tk', SHINGLE)})) AS x FROM (SELECT doc_id, {_tokens('text')} AS tk FROM documents)),
-n AS (SELECT doc_id, count(*) AS c FROM g GROUP BY doc_id),
-i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM g a JOIN g b ON a.x = b.x AND a.doc_id <> b.doc_id GROUP BY ALL),
-links AS (SELECT i.a, i.b FROM i JOIN n x ON x.doc_id = i.a JOIN n y ON y.doc_id = i.b WHERE i.c / CAST(x.c + y.c - i.c AS DOUBLE) >= {SIMILARITY}),
-reach AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
-least_of AS (SELECT a AS doc_id, min(b) AS m FROM reach GROUP BY a)
-SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id FROM documents LEFT JOIN least_of USING (doc_id)""",
+    "minhash_classes": SIMILAR + CHAINS + "SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id FROM documents LEFT JOIN least_of USING (doc_id)",
+    "kgram_join": SIMILAR + CHAINS + """SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(c, 0) AS n_links
+FROM documents LEFT JOIN least_of USING (doc_id) LEFT JOIN (SELECT a AS doc_id, count(*) AS c FROM links GROUP BY a) USING (doc_id)""",
+    "kgram_pairs": SIMILAR + """SELECT a, b, round(s, 6) AS similarity FROM links
+WHERE a > b AND s < 1 AND NOT EXISTS (FROM links e WHERE e.s = 1 AND (e.a = links.a AND e.b < e.a OR e.a = links.b AND e.b < e.a))""",
     **{f"{name}_facts": LEARNED_FACTS for name in ("node2vec_similarity", "glove_factorize", "spectral_embed")},
     "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored",
     "failed_pair_zero": STAR_VECTORS + """SELECT case_id, doc_id, is_clone, round(coalesce(s, 0), 6) AS similarity, 'zero' AS policy FROM scored
