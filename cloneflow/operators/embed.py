@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from cloneflow.functions.text import portable_hash
 from cloneflow.functions.vector import cosine, l2_normalize
-from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, join_unique, number_rows
+from cloneflow.operators.joins import BROADCAST_BYTES, first_rows, fits, join_unique, number_rows, row_bytes
 from cloneflow.session import discard, materialize
 
 # Word vectors pay for a larger broadcast: otherwise a vector travels with every token of the corpus.
@@ -38,18 +38,48 @@ def first_pool(rows: DataFrame, key: str, pos: str) -> DataFrame:
     return first_rows(rows, key, pos)
 
 
-def lookup_doc_vectors(terms: DataFrame, lookup: DataFrame, docs: DataFrame, dim: int) -> DataFrame:
+def lookup_doc_vectors(terms: DataFrame, lookup: DataFrame, docs: DataFrame, dim: int, broadcast_bytes: int | None = None) -> DataFrame:
     """`doc_id, vec`: mean vector of the known tokens of each document, zeros where none is known.
 
     `terms` is `doc_id, tok, cnt`; `lookup` is `tok, vec`. With a broadcast lookup the terms of a document
-    never leave their task before they are summed.
+    never leave their task before they are summed. A lookup that is too large for that is split: the words of most documents, up to
+    the limit, are broadcast, so that a vector travels only with the terms of rare words.
     """
-    known = join_unique(terms.select("doc_id", "tok", "cnt"), lookup.select("tok", "vec"), ["tok"], ["doc_id"], broadcast_bytes=LOOKUP_BYTES)
+    limit = LOOKUP_BYTES if broadcast_bytes is None else broadcast_bytes
+    terms, lookup = terms.select("doc_id", "tok", "cnt"), lookup.select("tok", "vec")
+    if fits(lookup, limit):
+        known = terms.join(F.broadcast(lookup), "tok")
+    else:
+        counts = materialize(terms.groupBy("tok").agg(F.count(F.lit(1)).alias("n")), "term_documents")
+        ranked = materialize(lookup.join(counts, "tok"), "ranked_lookup")
+        least = _broadcast_level(ranked, limit)
+        frequent, rare = (ranked.where(c).select("tok", "vec") for c in (_level() >= least, _level() < least))
+        near = terms.join(F.broadcast(frequent), "tok")
+        # A frequent word that the lookup lacks goes the way of the rare ones: its count is among theirs.
+        others = lambda rows: rows.join(F.broadcast(frequent.select("tok")), "tok", "left_anti")
+        far = join_unique(others(terms), rare, ["tok"], ["doc_id"], counts=others(counts), small=False)
+        known = near.unionByName(far)
     means = mean_pool(known, ["doc_id"], dim, weight="cnt")
     zeros = F.array_repeat(F.lit(0.0), dim)
     return docs.select("doc_id").join(means, "doc_id", "left").select("doc_id", F.coalesce("vec", zeros).alias("vec"))
 
 
+def _level() -> Column:
+    """Powers of the square root of two, so that words of one count stay together."""
+    return F.floor(2 * F.log2("n")).cast("int")
+
+
+def _broadcast_level(ranked: DataFrame, limit: int) -> int:
+    """The lowest level of counts down to which all rows together stay within `limit` bytes: one row per level comes back, about a hundred at most."""
+    held, least = 0, 1 << 10
+    for r in sorted(ranked.groupBy(_level().alias("level")).agg(F.sum(row_bytes(ranked.schema)).alias("bytes")).collect(), reverse=True):
+        held += r.bytes
+        if held > limit:
+            break
+        least = r.level
+    return least
+
+
 def star_cosine(table: DataFrame, vectors: DataFrame, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """`case_id, doc_id, is_clone, similarity` for the star pairs of `case_id, doc_id, label` by `doc_id, vec`.
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneflow.functions import vector as vf
-from cloneflow.operators import embed
+from cloneflow.operators import embed, joins
 from cloneflow.operators.measures import term_counts
 from cloneflow.sources import vectors as vs
 
@@ -74,6 +74,34 @@ def test_lookup_doc_vectors(spark):
     assert got == {1: pytest.approx([2 / 3, 1.0]), 2: [0, 0], 3: [0, 0]}
 
 
+def test_lookup_in_two_tiers(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    words = [f"w{i}" for i in range(200)]
+    texts = [" ".join(rng.choice(words, size=rng.integers(0, 60), p=np.arange(200, 0, -1) / 20100)) for _ in range(60)] + [None, "", "nothing known"]
+    docs = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, case_id string, text string")
+    # "w0" is the most frequent word of all and has no vector.
+    vectors = {w: rng.normal(size=3) for w in words[1:]}
+    lookup = spark.createDataFrame([(w, v.tolist()) for w, v in vectors.items()], "tok string, vec array<double>")
+    want = {}
+    for i, t in enumerate(texts):
+        known = [vectors[w] for w in (t or "").split() if w in vectors]
+        want[i] = np.mean(known, axis=0) if known else np.zeros(3)
+    monkeypatch.setattr(joins, "MIN_HOT_ROWS", 5)
+    for limit in (0, 3_000, 8_000, 1 << 28):
+        got = {r.doc_id: r.vec for r in embed.lookup_doc_vectors(term_counts(docs), lookup, docs, 3, limit).collect()}
+        assert got.keys() == want.keys()
+        assert all(got[i] == pytest.approx(want[i].tolist()) for i in want)
+
+
+def test_broadcast_level_keeps_within_the_limit(spark):
+    rows = [(f"w{i}", [0.5] * 4, n) for i, n in enumerate([1] * 50 + [2] * 20 + [10] * 5 + [100])]
+    ranked = spark.createDataFrame(rows, "tok string, vec array<double>, n long")
+    size = ranked.select(joins.row_bytes(ranked.schema).alias("b")).first().b
+    kept = lambda limit: ranked.where(embed._level() >= embed._broadcast_level(ranked, limit)).count()
+    assert [kept(n * (size + 1)) for n in (0, 1, 5, 6, 26, 75, 76)] == [0, 1, 1, 6, 26, 26, 76]
+
+
+
 def test_star_cosine_keeps_pairs_without_a_vector(spark):
     table = spark.createDataFrame([("c", 1, "l"), ("c", 2, "l"), ("c", 3, "m"), ("c", 4, "l")], "case_id string, doc_id long, label string")
     vecs = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0])], "doc_id long, vec array<double>")
