@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +95,24 @@ def winnow(hashes: Column, window: int) -> Column:
     )
 
 
+def winnow_places(hashes: Column, window: int) -> Column:
+    """`array<struct<h, pos>>`: the minimum of each window with its place, the rightmost of equal ones, without repeats."""
+
+    def minimum(h: Column, i: Column) -> Column:
+        inside = [F.get(h, i + o) for o in range(window)]
+        least = F.least(*inside)
+        place = reduce(lambda later, o: later.when(inside[o] == least, o), range(window - 2, -1, -1), F.when(inside[-1] == least, window - 1))
+        return F.struct(least.alias("h"), (i + place).cast("int").alias("pos"))
+
+    return let(
+        hashes,
+        lambda h: F.when(
+            F.size(h) > 0,
+            F.array_distinct(F.transform(F.sequence(F.lit(0), F.greatest(F.size(h) - window, F.lit(0))), lambda i: minimum(h, i))),
+        ).otherwise(F.array().cast("array<struct<h:bigint,pos:int>>")),
+    )
+
+
 def bag(toks: Column) -> Column:
     """`array<struct<tok, cnt>>` sorted by token: run lengths of the sorted tokens."""
 

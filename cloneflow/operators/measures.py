@@ -12,6 +12,7 @@ from dataclasses import dataclass, field
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from cloneflow.functions import similarity as sim
@@ -182,6 +183,29 @@ def tfidf_cosine(table: DataFrame) -> DataFrame:
     return scored.select("case_id", "doc_id", sim.ratio(dot, lengths).alias("similarity"))
 
 
+def winnow_passages(table: DataFrame, k: int = WINNOW_K, window: int = WINNOW_WINDOW) -> DataFrame:
+    """`case_id, doc_id, a_start, b_start, n_tokens, n_prints`: the passages that a suspect shares with its original, in tokens from 0.
+
+    Every fingerprint of the suspect points at the place where its original first has it. Those that lie on one diagonal, at most a window
+    apart, are one passage; as long as a window is no longer than a gram, its grams overlap, so that all its tokens are shared. Work is linear in the texts however often a gram
+    repeats: a passage that the original repeats is reported at its first place. Null, empty and short texts share nothing.
+    """
+    if window > k:
+        raise ValueError("a window longer than a gram leaves tokens between fingerprints unseen")
+    places = tx.winnow_places(tx.ordered_gram_hashes(tx.tokens(F.col("text")), k), window)
+    first = first_rows(table.select("case_id", "doc_id", "text"), "case_id", "doc_id")
+    prints = materialize(first.select("case_id", F.inline(places)).groupBy("case_id", "h").agg(F.min("pos").alias("a_pos")), "original_prints")
+    suspects = table.select("case_id", "doc_id", "text").join(first.select("case_id", "doc_id"), ["case_id", "doc_id"], "left_anti")
+    hits = join_unique(suspects.select("case_id", "doc_id", F.inline(places)), prints, ["case_id", "h"], ["doc_id", "pos"])
+    # One suspect's fingerprints on one diagonal.
+    line = W.partitionBy("case_id", "doc_id", F.col("pos") - F.col("a_pos")).orderBy("pos")
+    breaks = F.coalesce((F.col("pos") - F.lag("pos").over(line) > window).cast("int"), F.lit(1))
+    marked = hits.select("case_id", "doc_id", "a_pos", "pos", breaks.alias("breaks"))
+    passage = marked.withColumn("passage", F.sum("breaks").over(line)).groupBy("case_id", "doc_id", (F.col("pos") - F.col("a_pos")).alias("diagonal"), "passage")
+    found = passage.agg(F.min("a_pos").alias("a_start"), F.min("pos").alias("b_start"), F.max("pos").alias("end"), F.count(F.lit(1)).alias("n_prints"))
+    return found.select("case_id", "doc_id", "a_start", "b_start", (F.col("end") - F.col("b_start") + k).alias("n_tokens"), "n_prints")
+
+
 def minhash_candidates(table: DataFrame) -> DataFrame:
     """Every star pair with its exact Jaccard, its MinHash estimate, and whether any LSH band collides.
 

@@ -244,6 +244,11 @@ def tfidf_cosine(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(measures.tfidf_cosine(tables.documents(spark, sf)), "similarity")
 
 
+@query
+def winnow_passages(spark: SparkSession, sf: str) -> DataFrame:
+    return measures.winnow_passages(tables.documents(spark, sf))
+
+
 @query
 def minhash_candidates(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(measures.minhash_candidates(tables.documents(spark, sf)), "similarity", "estimate")

@@ -484,6 +484,18 @@ WHERE identifier NOT IN ({KEYWORD_LIST})""",
   FROM nodes_p n LEFT JOIN sig a ON a.doc_id = n.o_id LEFT JOIN sig b ON b.doc_id = n.doc_id)""") + f"""SELECT case_id, doc_id, round(s, 6) AS similarity,
   round(coalesce(list_sum(list_transform(list_zip(x, y), lambda z: CASE WHEN z[1] = z[2] THEN 1 ELSE 0 END))::DOUBLE / {len(MINHASH_SEEDS)}, 0), 6) AS estimate,
   coalesce({UNIT_BANDS}, false) AS candidate FROM joined""",
+    "winnow_passages": _docs(f"""SELECT case_id, doc_id, CAST(min(a) AS INTEGER) AS a_start, CAST(min(b) AS INTEGER) AS b_start,
+  CAST(max(b) - min(b) + {WINNOW_K} AS INTEGER) AS n_tokens, count(*) AS n_prints
+FROM (SELECT *, sum(CASE WHEN b - before <= {WINNOW_WINDOW} THEN 0 ELSE 1 END) OVER (PARTITION BY doc_id, b - a ORDER BY b) AS passage
+  FROM (SELECT *, lag(b) OVER (PARTITION BY doc_id, b - a ORDER BY b) AS before FROM (
+    WITH h AS (SELECT doc_id, case_id, list_transform({_grams('tk', WINNOW_K)}, lambda g: {_hash('g')}) AS h FROM d),
+    w AS (SELECT doc_id, case_id, unnest(list_transform(range(1, greatest(len(h) - {WINNOW_WINDOW} + 1, 1) + 1), lambda i:
+      {{'i': i, 'part': h[i:i + {WINNOW_WINDOW} - 1]}})) AS w FROM h WHERE len(h) > 0),
+    f AS (SELECT DISTINCT doc_id, case_id, list_min(w.part) AS x, w.i + len(w.part) - 1 - list_position(list_reverse(w.part), list_min(w.part)) AS pos FROM w),
+    o AS (SELECT f.case_id, x, min(pos) AS a FROM f JOIN (SELECT case_id, min(doc_id) AS doc_id FROM d GROUP BY case_id) USING (doc_id) GROUP BY f.case_id, x)
+    SELECT f.case_id, f.doc_id, o.a, f.pos AS b FROM f JOIN o ON f.case_id = o.case_id AND f.x = o.x
+    WHERE f.doc_id NOT IN (SELECT min(doc_id) FROM d GROUP BY case_id))))
+GROUP BY case_id, doc_id, b - a, passage"""),
     # Exact: all pairs that share a shingle, and what a chain of similar pairs reaches.
     "minhash_classes": SIMILAR + CHAINS + "SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id FROM documents LEFT JOIN least_of USING (doc_id)",
     "kgram_join": SIMILAR + CHAINS + """SELECT doc_id, least(doc_id, coalesce(m, doc_id)) AS class_id, coalesce(c, 0) AS n_links

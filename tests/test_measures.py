@@ -230,3 +230,58 @@ def test_vocabulary(corpus):
     docs = Counter(t for r in rows for t in set(r[3].split()))
     assert {r.tok: (r.n, r.docs) for r in ms.vocabulary(table).collect()} == {t: (n[t], docs[t]) for t in n}
     assert {r.tok for r in ms.vocabulary(table, min_count=30).collect()} == {t for t in n if n[t] >= 30}
+
+
+def test_winnow_passages_against_plain_loops(spark):
+    k, window = ms.WINNOW_K, ms.WINNOW_WINDOW
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(400)]
+    original = [rng.choice(words) for _ in range(300)]
+    fresh = lambda n: [f"x{rng.randrange(10**6)}" for _ in range(n)]
+    texts = [
+        original,
+        fresh(20) + original[50:90] + fresh(7) + original[200:230] + fresh(3),
+        original,
+        original[:4],
+        original[10:15],
+        ["again"] * 200,
+        [],
+        original[90:130] + original[20:60],
+    ]
+    rows = [(i, "a", " ".join(t)) for i, t in enumerate(texts)] + [(20, "b", "again " * 100), (21, "b", "again " * 150), (22, "b", None), (30, None, "x"), (40, "c", None), (41, "c", "a b c d e f")]
+    got = ms.winnow_passages(spark.createDataFrame(rows, "doc_id long, case_id string, text string")).collect()
+
+    def prints(toks):
+        grams = [" ".join(toks[i : i + k]) for i in range(len(toks) - k + 1)]
+        hashes = [int(md5(g.encode()).hexdigest()[:15], 16) for g in grams]
+        found = set()
+        for i in range(max(len(hashes) - window + 1, 1) if hashes else 0):
+            part = hashes[i : i + window]
+            found.add((min(part), i + max(j for j, h in enumerate(part) if h == min(part))))
+        return found
+
+    want = set()
+    for case in "abc":
+        some = sorted((i, (t or "").split()) for i, c, t in rows if c == case)
+        first = {}
+        for h, pos in sorted(prints(some[0][1])):
+            first.setdefault(h, pos)
+        for doc, toks in some[1:]:
+            lines = {}
+            for h, pos in prints(toks):
+                if h in first:
+                    lines.setdefault(pos - first[h], []).append(pos)
+            for shift, at in lines.items():
+                at.sort()
+                start = 0
+                for j in range(1, len(at) + 1):
+                    if j == len(at) or at[j] - at[j - 1] > window:
+                        want.add((case, doc, at[start] - shift, at[start], at[j - 1] - at[start] + k, j - start))
+                        start = j
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    for r in got:
+        if r.case_id == "a":
+            assert texts[r.doc_id][r.b_start : r.b_start + r.n_tokens] == original[r.a_start : r.a_start + r.n_tokens]
+    assert sum(r.n_tokens for r in got if r.doc_id == 1) >= 70 - 4 * (window - 1)
+    with pytest.raises(ValueError):
+        ms.winnow_passages(spark.createDataFrame(rows, "doc_id long, case_id string, text string"), 3, 4)
