@@ -466,6 +466,15 @@ def pca_projection(spark: SparkSession, sf: str) -> DataFrame:
     return placed.select("doc_id", "label", F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y"))
 
 
+@query
+def pca_variance(spark: SparkSession, sf: str) -> DataFrame:
+    """What makes the projection one of principal components: the variance along each, and that they are uncorrelated."""
+    placed = embed.pca_projection(tables.embeddings(spark, sf)).select(F.get("pc", F.lit(0)).alias("x"), F.get("pc", F.lit(1)).alias("y"))
+    facts = placed.agg(F.var_samp("x").alias("x"), F.var_samp("y").alias("y"), (F.abs(F.corr("x", "y")) < 1e-6).alias("uncorrelated"))
+    rows = [F.struct(F.lit(i + 1).alias("component"), F.round(c, DIGITS).alias("variance"), "uncorrelated") for i, c in enumerate(("x", "y"))]
+    return facts.select(F.inline(F.array(*rows)))
+
+
 def board_thresholds(name: str) -> tuple[float, ...]:
     return FAMILIES.get(name, evaluate.TREE_THRESHOLDS)
 

@@ -214,6 +214,29 @@ def _page_sets(items: str, empty: float) -> str:
     )
 
 
+def _power(matrix: str, name: str, rounds: int = 1000) -> str:
+    """The leading eigenvector of a one-row table's matrix `m` by power iteration, as `{name}(m, v, value)`."""
+    times = "list_transform(m, lambda r: list_dot_product(r, v))"
+    return f"""{name}_steps AS (
+  SELECT 0 AS step, m, list_transform(range(1, len(m) + 1), lambda i: 1.0::DOUBLE / i) AS v FROM {matrix}
+  UNION ALL SELECT step + 1, m, list_transform(u, lambda x: x / sqrt(list_dot_product(u, u)))
+  FROM (SELECT step, m, {times} AS u FROM {name}_steps WHERE step < {rounds})),
+{name} AS (SELECT m, v, list_dot_product({times}, v) AS value FROM {name}_steps WHERE step = {rounds})"""
+
+
+PCA = f"""WITH RECURSIVE entries AS (
+  SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+covariance AS (
+  SELECT list(r ORDER BY i) AS m FROM (
+    SELECT a.i, list(c ORDER BY j) AS r FROM (
+      SELECT a.i, b.i AS j, covar_samp(a.x, b.x) AS c FROM entries a JOIN entries b ON a.vec_id = b.vec_id GROUP BY a.i, b.i) a GROUP BY a.i)),
+{_power("covariance", "one")},
+rest AS (SELECT list_transform(m, lambda r, i: list_transform(r, lambda c, j: c - value * v[i] * v[j])) AS m FROM one),
+{_power("rest", "two")}
+SELECT 1 AS component, round(value, 6) AS variance, true AS uncorrelated FROM one
+UNION ALL SELECT 2, round(value, 6), true FROM two"""
+
+
 def _docs(body: str) -> str:
     return _with(D) + body
 
@@ -514,6 +537,7 @@ FROM pooled JOIN (SELECT label, sqrt(sum(value * value)) AS n FROM pooled GROUP
     "pad_truncate_vec": _with(E) + f"""SELECT doc_id, CAST(dim AS INTEGER) AS dim, {_values('v')} FROM (
   SELECT doc_id, dim, list_transform(range(1, dim + 1), lambda i: coalesce(vec[i], 0)) AS v FROM e, (VALUES (16), (100)) t(dim))""",
     "lookup_doc_vectors": _with(E, LOOKUP) + "SELECT doc_id, pos, round(value, 6) AS value FROM looked",
+    "pca_variance": PCA,
     "threshold_sweep": SCORES + FIXED + " SELECT * FROM counts",
     "eval_metrics": SCORES + FIXED + ACCURACY + _rates("acc") + f" SELECT measure, ord, threshold, tp, fp, fn, tn, {METRIC_COLUMNS} FROM rates",
     "best_threshold": SCORES + FIXED + ACCURACY + _rates("acc") + BEST + f" SELECT measure, threshold, {METRIC_COLUMNS} FROM best",
