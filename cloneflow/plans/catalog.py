@@ -42,7 +42,10 @@ BOARD = [
     "longest_block",
     "levenshtein",
     "fuzzy_token_sort",
+    "markup_comment_similarity",
+    "call_similarity",
     "tfidf_cosine",
+    "cosine_similarity",
 ]
 # Graphs of tokens and of dependences have threshold lists of their own; all other measures take the tree list.
 FAMILIES = {"graph_node_jaccard": evaluate.GRAPH_THRESHOLDS, "graph_edit_similarity": evaluate.DEPENDENCE_THRESHOLDS}
@@ -479,13 +482,25 @@ def board_thresholds(name: str) -> tuple[float, ...]:
     return FAMILIES.get(name, evaluate.TREE_THRESHOLDS)
 
 
+def board_scores(docs: DataFrame, names: list[str], others: dict[str, DataFrame]) -> DataFrame:
+    """`case_id, doc_id, is_clone, measure, similarity`: row-local measures in one pass, and `others`, each `case_id, doc_id, similarity`, joined to it. A pair
+    that one of the others lacks has a null score, which a sweep counts as 0."""
+    wide = measures.score_table(docs, names)
+    for name, scores in others.items():
+        wide = wide.join(scores.select("case_id", "doc_id", F.col("similarity").alias(name)), ["case_id", "doc_id"], "left")
+    return materialize(measures.long_scores(wide, [*names, *others], DIGITS), "board_scores")
+
+
+def board(scores: DataFrame, names: list[str]) -> DataFrame:
+    """The measures ranked by their best thresholds, each judged by its family's list."""
+    lists = sorted({board_thresholds(n) for n in names})
+    counts = [evaluate.sweep(scores.where(F.col("measure").isin([n for n in names if board_thresholds(n) == t])), t) for t in lists]
+    metrics = evaluate.eval_metrics(reduce(DataFrame.unionByName, counts))
+    return evaluate.leaderboard(rounded(evaluate.best_threshold(metrics), "accuracy", "precision", "recall", "f_measure"))
+
+
 @query
 def approach_leaderboard(spark: SparkSession, sf: str) -> DataFrame:
     docs = tables.documents(spark, sf)
-    weighted = measures.tfidf_cosine(docs).withColumnRenamed("similarity", "tfidf_cosine")
-    wide = measures.score_table(docs, [n for n in BOARD if n in measures.MEASURES]).join(weighted, ["case_id", "doc_id"], "left")
-    scores = materialize(measures.long_scores(wide, BOARD, DIGITS), "board_scores")
-    lists = sorted({board_thresholds(n) for n in BOARD})
-    counts = [evaluate.sweep(scores.where(F.col("measure").isin([n for n in BOARD if board_thresholds(n) == t])), t) for t in lists]
-    metrics = evaluate.eval_metrics(reduce(DataFrame.unionByName, counts))
-    return evaluate.leaderboard(rounded(evaluate.best_threshold(metrics), "accuracy", "precision", "recall", "f_measure"))
+    others = {"tfidf_cosine": measures.tfidf_cosine(docs), "cosine_similarity": embed.star_cosine(docs, tables.embeddings(spark, sf))}
+    return board(board_scores(docs, [n for n in BOARD if n in measures.MEASURES], others), BOARD)

@@ -296,10 +296,30 @@ def _inclusive(reset: bool) -> str:
     )
 
 
+# Measures that are on the board by the documents' texts and vectors, and elsewhere by other tables.
+BOARD_ONLY = {
+    "markup_comment_similarity": (
+        [_sets("comments", f"SELECT DISTINCT doc_id, unnest(regexp_extract_all(array_to_string(regexp_extract_all(text, '{MARKUP_COMMENT}'), ' '), '\\w+')) AS x FROM d")],
+        f"SELECT doc_id, {_div('ni', 'na + nb - ni', 1.0)} AS s FROM comments_p",
+    ),
+    "call_similarity": (
+        [_sets("calls", f"SELECT * FROM (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '{CALL_PATTERN}', 1)) AS x FROM d) WHERE x NOT IN ({KEYWORD_LIST})")],
+        f"SELECT doc_id, {_div('ni', 'na + nb - ni')} AS s FROM calls_p",
+    ),
+    "cosine_similarity": (
+        ["vecs AS (SELECT vec_id AS doc_id, CAST(embedding AS DOUBLE[]) AS vec FROM embeddings)"],
+        """SELECT p.doc_id, CASE WHEN list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec) > 0
+  THEN list_dot_product(a.vec, b.vec) / sqrt(list_dot_product(a.vec, a.vec) * list_dot_product(b.vec, b.vec)) ELSE 0 END AS s
+FROM p JOIN vecs a ON a.doc_id = p.o_id JOIN vecs b ON b.doc_id = p.doc_id""",
+    ),
+}
+
+
 def _board() -> str:
-    ctes = [c for n in BOARD for c in PARTS[n][0]]
+    parts = PARTS | BOARD_ONLY
+    ctes = [c for n in BOARD for c in parts[n][0]]
     rows = " UNION ALL ".join(
-        f"SELECT '{n}' AS measure, p.is_clone, coalesce(round(r.s, 6), 0) AS s FROM p JOIN ({PARTS[n][1]}) r ON r.doc_id = p.doc_id" for n in BOARD
+        f"SELECT '{n}' AS measure, p.is_clone, coalesce(round(r.s, 6), 0) AS s FROM p LEFT JOIN ({parts[n][1]}) r ON r.doc_id = p.doc_id" for n in BOARD
     )
     head = _with(D, *ctes, f"scores AS ({rows})")
     lists = ", ".join(f"('{n}', {i}::BIGINT, {t}::DOUBLE)" for n in BOARD for i, t in enumerate(board_thresholds(n)))
