@@ -52,4 +52,4 @@ def test_learned_query_runs(spark, name):
 
 
 def test_entry(spark):
-    assert spark_entry.entry(spark).count() == 15
+    assert spark_entry.entry(spark).count() == 18
