@@ -102,6 +102,57 @@ def star_cosine(table: DataFrame, vectors: DataFrame, broadcast_bytes: int = BRO
     )
 
 
+def _block_cosine(ids: list, labels: list, matrix: np.ndarray):
+    """All rows of a batch against all anchors by one matrix product, in slices of at most PIECE_EDGES results."""
+    dim = matrix.shape[1]
+    lengths = np.sqrt((matrix * matrix).sum(axis=1))
+    anchor_ids, anchor_labels = pa.array(ids, pa.int64()), np.array(labels, object)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PIECE_EDGES // len(ids))
+        for whole in batches:
+            for at in range(0, whole.num_rows, step):
+                doc_id, label, vec = whole.slice(at, step).columns
+                usable = np.array([v is not None and len(v) == dim and None not in v for v in vec.to_pylist()], bool)
+                x = np.zeros((len(doc_id), dim))
+                if usable.any():
+                    x[usable] = vec.filter(pa.array(usable)).flatten().to_numpy(zero_copy_only=False).reshape(-1, dim)
+                scale = np.sqrt((x * x).sum(axis=1))[:, None] * lengths
+                made = np.divide(x @ matrix.T, scale, out=np.zeros(scale.shape), where=scale > 0)
+                same = np.array(label.to_pylist(), object)[:, None] == anchor_labels
+                known = np.repeat(usable, len(ids))
+                rows, columns = np.repeat(np.arange(len(doc_id)), len(ids)), np.tile(np.arange(len(ids)), len(doc_id))
+                fields = [anchor_ids.take(pa.array(columns)), doc_id.take(pa.array(rows)), pa.array(same.ravel().astype(bool)), pa.array(made.ravel(), mask=~known)]
+                yield pa.RecordBatch.from_arrays(fields, names=["anchor_id", "doc_id", "is_clone", "similarity"])
+
+    return run
+
+
+def anchor_cosine(vectors: DataFrame, anchor_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """`anchor_id, doc_id, is_clone, similarity`: the first vector of each label (the least id) against every vector that is no anchor.
+
+    The anchors are a stated query set. They go to the tasks as matrices of at most `anchor_bytes`, one pass over the vectors for each, and meet a batch in one matrix product;
+    no vector is shuffled. A null vector, one with nulls inside or of another length than the anchors has a null similarity, and is no anchor; zeros have 0. Rows without a label are no anchors.
+    """
+    table = vectors.select(F.col("doc_id").cast("bigint"), "label", F.col("vec").cast("array<double>").alias("vec"))
+    whole = F.col("label").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
+    anchors = materialize(first_rows(table.where(whole), "label", "doc_id"), "anchors")
+    kind = "anchor_id long, doc_id long, is_clone boolean, similarity double"
+    n, dim, least = anchors.agg(F.count(F.lit(1)), F.max(F.size("vec")), F.min(F.size("vec"))).first()
+    if not n:
+        return vectors.sparkSession.createDataFrame([], kind)
+    if dim != least:
+        raise ValueError("anchors of different lengths")
+    rest = table.join(anchors.select("doc_id"), "doc_id", "left_anti")
+    numbered = materialize(number_rows(anchors.withColumn("name", F.col("doc_id").cast("string")), "name"), "numbered_anchors")
+    step, made = max(1, anchor_bytes // (8 * dim)), None
+    for start in range(0, n, step):
+        some = numbered.where((F.col("idx") >= start) & (F.col("idx") < start + step)).select("doc_id", "label", "vec").collect()
+        passed = rest.mapInArrow(_block_cosine([r.doc_id for r in some], [r.label for r in some], np.array([r.vec for r in some])), kind)
+        made = passed if made is None else made.unionByName(passed)
+    return made
+
+
 def cooccurrences(sentences: DataFrame, window: int = 5, tokens: str = "tokens") -> DataFrame:
     """`tok, other, n`: how often two words stand at most `window` places apart, in both directions, combined before the shuffle."""
     t = F.col(tokens)

@@ -282,6 +282,11 @@ def cosine_similarity(spark: SparkSession, sf: str) -> DataFrame:
     return rounded(scores, "similarity")
 
 
+@query
+def anchor_cosine(spark: SparkSession, sf: str) -> DataFrame:
+    return rounded(embed.anchor_cosine(tables.embeddings(spark, sf)), "similarity")
+
+
 @query
 def failed_pair_zero(spark: SparkSession, sf: str) -> DataFrame:
     scores = embed.star_cosine(tables.documents(spark, sf), tables.embeddings(spark, sf))

@@ -549,6 +549,9 @@ WHERE a > b AND s < 1 AND NOT EXISTS (FROM links e WHERE e.s = 1 AND (e.a = link
     "cosine_similarity": STAR_VECTORS + "SELECT case_id, doc_id, is_clone, round(s, 6) AS similarity FROM scored",
     "failed_pair_zero": STAR_VECTORS + """SELECT case_id, doc_id, is_clone, round(coalesce(s, 0), 6) AS similarity, 'zero' AS policy FROM scored
 UNION ALL SELECT case_id, doc_id, is_clone, round(s, 6), 'drop' FROM scored WHERE s IS NOT NULL""",
+    "anchor_cosine": _with(E, "o AS (SELECT * FROM e WHERE doc_id IN (SELECT min(doc_id) FROM e GROUP BY label))") + """SELECT o.doc_id AS anchor_id, e.doc_id,
+  o.label = e.label AS is_clone, round(list_dot_product(o.vec, e.vec) / sqrt(list_dot_product(o.vec, o.vec) * list_dot_product(e.vec, e.vec)), 6) AS similarity
+FROM o, e WHERE e.doc_id NOT IN (SELECT doc_id FROM o)""",
     "mean_pool": _with(E, POOLED) + "SELECT label, CAST(pos AS INTEGER) AS pos, round(value, 6) AS value FROM pooled",
     "first_pool": _with(E) + f"SELECT label, {_values('vec')} FROM e WHERE doc_id IN (SELECT min(doc_id) FROM e GROUP BY label)",
     "l2_normalize": _with(E, POOLED) + """SELECT label, CAST(pos AS INTEGER) AS pos,

@@ -130,3 +130,25 @@ def test_a_run_overwrites_itself_and_the_latest_run_fills(spark, tmp_path):
     needed = spark.createDataFrame([(1,), (2,), (3,)], "key long")
     done = vs.backfill(needed, stored, "key", lambda m: m.withColumn("embedding", F.array(F.lit(9.0))))
     assert sorted((r.key, r.embedding, r.origin) for r in done.collect()) == [(1, [2.0], "stored"), (2, [0.5], "stored"), (3, [9.0], "computed")]
+
+
+def test_anchors_against_all_vectors(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, i % 7, rng.normal(size=5).tolist()) for i in range(60)]
+    rows += [(60, 3, [0.0] * 5), (61, 3, None), (62, 2, [1.0, None, 1.0, 0.0, 0.0]), (63, None, [1.0] * 5), (64, 1, [1.0] * 4)]
+    table = spark.createDataFrame(rows, "doc_id long, label int, vec array<double>").repartition(3)
+    anchors = {i: (label, np.array(v)) for i, label, v in rows[:7]}
+    for limit in (1 << 20, 100):
+        got = {(r.anchor_id, r.doc_id): (r.is_clone, r.similarity) for r in embed.anchor_cosine(table, limit).collect()}
+        assert got.keys() == {(a, i) for a in anchors for i, _, _ in rows[7:]}
+        for (a, i), (same, score) in got.items():
+            label, vec = rows[i][1:]
+            assert same == (label == anchors[a][0])
+            if i in (61, 62, 64):
+                assert score is None
+            elif i == 60:
+                assert score == 0
+            else:
+                v, w = np.array(vec), anchors[a][1]
+                assert score == pytest.approx(v @ w / np.linalg.norm(v) / np.linalg.norm(w))
+    assert embed.anchor_cosine(table.limit(0)).count() == 0
