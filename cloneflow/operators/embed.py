@@ -132,7 +132,7 @@ def anchor_cosine(vectors: DataFrame, anchor_bytes: int = BROADCAST_BYTES) -> Da
     """`anchor_id, doc_id, is_clone, similarity`: the first vector of each label (the least id) against every vector that is no anchor.
 
     The anchors are a stated query set. They go to the tasks as matrices of at most `anchor_bytes`, one pass over the vectors for each, and meet a batch in one matrix product;
-    no vector is shuffled. A null vector, one with nulls inside or of another length than the anchors has a null similarity, and is no anchor; zeros have 0. Rows without a label are no anchors.
+    no vector is shuffled. A null vector, one with nulls inside or of another length than the anchors has a null similarity, and is no anchor; zeros have 0. Rows without a label are no anchors and no clones.
     """
     table = vectors.select(F.col("doc_id").cast("bigint"), "label", F.col("vec").cast("array<double>").alias("vec"))
     whole = F.col("label").isNotNull() & F.col("vec").isNotNull() & ~F.exists("vec", lambda v: v.isNull())
