@@ -7,6 +7,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from cloneflow.functions import text as tx
+from cloneflow.functions import edit
 from cloneflow.functions.edit import distance, longest_block
 
 SPACES = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f\x85\xa0      　"
@@ -101,3 +102,16 @@ def test_longest_block_against_difflib():
         assert longest_block(np.array(a, dtype="int64"), np.array(b, dtype="int64")) == want
     same = np.zeros(20_000, dtype="int64")
     assert longest_block(same, same[:12_345]) == 12_345
+
+
+def test_one_text_against_many(monkeypatch):
+    rng = random.Random(3)
+    draw = lambda chars, n: "".join(rng.choice(chars) for _ in range(rng.randint(0, n)))
+    for size in (1, 63, 64, 65, 200):
+        for step, at_once, read in ((0, 1 << 15, 512), (0, 6, 7), (70_000, 1 << 15, 512)):
+            monkeypatch.setattr(edit, "STEP", step)
+            monkeypatch.setattr(edit, "AT_ONCE", at_once)
+            monkeypatch.setattr(edit, "READ", read)
+            a = draw("ab cé\U0001f600", size)
+            texts = [draw("ab cdé\U0001f600", n) for n in (2, 64, 90, 90, 300)] + [a, "", a]
+            assert edit.distances(a, texts) == [plain_distance(a, t) for t in texts]
