@@ -1,4 +1,5 @@
 import math
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -152,3 +153,29 @@ def test_anchors_against_all_vectors(spark):
                 v, w = np.array(vec), anchors[a][1]
                 assert score == pytest.approx(v @ w / np.linalg.norm(v) / np.linalg.norm(w))
     assert embed.anchor_cosine(table.limit(0)).count() == 0
+
+
+def test_word_vectors_shuffle_pairs_and_not_sums(spark, monkeypatch, capsys):
+    words = [["a", "b", "a", "a", None, "c"], ["c", "é"], ["z"], [], None, ["b", "a", "c", "b"] * 5]
+    table = spark.createDataFrame([(w,) for w in words], "tokens array<string>")
+    want = Counter()
+    for w in words:
+        for i, x in enumerate(w or []):
+            for y in (w or [])[i + 1 : i + 3]:
+                if x is not None and y is not None:
+                    want.update([(x, y), (y, x)])
+    for paired in (1 << 19, 3):
+        monkeypatch.setattr(embed, "PAIRED", paired)
+        assert {(r.tok, r.other): r.n for r in embed.cooccurrences(table, 2).collect()} == want
+    table = table.where("tokens is not null and not exists(tokens, t -> t is null)")
+    plain = {r.tok: r.vec for r in embed.w2v_train(table, dim=70, window=2).collect()}
+    monkeypatch.setattr(embed, "MIN_HOT_ROWS", 1)
+    monkeypatch.setattr(embed, "SUMMED", 2)
+    made = embed.w2v_train(table, dim=70, window=2)
+    hot = {r.tok: r.vec for r in made.collect()}
+    assert set(plain) == set(hot) == {"a", "b", "c", "é", "z"} and all(len(v) == 70 for v in hot.values())
+    assert all(abs(x - y) < 1e-9 for t in plain for x, y in zip(plain[t], hot[t], strict=True)) and not any(plain["z"])
+    # Each word's pairs meet by a plain shuffle, without sums of `dim` numbers before it.
+    capsys.readouterr()
+    made.explain()
+    assert "REPARTITION_BY_COL" in capsys.readouterr().out
