@@ -2,6 +2,8 @@
 
 import random
 
+from pyspark.sql import functions as F
+
 from cloneflow.operators import candidates, joins
 from cloneflow.operators.components import components
 
@@ -85,3 +87,17 @@ def test_components(spark):
     got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == root
     assert components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_signatures_are_made_inside_the_row(spark, monkeypatch, capsys):
+    monkeypatch.setattr("cloneflow.functions.similarity.HASHED", 3)
+    rows = [(1, [5, (1 << 59) + 7]), (2, []), (3, None), (4, [3]), (5, list(range(0, 9000, 7))), (6, [])]
+    table = spark.createDataFrame(rows, "doc_id long, grams array<long>").repartition(1)
+    want = {i: [min((a * (h % candidates.MINHASH_PRIME) + b) % candidates.MINHASH_PRIME for h in g) for a, b in candidates.MINHASH_SEEDS] for i, g in rows if g}
+    made = candidates.signatures(table)
+    assert {r.doc_id: r.sig for r in made.collect()} == want
+    every = table.select("doc_id", candidates.sim.minhash(F.col("grams"), candidates.MINHASH_SEEDS, candidates.MINHASH_PRIME).alias("sig"))
+    assert {r.doc_id: r.sig for r in every.collect()} == {i: want.get(i, []) for i, _ in rows}
+    capsys.readouterr()
+    made.explain()
+    assert "Aggregate" not in capsys.readouterr().out
