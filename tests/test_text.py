@@ -115,3 +115,15 @@ def test_one_text_against_many(monkeypatch):
             a = draw("ab cé\U0001f600", size)
             texts = [draw("ab cdé\U0001f600", n) for n in (2, 64, 90, 90, 300)] + [a, "", a]
             assert edit.distances(a, texts) == [plain_distance(a, t) for t in texts]
+
+
+def test_winnow_places_of_a_long_text_are_linear(spark):
+    """Places without repeats, in a time that does not grow with the square of the text."""
+    rng = random.Random(8)
+    hashes = [rng.randrange(50) for _ in range(400_000)]
+    want = {max(j for j in range(i, i + 4) if hashes[j] == min(hashes[i : i + 4])) for i in range(len(hashes) - 3)}
+    table = spark.createDataFrame([(hashes,), ([7, 7],), ([],)], "h array<long>")
+    assert "array_distinct" not in str(tx.winnow_places(F.col("h"), 4))
+    got = [r.p for r in table.select(tx.winnow_places(F.col("h"), 4).alias("p")).collect()]
+    assert [(p.h, p.pos) for p in got[0]] == [(hashes[i], i) for i in sorted(want)]
+    assert [len(p) for p in got[1:]] == [1, 0]
