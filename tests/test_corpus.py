@@ -149,3 +149,15 @@ def test_no_listed_file_vanishes(spark, tmp_path):
     pairs = cp.make_pairs(files, features_of(["jaccard"]))
     scores = long_scores(similarity_columns(pairs, ["jaccard"]), ["jaccard"])
     assert scores.count() == 3 and score_failed(scores, "zero").count() == 3
+
+
+def test_files_are_listed_and_read_in_the_tasks(spark, tmp_path, monkeypatch):
+    """Not by Spark's file index, whose list is the driver's, and which gives up names with a colon."""
+    monkeypatch.setattr(cp, "READ_BYTES", 4)
+    folder = tmp_path / "files" / "c1" / "original"
+    folder.mkdir(parents=True)
+    names = {"a:b.txt": b"x\r\ny\rz\n", "A.txt": "é\U0001f600".encode(), "s.txt": b"\xed\xa0\x80", "e.txt": b""}
+    for name, data in names.items():
+        (folder / name).write_bytes(data)
+    got = {r.path.rsplit("/", 1)[1]: (r.code, r.status) for r in cp.read_corpus(spark, str(tmp_path / "files"), ".txt").collect()}
+    assert got == {"a:b.txt": ("x\ny\nz\n", "read"), "A.txt": ("é\U0001f600", "read"), "s.txt": (None, "not text"), "e.txt": ("", "empty")}
