@@ -307,3 +307,15 @@ def test_lonely_nodes_have_vectors_of_their_own(spark):
     got = {r.tok: r.vec for r in embed.with_lonely_nodes(lookup, nodes, 2).collect()}
     assert got["a"] == [1.0, 0.0] and set(got) == {"a", "z", "only"}
     assert all(np.linalg.norm(v) == pytest.approx(1.0) for v in got.values())
+
+
+def test_factors_are_the_same_in_pieces_of_any_size(docs, monkeypatch):
+    """Nodes of more edges than a piece holds are summed over several pieces; neither that nor the ranges change the factors."""
+    table, _ = docs
+    edges = graph.corpus_edges(table)
+    plain = {r.tok: r.vec for r in embed.glove_factorize(edges, 4, rounds=1).collect()}
+    monkeypatch.setattr(embed, "PIECE_EDGES", 2)
+    monkeypatch.setattr(embed, "ROUTES", 1)
+    dealt = {r.tok: r.vec for r in embed.glove_factorize(edges, 4, rounds=1, block=3).collect()}
+    assert dealt.keys() == plain.keys()
+    assert all(np.allclose(dealt[t], plain[t], atol=1e-9) for t in plain)
