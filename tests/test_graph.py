@@ -8,6 +8,7 @@ from cloneflow.functions import text as tx
 from cloneflow.operators import embed, graph, joins
 from cloneflow.operators.measures import term_counts
 from cloneflow.plans import catalog
+from cloneflow.session import materialize
 from pyspark.sql import functions as F
 
 
@@ -319,3 +320,20 @@ def test_factors_are_the_same_in_pieces_of_any_size(docs, monkeypatch):
     dealt = {r.tok: r.vec for r in embed.glove_factorize(edges, 4, rounds=1, block=3).collect()}
     assert dealt.keys() == plain.keys()
     assert all(np.allclose(dealt[t], plain[t], atol=1e-9) for t in plain)
+
+
+def test_walks_carry_only_the_edges_that_were_drawn(docs, monkeypatch):
+    """What leaves the numbering of edges is one row per node with edges and slot, not every edge of the graph."""
+    table, rows = docs
+    edges = {e for *_, t in rows for e in edges_of(t)}
+    written = {}
+
+    def counted(df, name):
+        made = materialize(df, name)
+        written.setdefault(name, []).append(made.count())
+        return made
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    graph.random_walks(graph.corpus_edges(table), 4, 1).collect()
+    assert written["edges"] == [len(edges)]
+    assert written["steps"] == [len({u for u, _ in edges})] and written["steps"][0] < len(edges)
