@@ -337,3 +337,23 @@ def test_walks_carry_only_the_edges_that_were_drawn(docs, monkeypatch):
     graph.random_walks(graph.corpus_edges(table), 4, 1).collect()
     assert written["edges"] == [len(edges)]
     assert written["steps"] == [len({u for u, _ in edges})] and written["steps"][0] < len(edges)
+
+
+def test_node_vectors_join_each_name_once(docs, monkeypatch):
+    """Two joins on words, one for each side of a pair, bring numbers and totals; the matrix is that of the names."""
+    table, _ = docs
+    sentences = table.select(tx.tokens(F.col("text")).alias("tokens"))
+    want = {(r.tok, r.other): r.w for r in embed.positive_pmi(embed.cooccurrences(sentences, 3)).where(F.col("w") > 0).collect()}
+    named = []
+
+    def seen(big, unique, on, *others, **options):
+        named.append(on)
+        return joins.join_unique(big, unique, on, *others, **options)
+
+    monkeypatch.setattr(embed, "join_unique", seen)
+    nodes, entries = embed.numbered_pmi(embed._half_counts(sentences, 3, "tokens"))
+    assert named == [["tok"], ["other"]]
+    word = {r.idx: r.tok for r in nodes.collect()}
+    assert sorted(word) == list(range(len(word)))
+    got = {(word[r.i], word[r.j]): r.w for r in entries.collect()}
+    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
