@@ -179,3 +179,21 @@ def test_word_vectors_shuffle_pairs_and_not_sums(spark, monkeypatch, capsys):
     capsys.readouterr()
     made.explain()
     assert "REPARTITION_BY_COL" in capsys.readouterr().out
+
+
+def test_split_lookup_makes_the_terms_once(spark):
+    """With a lookup too large to broadcast whole, each term is made once, not once for each of the three uses."""
+    made = spark.sparkContext.accumulator(0)
+
+    def passed(batches):
+        for batch in batches:
+            made.add(batch.num_rows)
+            yield batch
+
+    rows = [(d, f"w{i}", 1) for d in range(6) for i in range(d + 1)]
+    terms = spark.createDataFrame(rows, "doc_id long, tok string, cnt long").mapInArrow(passed, "doc_id long, tok string, cnt long")
+    lookup = spark.createDataFrame([(f"w{i}", [float(i), 1.0]) for i in range(5)], "tok string, vec array<double>")
+    docs = spark.range(7).withColumnRenamed("id", "doc_id")
+    got = {r.doc_id: r.vec for r in embed.lookup_doc_vectors(terms, lookup, docs, 2, broadcast_bytes=150).collect()}
+    assert got == {d: [sum(range(min(d, 4) + 1)) / (min(d, 4) + 1), 1.0] for d in range(6)} | {6: [0.0, 0.0]}
+    assert made.value == len(rows)
