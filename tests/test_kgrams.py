@@ -1,7 +1,12 @@
 """The exact join of similar texts against all pairs."""
 
+from collections import Counter
+
 import pytest
+from pyspark.sql import functions as F
 
+from cloneflow.functions import text as tx
+from cloneflow.functions import words
 from cloneflow.operators import candidates, joins, kgrams
 from test_candidates import all_pairs, grams_of, rows_of
 
@@ -68,3 +73,43 @@ def test_links_and_classes_with_copies(spark):
     assert kgrams.kgram_join(table_of(spark, rows).limit(0)).count() == 0
     with pytest.raises(ValueError):
         kgrams.similar_sets(table_of(spark, rows), 1.0)
+
+
+def test_gram_sets_are_those_of_tokens(spark, monkeypatch):
+    spaces = [" ", "\t", "\n", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", "　", "​", "﻿", "\x00"]
+    texts = [None, "", "   ", " a", "a b c ", "a b c a b c a b c", "cá \xe9 \U0001f600 a", "a b", "b a b", *[f"a{s}b c{s}{s}a" for s in spaces]]
+    table = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, case_id string, text string").coalesce(1)
+    for limit in (words.SPLIT_BYTES, 1):
+        monkeypatch.setattr(words.text_slices, "__defaults__", (limit,))
+        for k in (1, 2, 3):
+            got = {r.doc_id: r.grams for r in kgrams.gram_sets(table, k).collect()}
+            assert all(g == sorted(set(g)) for g in got.values())
+            plain = {r.doc_id: r.toks for r in table.select("doc_id", tx.tokens(F.col("text")).alias("toks")).collect()}
+            sets = {i: {tuple(t[j : j + k]) for j in range(len(t) - k + 1)} if t else set() for i, t in plain.items()}
+            named = {}
+            for i, runs in sets.items():
+                assert len(got[i]) == len(runs)
+                for other, more in sets.items():
+                    named[i, other] = len(runs & more)
+            assert named == {(i, j): len(set(got[i]) & set(got[j])) for i in sets for j in sets}
+
+
+def test_grams_are_counted_in_buckets(spark, monkeypatch):
+    rows = rows_of(3)
+    sets = candidates.shingle_sets(table_of(spark, rows)).where(F.size("grams") > 0).repartition(3)
+    held = {r.doc_id: r.grams for r in sets.collect()}
+    n = Counter(h for grams in held.values() for h in grams)
+    want = sorted((i, len(grams), h, n[h]) for i, grams in held.items() for h in grams if n[h] > 1)
+    for at_once, bucket in ((1 << 21, 1 << 20), (5, 7), (1, 1)):
+        monkeypatch.setattr(kgrams, "AT_ONCE", at_once)
+        assert sorted(map(tuple, kgrams.shared_grams(sets, bucket).collect())) == want
+
+
+def test_only_sets_that_meet_are_sent_to_the_exact_check(spark, monkeypatch):
+    rows = rows_of(5)
+    sent = []
+    monkeypatch.setattr(kgrams, "scored_pairs", lambda pairs, sets: sent.append((pairs, sets)) or candidates.scored_pairs(pairs, sets))
+    kgrams.similar_texts(table_of(spark, rows))
+    pairs, sets = sent[0]
+    ends = {i for p in pairs.collect() for i in p}
+    assert ends and len(ends) < len(rows) and {r.doc_id for r in sets.collect()} == ends
