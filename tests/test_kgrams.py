@@ -6,7 +6,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from cloneflow.functions import text as tx
-from cloneflow.functions import words
 from cloneflow.operators import candidates, joins, kgrams
 from test_candidates import all_pairs, grams_of, rows_of
 
@@ -79,8 +78,8 @@ def test_gram_sets_are_those_of_tokens(spark, monkeypatch):
     spaces = [" ", "\t", "\n", "\x1c", "\x85", "\xa0", " ", " ", " ", " ", "　", "​", "﻿", "\x00"]
     texts = [None, "", "   ", " a", "a b c ", "a b c a b c a b c", "cá \xe9 \U0001f600 a", "a b", "b a b", *[f"a{s}b c{s}{s}a" for s in spaces]]
     table = spark.createDataFrame([(i, "c", t) for i, t in enumerate(texts)], "doc_id long, case_id string, text string").coalesce(1)
-    for limit in (words.SPLIT_BYTES, 1):
-        monkeypatch.setattr(words.text_slices, "__defaults__", (limit,))
+    for limit in (kgrams.SPLIT_BYTES, 1):
+        monkeypatch.setattr(kgrams, "SPLIT_BYTES", limit)
         for k in (1, 2, 3):
             got = {r.doc_id: r.grams for r in kgrams.gram_sets(table, k).collect()}
             assert all(g == sorted(set(g)) for g in got.values())

@@ -207,6 +207,34 @@ def test_tfidf_cosine(corpus):
         assert got[doc] == pytest.approx(want, abs=1e-9)
 
 
+def test_tfidf_moves_rare_words_only(spark, monkeypatch):
+    rng = random.Random(5)
+    texts = [" ".join(rng.choice(["the", "of", f"v{rng.randrange(30)}", f"r{i}x{rng.randrange(9)}", "\u3000"]) for _ in range(rng.randrange(50))) for i in range(60)]
+    texts += [None, "", "  ", "alone", texts[1], texts[7], "y" * 100, "y" * 100 + " the"]
+    rows = [(None if i in (11, 12) else f"c{i % 7 if i % 3 else 0}", i, "x", t) for i, t in enumerate(texts)]
+    table = spark.createDataFrame(rows, "case_id string, doc_id long, label string, text string").repartition(3)
+    bags = {i: Counter((t or "").split()) for _, i, _, t in rows}
+    df = Counter(t for bag in bags.values() for t in bag)
+    first, want = {}, {}
+    for case, i, _, _ in rows:
+        if case is not None and first.setdefault(case, i) != i:
+            u, v = ({t: n * math.log((len(rows) + 1) / (df[t] + 1)) for t, n in bags[j].items()} for j in (first[case], i))
+            whole = math.sqrt(sum(w * w for w in u.values()) * sum(w * w for w in v.values()))
+            want[i] = sum(w * v.get(t, 0) for t, w in u.items()) / whole if whole else 0.0
+    moved = []
+    join = ms.join_unique
+    monkeypatch.setattr(ms, "join_unique", lambda big, unique, on, *args, **named: moved.append((on, big.count())) or join(big, unique, on, *args, **named))
+    for frequent, suspects, limit in ((1 << 18, 1 << 10, 1 << 24), (1 << 18, 1, 1), (10, 3, 200), (0, 2, 1 << 24)):
+        monkeypatch.setattr(ms, "SPLIT_BYTES", limit)
+        moved.clear()
+        got = {r.doc_id: r.similarity for r in ms.tfidf_cosine(table, frequent, suspects).collect()}
+        assert got.keys() == want.keys() and all(got[i] == pytest.approx(want[i], abs=1e-9) for i in want)
+        words = sum(n for on, n in moved if "tok" in on)
+        # A word of more than 64 bytes is never among the frequent ones.
+        long = sum(1 for case, i, _, _ in rows if case is not None and "y" * 100 in bags[i])
+        assert words == long if frequent == 1 << 18 else words > long
+
+
 def test_minhash_columns(corpus):
     table, rows = corpus
     pairs = pairs_of(rows)
