@@ -77,6 +77,24 @@ def test_every_link_is_verified(spark):
     assert found and {(r.a, r.b) for r in found} <= links and all(r.similarity >= 0.8 for r in found)
 
 
+def test_a_bucket_of_texts_that_are_not_alike_loses_no_link(spark, monkeypatch):
+    # All 16 least numbers are the same four values in a bucket when the bands hold one row and a few grams are shared by all: rounds with the least
+    # document alone would never compare the last two, which are near copies.
+    monkeypatch.setattr(candidates, "signatures", lambda sets: sets.select("doc_id", F.array_repeat(F.lit(7), 64).alias("sig")))
+    apart = [(i, [100 * i + j for j in range(20)]) for i in range(8)]
+    near = [(i, [10_000 + j for j in range(20)] + [20_000 + i]) for i in (8, 9)]
+    # 10 is like 11 and like 0, 11 is not like 0: the links of 0 take 10 out of the bucket before 11 has met it.
+    chain = [(10, list(range(2, 20)) + [901, 902]), (11, list(range(4, 20)) + [901, 902, 903])]
+    rows = apart + near + chain
+    sets = spark.createDataFrame([(i, sorted(g)) for i, g in rows], "doc_id long, grams array<long>")
+    alike = lambda x, y: len(set(x) & set(y)) / len(set(x) | set(y))
+    want = {(i, j) for i, g in rows for j, h in rows if i > j and alike(g, h) >= 0.8}
+    assert want == {(9, 8), (10, 0), (11, 10)}
+    for block in (candidates.BLOCK_ROWS, 3):
+        monkeypatch.setattr(candidates.unmet_pairs, "__defaults__", (block,))
+        assert {(r.a, r.b) for r in candidates.minhash_links(sets).collect()} == want
+
+
 def test_components(spark):
     rng = random.Random(1)
     links = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 50)] + [(rng.randrange(200, 260), rng.randrange(200, 260)) for _ in range(45)] + [(7, 7), (300, 300)]
