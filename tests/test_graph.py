@@ -95,6 +95,30 @@ def test_walks_are_the_same_when_every_key_is_hot(docs, monkeypatch):
     assert walk(0) == plain
 
 
+def test_walks_that_meet_go_on_apart(spark):
+    """Every walk draws each step for itself: walks that are at one node after the same number of steps do not share what follows."""
+    nodes = [f"n{i}" for i in range(12)]
+    edges = spark.createDataFrame([(a, b) for a in nodes for b in nodes], "src string, dst string")
+    length, walks = 9, 20
+    found = {r.walk_id: r.tokens for r in graph.random_walks(edges, length, walks).collect()}
+    assert len(found) == 240 and all(len(w) == length for w in found.values())
+    # Shared segments of two steps or more would leave at most `walks` continuations of a node.
+    after = {tuple(w[i : i + 4]) for w in found.values() for i in range(2, length - 3)}
+    of_node = {n: sum(a[0] == n for a in after) for n in nodes}
+    assert min(of_node.values()) > 2 * walks
+    # Brute force of one generator per walk.
+    order = sorted(nodes, key=lambda n: (int(hashlib.md5(n.encode()).hexdigest()[:15], 16) % joins.SHARDS, n))
+    for key, walk in found.items():
+        h = int(hashlib.md5(f"42#{key}".encode()).hexdigest()[:15], 16)
+        s, t, want = 1 + h % 2147483562, 1 + (h >> 30) % 2147483398, [key.split("#")[0]]
+        for _ in range(length - 1):
+            s, t = s * 40014 % 2147483563, t * 40692 % 2147483399
+            want.append(order[(s - t) % 2147483562 % 12])
+        assert walk == want
+    draws = np.bincount([order.index(w) for walk in found.values() for w in walk[1:]], minlength=12)
+    assert draws.min() > 100 and draws.max() < 220
+
+
 def test_spectral_space_matches_dense_iteration(docs):
     table, rows = docs
     edges = graph.corpus_edges(table)
