@@ -1,7 +1,9 @@
+import hashlib
 import math
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -181,6 +183,24 @@ def test_word_vectors_shuffle_pairs_and_not_sums(spark, monkeypatch, capsys):
     assert "REPARTITION_BY_COL" in capsys.readouterr().out
 
 
+def test_signs_are_drawn_once_for_each_word_and_not_for_each_pair(spark, monkeypatch, capsys):
+    words = ["w", "é", "", "x" * 300, "z#1"]
+    table = spark.createDataFrame([(w,) for w in words], "tok string")
+    want = {r.tok: r.signs for r in table.select("tok", F.array(*embed.random_signs(F.col("tok"), 130, 7)).alias("signs")).collect()}
+    pairs = pa.RecordBatch.from_arrays([pa.array(words + words), pa.array(words + words), pa.array([1.0] * 10)], ["tok", "other", "w"]).slice(0, 5)
+    drawn = []
+    monkeypatch.setattr(embed, "md5", lambda text: drawn.append(text) or hashlib.md5(text))
+    run = embed._signed_sums(130, 7)
+    for _ in range(2):
+        assert {t: v for b in run(iter([pairs])) for t, v in zip(*b.to_pydict().values())} == want
+    # Three draws of 60 signs for each word, however often it is met.
+    assert len(drawn) == 3 * len(words)
+    made = embed.w2v_train(spark.createDataFrame([(words,)], "tokens array<string>"), dim=8, window=2)
+    capsys.readouterr()
+    made.explain()
+    assert "md5" not in capsys.readouterr().out
+
+
 def test_split_lookup_makes_the_terms_once(spark):
     """With a lookup too large to broadcast whole, each term is made once, not once for each of the three uses."""
     made = spark.sparkContext.accumulator(0)
