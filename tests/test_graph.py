@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 import pytest
@@ -346,6 +347,25 @@ def test_factors_are_the_same_in_pieces_of_any_size(docs, monkeypatch):
     assert all(np.allclose(dealt[t], plain[t], atol=1e-9) for t in plain)
 
 
+def test_matrix_pieces_hold_their_rows_in_order_without_a_sort_by_row(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    entries = {(int(i), int(j)): float(w) for i, j, w in zip(rng.integers(0, 40, 500), rng.integers(0, 40, 500), rng.random(500))}
+    table = spark.createDataFrame([(*k, w) for k, w in entries.items()], "i long, j long, w double")
+    monkeypatch.setattr(embed, "PIECE_EDGES", 30)
+    plans = []
+    monkeypatch.setattr(embed, "materialize", lambda df, name: plans.append((name, df._jdf.queryExecution().toString())) or materialize(df, name))
+    for by in ("i", "j"):
+        found, whole = {}, set()
+        for r in embed.matrix_pieces(table, 16, by=by).collect():
+            rows, heads, cols, w = (np.frombuffer(r[c], k) for c, k in (("rows", np.int64), ("heads", np.int32), ("cols", np.int32), ("w", np.float64)))
+            assert (np.diff(rows) > 0).all() and (r.block, r.piece) not in whole
+            whole.add((r.block, r.piece))
+            found |= {(int(i), int(r.block * 16 + c)): x for i, c, x in zip(np.repeat(rows, np.diff(np.append(heads, len(cols)))), cols, w)}
+        assert found == entries and len({b for b, _ in whole}) == 3 and len(whole) > 12
+    physical = [p[p.index("== Physical Plan ==") :] for name, p in plans if name == "matrix"]
+    assert len(physical) == 2 and not any(re.search(r"Sort \[[^\n]*\bi#\d+L ASC", p) for p in physical)
+
+
 def test_walks_carry_only_the_edges_that_were_drawn(docs, monkeypatch):
     """What leaves the numbering of edges is one row per node with edges and slot, not every edge of the graph."""
     table, rows = docs
